@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from spanloom.functions.arrays import index_by_end, last_end, let, running_sum
 from spanloom.functions.text import augmented_hash, characters, cut, seeded_number
 from spanloom.operators.joins import lookup_join
+from spanloom.operators.materialize import materialize
 from spanloom.operators.ordered import number_rows
 from spanloom.operators.typography import surfaces
 from spanloom.schema import LABELS
@@ -65,8 +66,12 @@ def surface_vectors(surface_tokens: DataFrame, token_vectors: DataFrame) -> Data
 
 
 def cluster_surfaces(vectors: DataFrame, num_clusters: int, seed: int) -> DataFrame:
-    """``(label, surface, vector, cluster)`` by cosine k-means, one fit per label."""
+    """``(label, surface, vector, cluster)`` by cosine k-means, one fit per label.
 
+    The vectors are read by every fit, so they are materialized first.
+    """
+
+    vectors = materialize(vectors)
     counts = {r["label"]: r["n"] for r in vectors.groupBy("label").agg(F.count("*").alias("n")).collect()}
     featured = vectors.withColumn("features", array_to_vector("vector"))
     parts = []
@@ -96,20 +101,20 @@ def assign_centroid(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     scalar array; the lowest cluster wins ties.
     """
 
-    listed = centroids.agg(F.sort_array(F.collect_list(F.struct("cluster", "centroid")))).scalar()
+    listed = F.sort_array(F.collect_list(F.struct("cluster", "centroid")))
+    rows = vectors.withColumn("centroids", centroids.agg(listed.alias("c")).scalar())
     best = let(
-        listed,
-        lambda cs: F.array_max(
+        F.struct("vector", "centroids"),
+        lambda v: F.array_max(
             F.transform(
-                cs,
+                v["centroids"],
                 lambda c: F.struct(
-                    dot(F.col("vector"), c["centroid"]).alias("similarity"),
-                    (-c["cluster"]).alias("low"),
+                    dot(v["vector"], c["centroid"]).alias("similarity"), (-c["cluster"]).alias("low")
                 ),
             )
         ),
     )
-    return vectors.withColumn("best", best).select(
+    return rows.withColumn("best", best).select(
         *vectors.columns, (-F.col("best.low")).alias("cluster"), F.col("best.similarity").alias("similarity")
     )
 
@@ -156,13 +161,18 @@ def cluster_neighbours(
 
     keys = ["label", "cluster"]
     sizes = clustered.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    # one row per cluster: labels x num_clusters
-    dealt = clustered.select(*keys, "surface", "vector").join(sizes, keys).withColumn(
+    # one row per cluster (labels x num_clusters), so broadcasting it is safe
+    dealt = clustered.select(*keys, "surface", "vector").join(F.broadcast(sizes), keys).withColumn(
         "own", F.pmod(F.xxhash64("surface"), F.col("blocks")).cast("int")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sources = dealt.withColumn("b", other).select(*keys, F.col("own").alias("a"), "b", "surface", "vector")
-    targets = dealt.withColumn("a", other).select(*keys, "a", F.col("own").alias("b"), "surface", "vector")
+    fresh = lambda *names: [F.col(n).alias(n) for n in names]
+    sources = dealt.withColumn("b", other).select(
+        *fresh(*keys), F.col("own").alias("a"), *fresh("b", "surface", "vector")
+    )
+    targets = dealt.withColumn("a", other).select(
+        *fresh(*keys, "a"), F.col("own").alias("b"), *fresh("surface", "vector")
+    )
     cell = [*keys, "a", "b"]
     found = sources.groupBy(*cell).cogroup(targets.groupBy(*cell)).applyInPandas(
         _top_pairs(max_candidates),

@@ -78,8 +78,7 @@ def _place(text: str, surfaces: list[str]) -> list[int | None]:
     return starts
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _placed(texts: pd.Series, surfaces: pd.Series) -> pd.Series:
+def _placed_batch(texts: pd.Series, surfaces: pd.Series) -> pd.Series:
     return pd.Series(
         [
             None if text is None or words is None else _place(text, list(words))
@@ -89,13 +88,20 @@ def _placed(texts: pd.Series, surfaces: pd.Series) -> pd.Series:
     )
 
 
+# declared non-deterministic so that the optimizer never evaluates it twice
+_placed = F.pandas_udf(_placed_batch, T.ArrayType(T.LongType())).asNondeterministic()
+
+
 def assign_occurrences(rows: DataFrame) -> DataFrame:
     """``rows`` of ``(text, surfaces)`` with ``starts`` aligned to ``surfaces``.
 
     A NULL start means that no unused occurrence was left for that surface.
     """
 
-    return rows.withColumn("starts", _placed("text", "surfaces"))
+    # mentioning the array twice keeps the optimizer from moving the expression that
+    # computes it into the arguments of the Python function
+    surfaces = F.when(F.col("surfaces").isNotNull(), F.col("surfaces"))
+    return rows.withColumn("starts", _placed(F.col("text"), surfaces))
 
 
 def convert_arrays(rows: DataFrame) -> DataFrame:
@@ -115,12 +121,15 @@ def convert_arrays(rows: DataFrame) -> DataFrame:
         "error",
         F.coalesce("error", F.when(F.exists("starts", lambda s: s.isNull()), "occurrence")),
     )
-    labelled = F.transform(
-        F.col("surfaces"),
-        lambda word, i: F.struct(
-            F.upper(F.get("labels", i)).alias("label"),
-            F.get("starts", i).alias("start"),
-            (F.get("starts", i) + F.length(word)).cast("bigint").alias("end"),
+    labelled = let(
+        F.struct("labels", "starts"),
+        lambda c: F.transform(
+            F.col("surfaces"),
+            lambda word, i: F.struct(
+                F.upper(F.get(c["labels"], i)).alias("label"),
+                F.get(c["starts"], i).alias("start"),
+                (F.get(c["starts"], i) + F.length(word)).cast("bigint").alias("end"),
+            ),
         ),
     )
     widened = placed.withColumn(

@@ -280,7 +280,7 @@ def segment_array(text: Column, gold_entities: Column, pred_entities: Column) ->
     found through a per-character index and the whole is linear in the text.
     """
 
-    length = F.length(text).cast("bigint")
+    whole = F.length(text).cast("bigint")
     ends = lambda spans: F.flatten(
         F.transform(spans, lambda s: F.array(s["start"], s["end"]))
     )
@@ -297,7 +297,7 @@ def segment_array(text: Column, gold_entities: Column, pred_entities: Column) ->
             .when(p.isNotNull(), "false_positive")
         )
 
-    def statuses(gold: Column, pred: Column, bounds: Column) -> Column:
+    def statuses(gold: Column, pred: Column, bounds: Column, length: Column) -> Column:
         return let(
             index_by_end(gold),
             lambda by_gold: let(
@@ -309,7 +309,7 @@ def segment_array(text: Column, gold_entities: Column, pred_entities: Column) ->
             ),
         )
 
-    def merged(bounds: Column, states: Column) -> Column:
+    def merged(bounds: Column, states: Column, length: Column) -> Column:
         return let(
             run_starts(states),
             lambda runs: F.transform(
@@ -322,14 +322,19 @@ def segment_array(text: Column, gold_entities: Column, pred_entities: Column) ->
             ),
         )
 
-    def build(gold: Column, pred: Column) -> Column:
+    def build(gold: Column, pred: Column, length: Column) -> Column:
         edges = F.concat(F.array(F.lit(0).cast("bigint"), length), ends(gold), ends(pred))
         return let(
             F.array_sort(F.array_distinct(edges)),
-            lambda bounds: let(statuses(gold, pred, bounds), lambda states: merged(bounds, states)),
+            lambda bounds: let(
+                statuses(gold, pred, bounds, length), lambda states: merged(bounds, states, length)
+            ),
         )
 
-    return let(gold_entities, lambda gold: let(pred_entities, lambda pred: build(gold, pred)))
+    return let(
+        F.struct(gold_entities.alias("gold"), pred_entities.alias("pred"), whole.alias("length")),
+        lambda r: build(r["gold"], r["pred"], r["length"]),
+    )
 
 
 def comparison_segments(pairs: DataFrame) -> DataFrame:

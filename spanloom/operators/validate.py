@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spanloom.functions.arrays import neighbours
+from spanloom.functions.arrays import let, neighbours
 from spanloom.schema import LABELS
 
 # mode -> (labels restricted, duplicates reported, overlaps reported)
@@ -38,6 +38,10 @@ def offsets_ok(start: Column, end: Column, length: Column) -> Column:
 def entity_errors(entities: Column, length: Column, mode: str = "contract") -> Column:
     """Violations inside one record: ``array<struct<idx,error>>``."""
 
+    return let(length, lambda n: _entity_errors(entities, n, mode))
+
+
+def _entity_errors(entities: Column, length: Column, mode: str) -> Column:
     _, duplicates, overlaps = MODES[mode]
     checked = F.transform(
         entities,
@@ -51,12 +55,6 @@ def entity_errors(entities: Column, length: Column, mode: str = "contract") -> C
             .alias("error"),
         ),
     )
-    single = F.transform(
-        F.filter(checked, lambda e: e["error"].isNotNull()),
-        lambda e: F.struct(e["idx"].alias("idx"), e["error"].alias("error")),
-    )
-    valid = F.array_sort(F.filter(checked, lambda e: e["error"].isNull()))
-
     def pair(left: Column, right: Column) -> Column:
         same = (
             (left["start"] == right["start"])
@@ -70,7 +68,15 @@ def entity_errors(entities: Column, length: Column, mode: str = "contract") -> C
             error.isNotNull(), F.struct(right["idx"].alias("idx"), error.alias("error"))
         )
 
-    return F.concat(single, neighbours(valid, pair))
+    def collect(marked: Column) -> Column:
+        single = F.transform(
+            F.filter(marked, lambda e: e["error"].isNotNull()),
+            lambda e: F.struct(e["idx"].alias("idx"), e["error"].alias("error")),
+        )
+        valid = F.array_sort(F.filter(marked, lambda e: e["error"].isNull()))
+        return F.concat(single, neighbours(valid, pair))
+
+    return let(checked, collect)
 
 
 def validate_spans(records: DataFrame, mode: str = "contract") -> DataFrame:

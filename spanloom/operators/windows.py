@@ -200,12 +200,16 @@ def window_bounds(windows: DataFrame) -> DataFrame:
 def partition_entities(bounded: DataFrame) -> DataFrame:
     """``window_bounds`` rows with ``complete`` and ``partial`` entity arrays."""
 
-    start, end = F.col("window_start"), F.col("window_end")
-    contained = lambda e: (start <= e["start"]) & (e["end"] <= end)
-    overlaps = lambda e: (e["start"] < end) & (e["end"] > start)
-    return bounded.withColumn("complete", F.filter("entities", contained)).withColumn(
-        "partial", F.filter("entities", lambda e: ~contained(e) & overlaps(e))
-    )
+    def contained(b: Column, e: Column) -> Column:
+        return (b["start"] <= e["start"]) & (e["end"] <= b["end"])
+
+    def cut(b: Column, e: Column) -> Column:
+        return ~contained(b, e) & (e["start"] < b["end"]) & (e["end"] > b["start"])
+
+    bounds = F.struct(F.col("window_start").alias("start"), F.col("window_end").alias("end"))
+    return bounded.withColumn(
+        "complete", let(bounds, lambda b: F.filter("entities", lambda e: contained(b, e)))
+    ).withColumn("partial", let(bounds, lambda b: F.filter("entities", lambda e: cut(b, e))))
 
 
 def span_mask(parted: DataFrame) -> DataFrame:
@@ -214,11 +218,12 @@ def span_mask(parted: DataFrame) -> DataFrame:
     Entities do not overlap, so at most two are cut by a window.
     """
 
-    mask = F.transform(
-        "tokens",
-        lambda t: ~is_special(t)
-        & ~F.exists("partial", lambda e: (t["start"] < e["end"]) & (t["end"] > e["start"])),
-    )
+    def free(partial: Column, t: Column) -> Column:
+        return ~is_special(t) & ~F.exists(
+            partial, lambda e: (t["start"] < e["end"]) & (t["end"] > e["start"])
+        )
+
+    mask = let(F.col("partial"), lambda cut: F.transform("tokens", lambda t: free(cut, t)))
     return parted.withColumn("mask", mask)
 
 
@@ -229,27 +234,25 @@ def entity_token_span(parted: DataFrame) -> DataFrame:
     tells whether the outer token boundaries coincide with the entity's.
     """
 
-    local = F.transform(
-        "complete",
-        lambda e: F.struct(
+    def locate(toks: Column, e: Column) -> Column:
+        first = F.greatest(e["first"] - F.col("first_token"), F.lit(0)) + 1
+        last = F.least(e["last"] - F.col("first_token") + 1, F.size(toks) - 2)
+        exact = (F.get(toks, first.cast("int"))["start"] == e["start"]) & (
+            F.get(toks, last.cast("int"))["end"] == e["end"]
+        )
+        return F.struct(
             e["label"].alias("label"),
             e["start"].alias("start"),
             e["end"].alias("end"),
-            (F.greatest(e["first"] - F.col("first_token"), F.lit(0)) + 1).cast("bigint").alias("token_start"),
-            F.least(
-                e["last"] - F.col("first_token") + 1, F.size("tokens") - F.lit(2)
-            ).cast("bigint").alias("token_end"),
-        ),
-    )
-    exact = F.transform(
-        local,
-        lambda e: e.withField(
-            "exact",
-            (F.get("tokens", e["token_start"].cast("int"))["start"] == e["start"])
-            & (F.get("tokens", e["token_end"].cast("int"))["end"] == e["end"]),
-        ),
+            first.cast("bigint").alias("token_start"),
+            last.cast("bigint").alias("token_end"),
+            exact.alias("exact"),
+        )
+
+    spans = let(
+        F.col("tokens"), lambda toks: F.transform("complete", lambda e: locate(toks, e))
     )
-    return parted.select("hash", "window_id", F.explode(exact).alias("e")).select(
+    return parted.select("hash", "window_id", F.explode(spans).alias("e")).select(
         "hash", "window_id", "e.*"
     )
 

@@ -7,9 +7,12 @@ deviates.  Both engines derive them from whole tables with the same expressions.
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from spanloom.functions.arrays import let, run_starts
 from spanloom.functions.text import space_tokens, with_surfaces
+from spanloom.operators.augment import unit
+from spanloom.operators.windows import token_windows
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -212,7 +215,7 @@ def aliases(spark: SparkSession, sf: str) -> DataFrame:
     return named.select(
         F.when(F.col("d") == 0, "PER").otherwise(F.col("label")).alias("label"),
         F.col("surface").alias("alias"),
-        F.when(F.col("d") == 1, "...").otherwise(F.concat(F.upper("surface"), F.lit("."))).alias("canonical"),
+        F.when(F.col("d") == 1, "...").otherwise(F.concat(F.lit("~"), "surface", F.lit("."))).alias("canonical"),
     )
 
 
@@ -273,6 +276,92 @@ def token_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def ragged(spark: SparkSession, sf: str) -> DataFrame:
+    """``gold_tokens`` with some entities starting or ending inside a token."""
+
+    def shift(e: Column, i: Column) -> Column:
+        d = hex_digit(F.col("hash"), i, F.lit("r"))
+        long = e["end"] - e["start"] > 2
+        return F.struct(
+            e["label"].alias("label"),
+            F.when(long & (d == "0"), e["start"] + 1).otherwise(e["start"]).alias("start"),
+            F.when(long & (d == "1"), e["end"] - 1).otherwise(e["end"]).alias("end"),
+        )
+
+    return gold_tokens(spark, sf).withColumn("entities", F.transform("entities", shift))
+
+
+MAX_LENGTH, STRIDE = 128, 32
+
+
+def span_score(tok: Column, first: Column, last_index: Column) -> Column:
+    """Candidate span starting at a token, from the digest of the token."""
+
+    digest = F.md5(tok)
+    number = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("bigint")
+    return F.struct(
+        (number(1, 1) % 3).alias("label_id"),
+        first.cast("bigint").alias("token_start"),
+        F.least(first + number(2, 1) % 2, last_index).cast("bigint").alias("token_end"),
+        (number(3, 2) / F.lit(128.0) - 1.0).alias("score"),
+    )
+
+
+def windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Plain token windows of the documents."""
+
+    records = tokenized(docs(spark, sf)).select("hash", "tokens")
+    return token_windows(records, MAX_LENGTH, STRIDE)
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows with the span scores the example scorer gives."""
+
+    scores = let(
+        F.col("tokens"),
+        lambda ts: F.filter(
+            F.transform(ts, lambda t, i: F.when(t["tok"].isNotNull(), span_score(t["tok"], i, F.size(ts) - 2))),
+            lambda s: s.isNotNull(),
+        ),
+    )
+    return windows(spark, sf).withColumn("scores", scores)
+
+
+def class_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows with seven class probabilities per token, differing from window to window."""
+
+    def probabilities(t: Column) -> Column:
+        return let(
+            F.md5(F.concat_ws("|", t["tok"], F.col("window_id").cast("string"))),
+            lambda digest: F.transform(
+                F.sequence(F.lit(0), F.lit(6)),
+                lambda c: F.conv(F.substring(digest, c * 2 + 1, F.lit(2)), 16, 10).cast("bigint") / F.lit(256.0),
+            ),
+        )
+
+    return windows(spark, sf).withColumn("scores", F.transform("tokens", probabilities))
+
+
+def options(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates ``(label, surface, rank, candidate)``: the next surfaces of a digest group."""
+
+    group = F.substring(F.md5("surface"), 1, 3)
+    distinct = gold_surfaces(spark, sf).select("label", "surface").distinct().withColumn("g", group)
+    order = W.partitionBy("label", "g").orderBy("surface")
+    ahead = F.array(*[F.lead("surface", k).over(order) for k in (1, 2, 3)])
+    rows = distinct.withColumn("ahead", ahead).select("label", "surface", F.posexplode("ahead").alias("p", "candidate"))
+    return rows.filter("candidate is not null").select(
+        "label", "surface", (F.col("p") + 1).cast("bigint").alias("rank"), "candidate"
+    )
+
+
+def unit_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """``vec_id, label, vector`` with vectors of length 1."""
+
+    rows = spread(table(spark, sf, "embeddings"), "vec_id")
+    return rows.select("vec_id", "label", unit(F.col("embedding").cast("array<double>")).alias("vector"))
+
+
 # --------------------------------------------------------------------------- SQL text
 
 _TOK = """
@@ -343,6 +432,98 @@ SQL_NESTED = SQL_GOLD + """,
     AS score
   FROM (SELECT DISTINCT hash, label, start, "end" FROM nested))"""
 
+
+
+def greedy_sql(source: str, order: str) -> str:
+    """Greedy choice folded over each island of overlapping spans."""
+
+    return f""",
+ reach AS (
+  SELECT *, max("end") OVER (PARTITION BY hash ORDER BY start, "end"
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {source}),
+ isles AS (
+  SELECT *, sum(CASE WHEN before IS NULL OR start >= before THEN 1 ELSE 0 END) OVER (PARTITION BY hash
+    ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS isle FROM reach),
+ lists AS (
+  SELECT hash, isle, list([{{'label': label, 's': start, 'e': "end"}}] ORDER BY {order}) AS spans
+  FROM isles GROUP BY hash, isle),
+ greedy AS (
+  SELECT hash, unnest(list_reduce(spans, lambda kept, c:
+    CASE WHEN len(list_filter(kept, lambda k: k.s < c[1].e AND c[1].s < k.e)) > 0 THEN kept
+         ELSE list_concat(kept, c) END)) AS z FROM lists),
+ kept AS (SELECT hash, z.label AS label, z.s AS start, z.e AS "end" FROM greedy)
+""" + 'SELECT hash, label, start, "end" FROM kept'
+
+
+SQL_RAGGED = SQL_GOLD + """,
+ ragged AS (
+  SELECT hash, label, CASE WHEN "end" - start > 2 AND x = '0' THEN start + 1 ELSE start END AS start,
+         CASE WHEN "end" - start > 2 AND x = '1' THEN "end" - 1 ELSE "end" END AS "end"
+  FROM (SELECT *, substr(md5(hash || '|' || idx || '|r'), 1, 1) AS x FROM gold))"""
+
+
+def windows_sql(stride: int = STRIDE, max_length: int = MAX_LENGTH) -> str:
+    """Windows and their tokens; ``i`` counts inside the window, 0 is the special token."""
+
+    content = max_length - 2
+    step = content - stride
+    return f""",
+ indexed AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY pos) - 1 AS idx FROM tok),
+ sizes AS (SELECT d.hash, count(t.hash) AS n FROM docs d LEFT JOIN tok t ON t.hash = d.hash GROUP BY d.hash),
+ wins AS (
+  SELECT hash, n, unnest(range(CASE WHEN n <= {content} THEN 1
+    ELSE 1 + CAST(ceil((n - {content}) / {step}.0) AS BIGINT) END)) AS window_id FROM sizes),
+ wtok AS (
+  SELECT w.hash, window_id, window_id * {step} AS first_token, idx - window_id * {step} + 1 AS i, tok, start, "end",
+         least({content}, n - window_id * {step}) AS size
+  FROM wins w JOIN indexed t ON t.hash = w.hash AND idx >= window_id * {step} AND idx < window_id * {step} + {content}),
+ wbounds AS (
+  SELECT hash, window_id, min(start) AS window_start, max("end") AS window_end FROM wtok GROUP BY hash, window_id),
+ wparts AS (
+  SELECT e.hash, window_id, label, e.start, e."end",
+   CASE WHEN window_start <= e.start AND e."end" <= window_end THEN 'complete' ELSE 'partial' END AS part
+  FROM ragged e JOIN wbounds b ON b.hash = e.hash AND e.start < window_end AND e."end" > window_start),
+ wmask AS (
+  SELECT t.hash, t.window_id, t.i, t.start, t."end", count(p.hash) = 0 AS usable
+  FROM wtok t LEFT JOIN wparts p ON p.hash = t.hash AND p.window_id = t.window_id AND p.part = 'partial'
+    AND t.start < p."end" AND t."end" > p.start GROUP BY ALL),
+ wspans AS (
+  SELECT p.hash, p.window_id, p.label, p.start, p."end", min(i) AS token_start, max(i) AS token_end,
+         min(t.start) = p.start AND max(t."end") = p."end" AS exact
+  FROM wparts p JOIN wtok t ON t.hash = p.hash AND t.window_id = p.window_id AND t.start < p."end" AND t."end" > p.start
+  WHERE part = 'complete' GROUP BY p.hash, p.window_id, p.label, p.start, p."end")"""
+
+
+SQL_SCORED = windows_sql() + """,
+ wscores AS (
+  SELECT hash, window_id, ('0x' || substr(m, 1, 1))::BIGINT % 3 AS label_id, i AS token_start,
+         least(i + ('0x' || substr(m, 2, 1))::BIGINT % 2, size) AS token_end,
+         ('0x' || substr(m, 3, 2))::BIGINT / 128.0::DOUBLE - 1.0::DOUBLE AS score
+  FROM (SELECT *, md5(tok) AS m FROM wtok)),
+ wcands AS (
+  SELECT s.hash, s.window_id, (['ORG', 'NAME', 'GEO'])[label_id + 1] AS label, a.start, b."end", score
+  FROM wscores s JOIN wtok a ON a.hash = s.hash AND a.window_id = s.window_id AND a.i = token_start
+  JOIN wtok b ON b.hash = s.hash AND b.window_id = s.window_id AND b.i = token_end WHERE score > 0),
+ merged AS (
+  SELECT hash, label, start, "end", max(score) AS score FROM wcands GROUP BY hash, label, start, "end")"""
+
+SQL_CLASSES = windows_sql() + """,
+ wclass AS (
+  SELECT hash, window_id, start, "end", c AS class_id,
+         ('0x' || substr(md5(tok || '|' || window_id), c * 2 + 1, 2))::BIGINT / 256.0::DOUBLE AS p
+  FROM wtok CROSS JOIN (SELECT unnest(range(7)) AS c)),
+ means AS (SELECT hash, start, "end", class_id, avg(p) AS p FROM wclass GROUP BY hash, start, "end", class_id),
+ best AS (
+  SELECT hash, start, "end", (['O','B-ORG','I-ORG','B-NAME','I-NAME','B-GEO','I-GEO'])[class_id + 1] AS tag FROM (
+   SELECT *, row_number() OVER (PARTITION BY hash, start, "end" ORDER BY p DESC, class_id) AS r FROM means) WHERE r = 1),
+ bio AS (
+  SELECT hash, label, min(start) AS start, max("end") AS "end" FROM (
+   SELECT *, sum(opens) OVER (PARTITION BY hash ORDER BY start, "end") AS run FROM (
+    SELECT *, CASE WHEN starts_with(tag, 'B') OR lag(label) OVER w IS DISTINCT FROM label THEN 1 ELSE 0 END AS opens
+    FROM (SELECT *, nullif(substr(tag, 3), '') AS label FROM best)
+    WINDOW w AS (PARTITION BY hash ORDER BY start, "end")))
+  WHERE label IS NOT NULL GROUP BY hash, run, label)"""
+
 SQL_SURFACES = SQL_GOLD + """,
  surfaces AS (
   SELECT g.ord, g.hash, g.idx, label, start, "end", substring(d.text, start + 1, "end" - start) AS surface
@@ -364,10 +545,42 @@ def sql_key(expression: str) -> str:
     return f"replace(lower({sql_clean(expression)}), 'ß', 'ss')"
 
 
+SQL_OPTIONS = SQL_SURFACES + """,
+ distinct_surfaces AS (SELECT DISTINCT label, surface, substr(md5(surface), 1, 3) AS g FROM surfaces),
+ ahead AS (
+  SELECT label, surface, unnest([1, 2, 3]) AS rank, unnest([lead(surface, 1) OVER w, lead(surface, 2) OVER w,
+   lead(surface, 3) OVER w]) AS candidate
+  FROM distinct_surfaces WINDOW w AS (PARTITION BY label, g ORDER BY surface)),
+ options AS (SELECT * FROM ahead WHERE candidate IS NOT NULL),
+ chosen_docs AS (
+  SELECT * FROM docs WHERE ('0x' || substr(md5('42|select|' || hash), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.15),
+ picked AS (
+  SELECT hash, label, start, "end", surface, candidate AS replacement FROM (
+   SELECT s.*, n, ('0x' || substr(md5('42|' || s.hash || '|' || s.label || '|' || s.start || '|' || s."end"), 1, 8))::BIGINT
+     AS number
+   FROM surfaces s JOIN chosen_docs USING (hash)
+   JOIN (SELECT label, surface, count(*) AS n FROM options GROUP BY label, surface) c USING (label, surface)) x
+  JOIN options o USING (label, surface) WHERE o.rank = number % n + 1),
+ rewritten_spans AS (
+  SELECT s.ord, s.hash, s.label, s.start, s."end", coalesce(p.replacement, s.surface) AS put,
+         CASE WHEN p.hash IS NULL THEN 0 ELSE 1 END AS hit,
+         coalesce(lag(s."end") OVER (PARTITION BY s.hash ORDER BY s.start), 0) AS before
+  FROM surfaces s LEFT JOIN picked p USING (hash, label, start, "end")
+  WHERE s.hash IN (SELECT hash FROM picked)),
+ moved AS (
+  SELECT *, CAST(sum(start - before + length(put)) OVER (PARTITION BY hash ORDER BY start) AS BIGINT) AS new_end
+  FROM rewritten_spans),
+ rewritten AS (
+  SELECT m.ord, m.hash AS source_hash,
+   string_agg(substring(d.text, before + 1, start - before) || put, '' ORDER BY start)
+     || substring(any_value(d.text), max("end") + 1) AS text,
+   sum(hit)::BIGINT AS replaced, sum(new_end - length(put))::BIGINT AS starts, sum(new_end)::BIGINT AS ends
+  FROM moved m JOIN docs d USING (hash) GROUP BY m.ord, m.hash)"""
+
 SQL_ALIASES = SQL_SURFACES + f""",
  aliases AS (
   SELECT CASE WHEN d = 0 THEN 'PER' ELSE label END AS label, surface AS alias,
-         CASE WHEN d = 1 THEN '...' ELSE upper(surface) || '.' END AS canonical
+         CASE WHEN d = 1 THEN '...' ELSE '~' || surface || '.' END AS canonical
   FROM (SELECT DISTINCT label, surface, ('0x' || substr(md5(surface || '|alias'), 1, 2))::BIGINT AS d FROM surfaces)
   WHERE d < 64),
  alias_clean AS (
