@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from spanloom.functions.arrays import index_by_end, last_end, let, running_sum
@@ -287,9 +288,15 @@ def augment_append(records: DataFrame, rewritten: DataFrame, block: int = 100_00
     """Originals followed by the variants, which are numbered in record order."""
 
     numbered = number_rows(rewritten, "ord", "variant", block)
-    shift = records.agg(F.coalesce(F.max("ord") + 1, F.lit(0))).scalar()
+    if isinstance(records.schema["ord"].dataType, T.LongType):
+        originals = records
+        shift = records.agg(F.coalesce(F.max("ord") + 1, F.lit(0))).scalar()
+        place = shift + F.col("variant") - 1
+    else:
+        part = lambda n: F.struct(F.lit(n).alias("part"), F.col("ord").alias("ord"))
+        originals, place = records.withColumn("ord", part(0)), part(1)
     variants = numbered.select(
-        (shift + F.col("variant") - 1).alias("ord"),
+        place.alias("ord"),
         augmented_hash(F.col("source_hash"), F.col("variant"), F.col("text")).alias("hash"),
         "text",
         "entities",
@@ -299,7 +306,7 @@ def augment_append(records: DataFrame, rewritten: DataFrame, block: int = 100_00
             F.col("variant").alias("variant"),
         ).alias("augmentation"),
     )
-    return records.select("ord", "hash", "text", "entities").unionByName(
+    return originals.select("ord", "hash", "text", "entities").unionByName(
         variants, allowMissingColumns=True
     )
 

@@ -158,7 +158,7 @@ def convert_arrays(rows: DataFrame) -> DataFrame:
     broken = F.size(entity_errors(F.col("entities"), F.length(text))) > 0
     return kept.select(
         "ord",
-        source_hash(F.col("id"), text, F.col("ord").cast("string")).alias("hash"),
+        source_hash(F.col("id"), text, _position(rows)).alias("hash"),
         "text",
         "entities",
         F.transform("spans", lambda e: e["label"]).alias("source_labels"),
@@ -167,6 +167,14 @@ def convert_arrays(rows: DataFrame) -> DataFrame:
     )
 
 
+def _position(rows: DataFrame) -> Column:
+    """Text that stands in for a missing id: where the row came from."""
+
+    if isinstance(rows.schema["ord"].dataType, T.StructType):
+        return F.concat_ws(":", "ord.file", "ord.block", "ord.seq")
+    return F.col("ord").cast("string")
+
+
 def label_counts(labels: DataFrame, table: dict[str, str]) -> DataFrame:
     """``(source_label, target_label, n)`` of a table of source labels; unmapped keep NULL."""
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from spanloom.functions.text import seeded_key
@@ -26,12 +27,21 @@ def dedup_against(new: DataFrame, *existing: DataFrame) -> DataFrame:
 
 
 def append_train(train: DataFrame, new: DataFrame) -> DataFrame:
-    """Train followed by the new records; ``ord`` of the new ones starts after train's."""
+    """Train followed by the new records.
 
-    shift = train.agg(F.coalesce(F.max("ord") + 1, F.lit(0))).scalar()
-    return train.unionByName(
-        new.withColumn("ord", F.col("ord") + shift), allowMissingColumns=True
+    A numeric ``ord`` of the new records is shifted past train's; the struct that file
+    readers give is put behind a part number.
+    """
+
+    if isinstance(train.schema["ord"].dataType, T.LongType):
+        shift = train.agg(F.coalesce(F.max("ord") + 1, F.lit(0))).scalar()
+        return train.unionByName(
+            new.withColumn("ord", F.col("ord") + shift), allowMissingColumns=True
+        )
+    part = lambda df, n: df.withColumn(
+        "ord", F.struct(F.lit(n).alias("part"), F.col("ord").alias("ord"))
     )
+    return part(train, 0).unionByName(part(new, 1), allowMissingColumns=True)
 
 
 def _smallest(rows: DataFrame, count: Column, key: str) -> Column:

@@ -9,6 +9,7 @@ back on the block.  The sequential part sees rows / BLOCK rows.
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 BLOCK = 1_000_000
@@ -75,9 +76,17 @@ def contiguous_groups(
 
 
 def number_rows(rows: DataFrame, order: str, name: str, block: int = BLOCK) -> DataFrame:
-    """Consecutive numbers from 1 in ``order`` over the whole dataset, as ``name``."""
+    """Consecutive numbers from 1 in ``order`` over the whole dataset, as ``name``.
 
-    blocked = rows.withColumn("block", F.floor(F.col(order) / block))
+    A numeric ``order`` is cut into blocks of ``block``; the struct that file readers give
+    already names the split of its file.
+    """
+
+    if isinstance(rows.schema[order].dataType, T.StructType):
+        cell = F.struct(F.col(f"{order}.file"), F.col(f"{order}.block"))
+    else:
+        cell = F.floor(F.col(order) / block)
+    blocked = rows.withColumn("block", cell)
     sizes = blocked.groupBy("block").agg(F.count("*").alias("rows_here"))
     # one summary row per block, so the unpartitioned window below is short
     offsets = sizes.select(

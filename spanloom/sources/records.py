@@ -1,5 +1,201 @@
-"""Placeholder."""
+"""JSON Lines records and predictions, read strictly.
 
+The file is scanned as text and each line is parsed to a VARIANT, because the JSON data
+source silently skips blank lines and turns numbers into strings.  Everything about one
+line is decided in the row; only the uniqueness of ``hash`` needs a shuffle.
+
+``ord`` is ``struct<file,block,seq>``: file path, start of the split, place in the
+split.  It orders and identifies lines without a counting pass over the data.
+"""
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.functions.arrays import let
+from spanloom.operators.validate import canonical_array, duplicate_hash, entity_errors
+from spanloom.schema import ENTITIES
+
+BLANK = r"(?U)^[\s\x1c-\x1f]*$"
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(ord, value)`` for every line below ``path``; a UTF-8 byte order mark is dropped."""
+
+    lines = spark.read.text(path).select(
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("seq"),
+        ).alias("ord"),
+        "value",
+    )
+    return lines.withColumn("value", F.regexp_replace("value", "^﻿", ""))
+
+
+def _kind(variant: Column, path: str) -> Column:
+    """JSON type at a path: STRING, BIGINT, BOOLEAN, ... or NULL when absent."""
+
+    return F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
+
+
+def _entity(item: Column) -> Column:
+    """A typed entity; a label or offset of another JSON type becomes NULL."""
+
+    typed = lambda name, kind, target: F.when(
+        _kind(item, f"$.{name}") == kind, F.try_variant_get(item, f"$.{name}", target)
+    )
+    return F.struct(
+        typed("label", "STRING", "string").alias("label"),
+        typed("start", "BIGINT", "bigint").alias("start"),
+        typed("end", "BIGINT", "bigint").alias("end"),
+    )
+
+
+def parse_records(
+    lines: DataFrame,
+    mode: str = "contract",
+    require_text: bool = True,
+    require_entities: bool = True,
+    require_hash: bool = True,
+) -> DataFrame:
+    """``(ord, value, hash, text, entities, error)``; ``error`` is the first broken rule.
+
+    Without a text (predictions) the offsets are only checked against each other; the
+    bounds follow when the prediction meets its gold record.
+    """
+
+    v = F.col("v")
+    parsed = lines.withColumn("v", F.try_parse_json("value"))
+    hash_kind, text_kind, list_kind = (_kind(v, f"$.{n}") for n in ("hash", "text", "entities"))
+    is_list = F.coalesce(F.startswith(list_kind, F.lit("ARRAY")), F.lit(False))
+    items = F.try_variant_get(v, "$.entities", "array<variant>")
+    fields = parsed.select(
+        "ord",
+        "value",
+        F.schema_of_variant(v).alias("kind"),
+        F.when(hash_kind == "STRING", F.try_variant_get(v, "$.hash", "string")).alias("hash"),
+        F.when(text_kind == "STRING", F.try_variant_get(v, "$.text", "string")).alias("text"),
+        text_kind.alias("text_kind"),
+        F.when(is_list, F.transform(items, _entity)).cast(ENTITIES).alias("entities"),
+    )
+    blank = F.col("value").rlike(BLANK)
+    no_hash = F.coalesce(F.col("hash") == "", F.lit(True))
+    no_text = F.col("text").isNull()
+    whole = (
+        F.when(blank, "blank")
+        .when(F.col("kind").isNull(), "json")
+        .when(~F.startswith("kind", F.lit("OBJECT")), "object")
+        .when(no_hash & F.lit(require_hash), "hash")
+        .when(no_text & (F.lit(require_text) | F.col("text_kind").isNotNull()), "text")
+    )
+    if require_entities:
+        length = F.coalesce(F.length("text").cast("bigint"), F.lit(2**62))
+        first = let(
+            entity_errors(F.col("entities"), length, mode),
+            lambda found: F.when(F.size(found) > 0, F.array_min(found)["error"]),
+        )
+        whole = whole.when(F.col("entities").isNull(), "entities").otherwise(first)
+    return fields.withColumn("error", whole).select("ord", "value", "hash", "text", "entities", "error")
+
+
+def duplicates(parsed: DataFrame) -> DataFrame:
+    """``(ord, error)`` of otherwise good rows repeating an earlier hash."""
+
+    good = parsed.filter("error is null").select("ord", "hash")
+    return duplicate_hash(good).select("ord", F.lit("duplicate_hash").alias("error"))
+
+
+def violations(parsed: DataFrame, unique: bool = True) -> DataFrame:
+    """``(ord, error)`` of every rejected line."""
+
+    broken = parsed.filter("error is not null").select("ord", "error")
+    return broken.unionByName(duplicates(parsed)) if unique else broken
+
+
+def quarantine(parsed: DataFrame) -> DataFrame:
+    """The rejected lines with their text, for a side table."""
+
+    return parsed.select("ord", "value").join(violations(parsed), "ord")
+
+
+def checked(parsed: DataFrame, strict: bool = True, unique: bool = True, kind: str = "records") -> DataFrame:
+    """The good rows.  Strict mode fails on the first violation in file order."""
+
+    if strict:
+        first = violations(parsed, unique).orderBy("ord").first()
+        if first is not None:
+            raise ValueError(f"{first['ord']['file']}: {first['error']} at {tuple(first['ord'])[1:]}")
+        good = parsed
+    else:
+        good = parsed.filter("error is null")
+        if unique:
+            good = good.join(duplicates(parsed).select("ord"), "ord", "left_anti")
+    if good.limit(1).count() == 0:
+        raise ValueError(f"no {kind}")
+    return good.drop("error", "value")
+
+
+def read_records(
+    spark: SparkSession,
+    path: str,
+    *,
+    require_entities: bool = True,
+    mode: str = "contract",
+    strict: bool = True,
+) -> DataFrame:
+    """``(ord, hash, text[, entities])`` from JSON Lines."""
+
+    # inspection accepts repeated and missing hashes
+    inspecting = mode == "inspect"
+    parsed = parse_records(
+        read_lines(spark, path), mode, require_entities=require_entities, require_hash=not inspecting
+    )
+    good = checked(parsed, strict, unique=not inspecting)
+    if not require_entities:
+        return good.drop("entities")
+    return good.withColumn("entities", canonical_array(F.col("entities")))
+
+
+def read_predictions(
+    spark: SparkSession, path: str, *, mode: str = "score", strict: bool = True
+) -> DataFrame:
+    """``(ord, hash, text, entities)``; the text is optional."""
+
+    parsed = parse_records(read_lines(spark, path), mode, require_text=False)
+    return checked(parsed, strict, kind="prediction records")
+
+
+def read_limit(records: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` records in file order."""
 
-def read_limit(records, n):
     return records.orderBy("ord").limit(n)
+
+
+def read_source_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """Parallel-array rows ``(ord, id, text, surfaces, labels)`` from JSON Lines.
+
+    Rules about the arrays are checked by the converter, which sets ``error``; an
+    unreadable line fails here.  An id of any JSON type is kept as written.
+    """
+
+    v = F.try_parse_json("value")
+    lines = read_lines(spark, path).withColumn("v", v)
+    text_list = lambda name: F.when(
+        F.startswith(_kind(F.col("v"), f"$.{name}"), F.lit("ARRAY")),
+        F.transform(
+            F.try_variant_get("v", f"$.{name}", "array<variant>"),
+            lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")),
+        ),
+    )
+    bad = F.when(F.col("value").rlike(BLANK), "empty line").when(
+        ~F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False)), "not an object"
+    )
+    return lines.select(
+        "ord",
+        F.when(bad.isNull(), F.try_variant_get("v", "$.id", "string"))
+        .otherwise(F.raise_error(bad))
+        .alias("id"),
+        F.when(_kind(F.col("v"), "$.text") == "STRING", F.try_variant_get("v", "$.text", "string")).alias("text"),
+        text_list("entities").alias("surfaces"),
+        text_list("entity_type").alias("labels"),
+    )
