@@ -19,7 +19,7 @@ def greedy_island(spans: Column) -> Column:
 
     none = F.filter(spans, lambda s: F.lit(False))
     folded = F.aggregate(
-        F.array_sort(spans),
+        F.sort_array(spans),
         none,
         lambda kept, s: F.when(
             F.exists(kept, lambda k: spans_overlap(k["start"], k["end"], s["start"], s["end"])), kept
@@ -43,7 +43,7 @@ def keep_disjoint(spans: Column, rank: Callable[[Column], list[Column]]) -> Colu
             *order, e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end")
         )
 
-    by_start = F.array_sort(
+    by_start = F.sort_array(
         F.transform(
             spans,
             lambda e, i: F.struct(
@@ -54,7 +54,7 @@ def keep_disjoint(spans: Column, rank: Callable[[Column], list[Column]]) -> Colu
             ),
         )
     )
-    ends = F.array_sort(F.transform(spans, lambda e: e["end"]))
+    ends = F.sort_array(F.transform(spans, lambda e: e["end"]))
 
     def islands(sorted_spans: Column, sorted_ends: Column, cuts: Column) -> Column:
         return F.flatten(
@@ -85,7 +85,7 @@ def keep_disjoint(spans: Column, rank: Callable[[Column], list[Column]]) -> Colu
         by_start,
         lambda s: let(ends, lambda z: let(opens(s, z), lambda cuts: islands(s, z, cuts))),
     )
-    return F.array_sort(
+    return F.sort_array(
         F.transform(
             kept,
             lambda e: F.struct(

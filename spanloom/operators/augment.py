@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from spanloom.operators.rows import each
 from spanloom.functions.arrays import index_by_end, last_end, let, running_sum
 from spanloom.functions.text import augmented_hash, characters, cut, seeded_number
 from spanloom.operators.joins import lookup_join
@@ -56,8 +57,8 @@ def surface_vectors(surface_tokens: DataFrame, token_vectors: DataFrame) -> Data
     keys, hence ``lookup_join``; the mean is combined on the map side.
     """
 
-    rows = surface_tokens.select(
-        "label", "surface", F.explode(F.slice("tokens", 1, MAX_SURFACE_TOKENS)).alias("token")
+    rows = each(
+        surface_tokens, ["label", "surface"], F.slice("tokens", 1, MAX_SURFACE_TOKENS), "token"
     )
     joined = lookup_join(rows, token_vectors, ["token"], "inner")
     mean = joined.groupBy("label", "surface").agg(
@@ -191,15 +192,16 @@ def pick_replacement(spans: DataFrame, neighbours: DataFrame, seed: int) -> Data
     """Spans ``(hash, label, start, end, surface)`` with a ``replacement``.
 
     The choice among the (at most ``max_candidates``) candidates is a digest of seed,
-    record and entity; spans without a candidate are left out.
+    record and entity; spans without a candidate are left out.  The candidates come out of
+    the neighbour search and are read twice (measured, then joined), so they are materialized.
     """
 
     options = neighbours.groupBy("label", "surface").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", "candidate"))), lambda c: c["candidate"]
+            F.sort_array(F.collect_list(F.struct("rank", "candidate"))), lambda c: c["candidate"]
         ).alias("options")
     )
-    joined = lookup_join(spans, options, ["label", "surface"], "inner")
+    joined = lookup_join(spans, materialize(options), ["label", "surface"], "inner")
     number = seeded_number(seed, F.col("hash"), F.col("label"), F.col("start"), F.col("end"))
     choice = F.pmod(number, F.size("options")).cast("int")
     return joined.select(*spans.columns, F.get("options", choice).alias("replacement"))
@@ -220,7 +222,7 @@ def rewrite_record(records: DataFrame, replacements: DataFrame) -> DataFrame:
     All spans are kept; only those with a replacement change their surface.
     """
 
-    chosen = F.array_sort(F.collect_list(F.struct("start", "end", "label", "replacement")))
+    chosen = F.sort_array(F.collect_list(F.struct("start", "end", "label", "replacement")))
     listed = replacements.groupBy("hash").agg(chosen.alias("chosen"))
 
     def new_surface(chars: Column, picks: Column, by_end: Column, e: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.operators.rows import each
 from spanloom import schema as S
 from spanloom.functions.arrays import let, positions, running_sum
 from spanloom.functions.greedy import keep_disjoint, longest_first
@@ -201,15 +202,24 @@ def max_sentences(grouped: DataFrame, n: int) -> DataFrame:
 def parse_tag(tag: Column) -> Column:
     """``struct<prefix,label>`` of a BIOES tag, NULL for an unsupported one."""
 
-    clean = F.replace(F.upper(tag), F.lit("_"), F.lit("-"))
-    prefix = F.substring_index(clean, "-", 1)
-    label = F.substring(clean, F.length(prefix) + 2, F.length(clean))
-    kept = F.regexp_replace(label, r"[^\p{L}\p{N}]", "")
-    outside = F.struct(F.lit("O").alias("prefix"), F.lit(None).cast("string").alias("label"))
-    return F.when(clean == "O", outside).when(
-        prefix.isin("B", "I", "O", "E", "S") & (label != ""),
-        F.struct(prefix.alias("prefix"), kept.alias("label")),
-    )
+    def parse(clean: Column, prefix: Column, label: Column) -> Column:
+        kept = F.regexp_replace(label, r"[^\p{L}\p{N}]", "")
+        outside = F.struct(F.lit("O").alias("prefix"), F.lit(None).cast("string").alias("label"))
+        return F.when(clean == "O", outside).when(
+            prefix.isin("B", "I", "O", "E", "S") & (label != ""),
+            F.struct(prefix.alias("prefix"), kept.alias("label")),
+        )
+
+    def split(clean: Column) -> Column:
+        return let(
+            F.substring_index(clean, "-", 1),
+            lambda prefix: let(
+                F.substring(clean, F.length(prefix) + 2, F.length(clean)),
+                lambda label: parse(clean, prefix, label),
+            ),
+        )
+
+    return let(F.replace(F.upper(tag), F.lit("_"), F.lit("-")), split)
 
 
 def detokenize(grouped: DataFrame) -> DataFrame:
@@ -221,7 +231,7 @@ def detokenize(grouped: DataFrame) -> DataFrame:
     sentences = grouped.groupBy("sheet", "run_start").agg(
         F.min("run_no").alias("run_no"),
         F.min("sentence_id").alias("sentence_id"),
-        F.array_sort(F.collect_list(F.struct("row_no", "word", "tag"))).alias("rows"),
+        F.sort_array(F.collect_list(F.struct("row_no", "word", "tag"))).alias("rows"),
     )
     tight_before = F.lit(S.NO_SPACE_BEFORE)
     tight_after = F.lit(S.NO_SPACE_AFTER)
@@ -394,9 +404,5 @@ def tag_quality_counts(decoded: DataFrame) -> DataFrame:
             F.array(F.struct(F.lit("sentences").alias("metric"), F.col("sheet").alias("key"))),
         )
     )
-    return (
-        decoded.filter("error is null")
-        .select(F.explode(events).alias("e"))
-        .groupBy(F.col("e.metric").alias("metric"), F.col("e.key").alias("key"))
-        .agg(F.count("*").alias("value"))
-    )
+    rows = each(decoded.filter("error is null"), [], events)
+    return rows.groupBy("metric", "key").agg(F.count("*").alias("value"))

@@ -1,10 +1,13 @@
 """Merging, thinning and sampling of whole corpora, with their audit counts."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from spanloom.operators.rows import each
 from spanloom.functions.text import seeded_key
 from spanloom.operators.validate import is_empty_record, prefix_source
 from spanloom.schema import ADDED_PREFIXES
@@ -44,26 +47,30 @@ def append_train(train: DataFrame, new: DataFrame) -> DataFrame:
     return part(train, 0).unionByName(part(new, 1), allowMissingColumns=True)
 
 
-def _smallest(rows: DataFrame, count: Column, key: str) -> Column:
-    """Scalar ``struct(key, ord)`` of the ``count``-th smallest seeded key, NULL for none.
+def _smallest(rows: DataFrame, key: str, count: Callable[[Column], Column]) -> Column:
+    """Scalar ``struct(key, ord)`` of the row whose rank by seeded key is ``count(total)``.
 
-    Keys are uniform hex digests, so their first four digits give 65,536 even buckets.
-    Bucket sizes locate the one bucket that holds the answer and only that bucket
-    is ranked; the result filters the wide records without any join.
+    NULL if there is no such row.  Keys are uniform hex digests, so their first four digits
+    give 65,536 even buckets.  Bucket sizes locate the one bucket that holds the answer and
+    only that bucket is ranked; the result filters the wide records without any join.
     """
 
     narrow = rows.select(F.col(key), "ord", F.substring(key, 1, 4).alias("bucket"))
     sizes = narrow.groupBy("bucket").agg(F.count("*").alias("n"))
-    # at most 65,536 rows reach this window, whatever the size of the corpus
-    reached = sizes.select(
-        "bucket", "n", F.sum("n").over(W.orderBy("bucket")).alias("upto")
-    ).filter((F.col("upto") - F.col("n") < count) & (F.col("upto") >= count))
-    bucket = reached.agg(F.max("bucket")).scalar()
-    before = reached.agg(F.max(F.col("upto") - F.col("n"))).scalar()
-    ranked = narrow.filter(F.col("bucket") == bucket).withColumn(
+    # at most 65,536 rows reach these windows, whatever the size of the corpus
+    running = sizes.select(
+        "bucket",
+        (F.sum("n").over(W.orderBy("bucket")) - F.col("n")).alias("before"),
+        "n",
+        count(F.sum("n").over(W.partitionBy())).alias("wanted"),
+    ).filter("before < wanted and before + n >= wanted")
+    place = running.agg(
+        F.max(F.struct("bucket", (F.col("wanted") - F.col("before")).alias("rank")))
+    ).scalar()
+    ranked = narrow.filter(F.col("bucket") == place["bucket"]).withColumn(
         "rank", F.row_number().over(W.partitionBy("bucket").orderBy(key, "ord"))
     )
-    chosen = ranked.filter(F.col("rank") == count - before)
+    chosen = ranked.filter(F.col("rank") == place["rank"])
     return chosen.agg(F.max(F.struct(F.col(key), F.col("ord")))).scalar()
 
 
@@ -88,8 +95,7 @@ def mark_empty_added(
     eligible = F.col("is_empty") & F.col("source").isNotNull()
     key = F.when(eligible, seeded_key(seed, F.col("hash")))
     narrow = flagged.filter(eligible).select("ord", key.alias("key"))
-    count = F.floor(narrow.agg(F.count("*")).scalar() * F.lit(drop_fraction))
-    cutoff = _smallest(narrow, count, "key")
+    cutoff = _smallest(narrow, "key", lambda n: F.floor(n * F.lit(drop_fraction)))
     at_most = F.struct(key.alias("key"), F.col("ord")) <= cutoff
     return flagged.withColumn("removed", F.coalesce(eligible & at_most, F.lit(False)))
 
@@ -112,7 +118,7 @@ def sample_n(records: DataFrame, n: int, seed: int) -> DataFrame:
     if n <= 0:
         raise ValueError("number must be positive")
     keyed = records.withColumn("sample_key", seeded_key(seed, F.col("hash")))
-    cutoff = _smallest(keyed.select("ord", "sample_key"), F.lit(n), "sample_key")
+    cutoff = _smallest(keyed.select("ord", "sample_key"), "sample_key", lambda _: F.lit(n))
     enough = F.when(
         cutoff.isNull(), F.raise_error(F.lit(f"number={n} exceeds the available records")).cast("boolean")
     ).otherwise(F.struct("sample_key", "ord") <= cutoff)
@@ -138,9 +144,10 @@ def merge_manifest(
     count = lambda df, name: df.agg(F.count("*").alias(name))
     n_train, n_dev = count(train, "n").scalar(), count(dev, "n").scalar()
     n_converted = count(converted, "n").scalar()
-    totals = added.agg(F.count("*").alias("added")).select(
-        F.explode(
-            F.array(
+    totals = each(
+        added.agg(F.count("*").alias("added")),
+        [],
+        F.array(
                 *[
                     F.struct(F.lit(name).alias("metric"), value.cast("bigint").alias("value"))
                     for name, value in (
@@ -152,13 +159,10 @@ def merge_manifest(
                         ("skipped_duplicate_text", n_converted - F.col("added")),
                     )
                 ]
-            )
-        ).alias("m")
-    )
-    manifest = totals.select("m.metric", F.lit("").alias("key"), "m.value")
-    labels = (
-        added.select(F.explode("entities.label").alias("key")).groupBy("key").agg(F.count("*").alias("value"))
+        ),
     )
+    manifest = totals.select("metric", F.lit("").alias("key"), "value")
+    labels = each(added, [], "entities").groupBy(F.col("label").alias("key")).agg(F.count("*").alias("value"))
     manifest = manifest.unionByName(
         _long(labels, "added_entities_by_target_label", F.col("key"), "value")
     )
@@ -170,7 +174,7 @@ def merge_manifest(
         from spanloom.schema import ARRAY_LABELS
 
         names = (
-            converted.select(F.explode("source_labels").alias("key"))
+            each(converted, [], "source_labels", "key")
             .groupBy("key")
             .agg(F.count("*").alias("value"))
         )

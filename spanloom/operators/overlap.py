@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spanloom.operators.rows import each
 from spanloom.functions.greedy import greedy_island, spans_overlap
 
 CELL = 512
@@ -45,7 +46,7 @@ def keep_greedily(spans: DataFrame, priority: list[Column], keys: list[str]) ->
     (ascending, best first) reads.  Returns the kept ``keys + label, start, end``.
     """
 
-    by_start = W.partitionBy(*keys).orderBy("start", "end")
+    by_start = W.partitionBy(*keys).orderBy("start", "end", "label", *priority)
     before = F.max("end").over(by_start.rowsBetween(W.unboundedPreceding, -1))
     islands = spans.withColumn(
         "opens", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int")
@@ -53,8 +54,8 @@ def keep_greedily(spans: DataFrame, priority: list[Column], keys: list[str]) ->
     rank = [p.alias(f"p{i}") for i, p in enumerate(priority)]
     span = F.struct(*rank, F.col("label"), F.col("start"), F.col("end"))
     grouped = islands.groupBy(*keys, "island").agg(F.collect_list(span).alias("spans"))
-    chosen = grouped.select(*keys, F.explode(greedy_island(F.col("spans"))).alias("s"))
-    return chosen.select(*keys, "s.label", "s.start", "s.end")
+    chosen = each(grouped, keys, greedy_island(F.col("spans")))
+    return chosen.select(*keys, "label", "start", "end")
 
 
 def drop_overlaps_longest(spans: DataFrame, keys: list[str] | None = None) -> DataFrame:

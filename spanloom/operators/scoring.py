@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spanloom.operators.rows import each
 from spanloom.functions.arrays import index_by_end, last_end, let, run_starts
 from spanloom.functions.text import characters, cut
 from spanloom.schema import LABELS
@@ -19,9 +20,8 @@ KEY = ["hash", "label", "start", "end"]
 def explode_spans(records: DataFrame, *keep: str) -> DataFrame:
     """``(hash, *keep, label, start, end)`` from records."""
 
-    return records.select("hash", *keep, F.explode("entities").alias("e")).select(
-        "hash", *keep, "e.label", "e.start", "e.end"
-    )
+    rows = each(records, ["hash", *keep], "entities")
+    return rows.select("hash", *keep, "label", "start", "end")
 
 
 def side_flags(gold: DataFrame, predictions: DataFrame, by_hash: bool = False) -> DataFrame:
@@ -146,8 +146,8 @@ def metric_report(gold: DataFrame, predictions: DataFrame, records: DataFrame) -
     """Five rows (labels, micro, macro) with the number of gold records."""
 
     n = records.agg(F.count("*")).scalar()
-    report = _wide_counts(gold, predictions).select(F.explode(_report_rows(F.col("counts"))).alias("r"))
-    return report.select("r.*").withColumn("records", n)
+    report = each(_wide_counts(gold, predictions), [], _report_rows(F.col("counts")))
+    return report.withColumn("records", n)
 
 
 def metrics_by_split(gold: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -182,11 +182,7 @@ def metrics_by_split(gold: DataFrame, predictions: DataFrame) -> DataFrame:
             for label in LABELS
         ]
     )
-    return (
-        per_epoch.join(totals, "split", "left")
-        .select("split", "epoch", F.explode(_report_rows(counts)).alias("r"))
-        .select("split", "epoch", "r.*")
-    )
+    return each(per_epoch.join(totals, "split", "left"), ["split", "epoch"], _report_rows(counts))
 
 
 def best_epoch(history: DataFrame, metric: str = "f1", maximize: bool = True) -> DataFrame:
@@ -250,10 +246,7 @@ def entity_status(gold: DataFrame, predictions: DataFrame) -> DataFrame:
             F.struct(F.lit("pred").alias("side"), status("gold", "false_positive").alias("status")),
         ),
     )
-    return (
-        reach.select(*KEY, F.explode(F.filter(sides, lambda s: s.isNotNull())).alias("s"))
-        .select("s.side", *KEY, "s.status")
-    )
+    return each(reach, KEY, F.filter(sides, lambda s: s.isNotNull())).select("side", *KEY, "status")
 
 
 def status_counts(statuses: DataFrame) -> DataFrame:
@@ -325,7 +318,7 @@ def segment_array(text: Column, gold_entities: Column, pred_entities: Column) ->
     def build(gold: Column, pred: Column, length: Column) -> Column:
         edges = F.concat(F.array(F.lit(0).cast("bigint"), length), ends(gold), ends(pred))
         return let(
-            F.array_sort(F.array_distinct(edges)),
+            F.sort_array(F.array_distinct(edges)),
             lambda bounds: let(
                 statuses(gold, pred, bounds, length), lambda states: merged(bounds, states, length)
             ),
@@ -347,7 +340,7 @@ def comparison_segments(pairs: DataFrame) -> DataFrame:
             segments, lambda s: s.withField("piece", cut(chars, s["start"], s["end"]))
         ),
     )
-    return pairs.select("hash", F.explode(pieces).alias("s")).select("hash", "s.*")
+    return each(pairs, ["hash"], pieces)
 
 
 def label_segment_array(text: Column, entities: Column) -> Column:
@@ -386,7 +379,7 @@ def label_segments(records: DataFrame) -> DataFrame:
             lambda s: s.withField("piece", cut(chars, s["start"], s["end"])),
         ),
     )
-    return records.select("hash", F.explode(pieces).alias("s")).select("hash", "s.*")
+    return each(records, ["hash"], pieces)
 
 
 def _marked(chars: Column, segments: Column, name: str) -> Column:
@@ -418,19 +411,16 @@ def mark_comparison(text: Column, gold: Column, pred: Column) -> Column:
 def entity_counts(records: DataFrame) -> DataFrame:
     """``(label, entities)`` over a dataset."""
 
-    return (
-        records.select(F.explode("entities.label").alias("label"))
-        .groupBy("label")
-        .agg(F.count("*").alias("entities"))
-    )
+    return each(records, [], "entities").groupBy("label").agg(F.count("*").alias("entities"))
 
 
 def entities_unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
     """``(label, before, after, unchanged)`` entity counts of two datasets."""
 
-    sides = before.select(F.explode("entities.label").alias("label"), F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(
-        after.select(F.explode("entities.label").alias("label"), F.lit(0).alias("b"), F.lit(1).alias("a"))
-    )
+    def labels(df: DataFrame, b: int, a: int) -> DataFrame:
+        return each(df, [], "entities").select("label", F.lit(b).alias("b"), F.lit(a).alias("a"))
+
+    sides = labels(before, 1, 0).unionByName(labels(after, 0, 1))
     return (
         sides.groupBy("label")
         .agg(F.sum("b").alias("before"), F.sum("a").alias("after"))

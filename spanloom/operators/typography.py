@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.rows import each
 from spanloom.functions.text import (
     apostrophe_matches,
     casefold,
@@ -41,7 +42,7 @@ def apostrophe_stats(records: DataFrame) -> DataFrame:
         ).alias("m")
     )
     variants = (
-        found.select(F.explode("found").alias("key"))
+        each(found, [], "found", "key")
         .groupBy("key")
         .agg(F.count("*").alias("value"))
         .select(F.lit("by_variant").alias("metric"), "key", "value")
@@ -81,7 +82,7 @@ def surfaces(records: DataFrame, *keep: str) -> DataFrame:
     """``(hash, *keep, label, start, end, surface)`` for every entity."""
 
     listed = with_surfaces(F.col("text"), F.col("entities"))
-    return records.select("hash", *keep, F.explode(listed).alias("e")).select("hash", *keep, "e.*")
+    return each(records, ["hash", *keep], listed)
 
 
 def alias_join(spans: DataFrame, index: DataFrame) -> DataFrame:

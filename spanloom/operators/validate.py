@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spanloom.operators.rows import each
 from spanloom.functions.arrays import let, neighbours
 from spanloom.schema import LABELS
 
@@ -73,7 +74,7 @@ def _entity_errors(entities: Column, length: Column, mode: str) -> Column:
             F.filter(marked, lambda e: e["error"].isNotNull()),
             lambda e: F.struct(e["idx"].alias("idx"), e["error"].alias("error")),
         )
-        valid = F.array_sort(F.filter(marked, lambda e: e["error"].isNull()))
+        valid = F.sort_array(F.filter(marked, lambda e: e["error"].isNull()))
         return F.concat(single, neighbours(valid, pair))
 
     return let(checked, collect)
@@ -83,7 +84,7 @@ def validate_spans(records: DataFrame, mode: str = "contract") -> DataFrame:
     """``(hash, idx, error)`` for every offending entity of ``(hash, text, entities)``."""
 
     errors = entity_errors(F.col("entities"), F.length("text"), mode)
-    return records.select("hash", F.explode(errors).alias("e")).select("hash", "e.idx", "e.error")
+    return each(records, ["hash"], errors)
 
 
 def canonical_array(entities: Column) -> Column:
@@ -96,7 +97,7 @@ def canonical_array(entities: Column) -> Column:
         ),
     )
     return F.transform(
-        F.array_sort(keyed),
+        F.sort_array(keyed),
         lambda e: F.struct(
             e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end")
         ),
@@ -122,7 +123,7 @@ def duplicate_entity(records: DataFrame) -> DataFrame:
         ),
     )
     repeated = neighbours(
-        F.array_sort(keyed),
+        F.sort_array(keyed),
         lambda left, right: F.when(
             left["label"].eqNullSafe(right["label"])
             & left["start"].eqNullSafe(right["start"])
@@ -130,7 +131,7 @@ def duplicate_entity(records: DataFrame) -> DataFrame:
             right,
         ),
     )
-    return records.select("hash", F.explode(repeated).alias("e")).select("hash", "e.*")
+    return each(records, ["hash"], repeated)
 
 
 def overlap_check(records: DataFrame) -> DataFrame:
@@ -143,7 +144,7 @@ def overlap_check(records: DataFrame) -> DataFrame:
         ),
     )
     clashes = neighbours(
-        F.array_sort(keyed),
+        F.sort_array(keyed),
         lambda left, right: F.when(
             right["start"] < left["end"],
             F.struct(
@@ -154,7 +155,7 @@ def overlap_check(records: DataFrame) -> DataFrame:
             ),
         ),
     )
-    return records.select("hash", F.explode(clashes).alias("e")).select("hash", "e.*")
+    return each(records, ["hash"], clashes)
 
 
 def duplicate_hash(records: DataFrame) -> DataFrame:
@@ -193,7 +194,7 @@ def validate_predictions(predictions: DataFrame, inputs: DataFrame) -> DataFrame
         whole.isNotNull(),
         F.array(F.struct(F.lit(None).cast("bigint").alias("idx"), whole.alias("error"))),
     ).otherwise(entity_errors(F.col("entities"), F.col("length")))
-    return paired.select("ord", F.explode(errors).alias("e")).select("ord", "e.idx", "e.error")
+    return each(paired, ["ord"], errors)
 
 
 def hash_differences(gold: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ that every gold entity is represented.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.rows import each
 from spanloom.functions.arrays import index_by_end, index_by_start, indexes, let
 from spanloom.functions.text import space_tokens
 from spanloom.schema import LABELS, TAGS
@@ -149,8 +150,7 @@ def token_windows(
     )
     windows = window_array(F.col("tokens"), special, content, stride)
     if "entities" not in records.columns:
-        flat = records.select("hash", F.explode(windows).alias("w"))
-        return flat.select("hash", "w.*")
+        return each(records, ["hash"], windows)
     located = entity_token_spans(
         F.col("tokens"), F.col("entities"), F.length("text").cast("bigint")
     )
@@ -158,25 +158,28 @@ def token_windows(
 
     def attach(spans: Column) -> Column:
         # entities are sorted, so those of a window form a slice; find it by token index
-        reach = F.transform(spans, lambda e: F.struct((e["last"] + 1).alias("end")))
+        ends = F.transform(spans, lambda e: F.struct((e["last"] + 1).alias("end")))
+        starts = F.transform(spans, lambda e: F.struct(e["first"].alias("start")))
         return let(
-            reach,
-            lambda r: let(
-                index_by_end(r),
-                lambda by_token: F.transform(windows, lambda w: with_entities(spans, by_token, w)),
+            index_by_end(ends),
+            lambda by_last: let(
+                index_by_start(starts, F.size("tokens")),
+                lambda by_first: F.transform(
+                    windows, lambda w: with_entities(spans, by_last, by_first, w)
+                ),
             ),
         )
 
-    def with_entities(spans: Column, by_token: Column, w: Column) -> Column:
+    def with_entities(spans: Column, by_last: Column, by_first: Column, w: Column) -> Column:
         begin = w["first_token"].cast("int")
         stop = begin + F.size(w["tokens"]) - specials
-        first = F.coalesce(F.get(by_token, begin), F.size(spans))
-        last = F.coalesce(F.get(by_token, stop - 1), F.size(spans) - 1)
-        near = F.slice(spans, first + 1, F.greatest(last - first + 1, F.lit(0)))
-        return w.withField("entities", F.filter(near, lambda e: e["first"] < stop))
+        first = F.coalesce(F.get(by_last, begin), F.size(spans))
+        last = F.coalesce(F.get(by_first, stop - 1), F.lit(-1))
+        return w.withField(
+            "entities", F.slice(spans, first + 1, F.greatest(last - first + 1, F.lit(0)))
+        )
 
-    rows = records.select("hash", F.explode(let(touching, attach)).alias("w"))
-    return rows.select("hash", "w.*")
+    return each(records, ["hash"], let(touching, attach))
 
 
 def _bounds(tokens: Column) -> Column:
@@ -252,9 +255,7 @@ def entity_token_span(parted: DataFrame) -> DataFrame:
     spans = let(
         F.col("tokens"), lambda toks: F.transform("complete", lambda e: locate(toks, e))
     )
-    return parted.select("hash", "window_id", F.explode(spans).alias("e")).select(
-        "hash", "window_id", "e.*"
-    )
+    return each(parted, ["hash", "window_id"], spans)
 
 
 def span_targets(parted: DataFrame, strict: bool = False) -> DataFrame:

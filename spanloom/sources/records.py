@@ -118,20 +118,33 @@ def quarantine(parsed: DataFrame) -> DataFrame:
     return parsed.select("ord", "value").join(violations(parsed), "ord")
 
 
+def _census(parsed: DataFrame, unique: bool) -> tuple[int, int, int]:
+    """Rows, rejected rows, and the most copies of one hash, in a single narrow pass."""
+
+    good = F.col("error").isNull()
+    key = F.when(good, F.col("hash") if unique else F.lit("all"))
+    sizes = parsed.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    has_key = F.col("key").isNotNull()
+    rows, bad, copies = sizes.agg(
+        F.coalesce(F.sum("n"), F.lit(0)),
+        F.coalesce(F.sum(F.when(~has_key, F.col("n"))), F.lit(0)),
+        F.coalesce(F.max(F.when(has_key, F.col("n"))), F.lit(0)),
+    ).first()
+    return rows, bad, copies if unique else 1
+
+
 def checked(parsed: DataFrame, strict: bool = True, unique: bool = True, kind: str = "records") -> DataFrame:
     """The good rows.  Strict mode fails on the first violation in file order."""
 
-    if strict:
+    rows, bad, copies = _census(parsed, unique)
+    if strict and (bad or copies > 1):
         first = violations(parsed, unique).orderBy("ord").first()
-        if first is not None:
-            raise ValueError(f"{first['ord']['file']}: {first['error']} at {tuple(first['ord'])[1:]}")
-        good = parsed
-    else:
-        good = parsed.filter("error is null")
-        if unique:
-            good = good.join(duplicates(parsed).select("ord"), "ord", "left_anti")
-    if good.limit(1).count() == 0:
+        raise ValueError(f"{first['ord']['file']}: {first['error']} at {tuple(first['ord'])[1:]}")
+    if rows == bad:
         raise ValueError(f"no {kind}")
+    good = parsed.filter("error is null") if bad else parsed
+    if copies > 1:
+        good = good.join(duplicates(parsed).select("ord"), "ord", "left_anti")
     return good.drop("error", "value")
 
 

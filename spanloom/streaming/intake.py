@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.operators.rows import each
 from spanloom.functions.text import casefold, clean_value, with_surfaces
 from spanloom.operators.joins import is_small
 from spanloom.sources.records import parse_records
@@ -48,7 +49,7 @@ def stream_normalize(predictions: DataFrame, index: DataFrame) -> DataFrame:
     """
 
     listed = with_surfaces(F.col("text"), F.col("entities"))
-    rows = predictions.select("hash", F.explode(listed).alias("e")).select("hash", "e.*")
+    rows = each(predictions, ["hash"], listed)
     cleaned = rows.withColumn("cleaned", clean_value(F.col("surface")))
     keyed = cleaned.withColumn("alias_key", casefold(F.col("cleaned")))
     usable = index.filter("error is null").select("label", "alias_key", "canonical")

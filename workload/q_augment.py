@@ -93,7 +93,7 @@ SELECT vec_id, cluster, round(s, 6) AS similarity FROM (
 def _(spark, sf):
     units = V.unit_embeddings(spark, sf)
     dims = units.select("label", F.posexplode("vector").alias("dim", "x")).groupBy("label", "dim").agg(F.avg("x").alias("x"))
-    means = F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda d: d["x"])
+    means = F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda d: d["x"])
     centroids = dims.groupBy(F.col("label").alias("cluster")).agg(means.alias("centroid"))
     assigned = A.assign_centroid(units.select("vec_id", "vector"), centroids)
     return assigned.select("vec_id", "cluster", F.round("similarity", 6).alias("similarity"))

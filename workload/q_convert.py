@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from spanloom.operators.rows import each
 from spanloom import schema as S
 from spanloom.functions import text as X
 from spanloom.functions.arrays import let
 from spanloom.operators import converters as C
 from spanloom.operators import corpus, scoring, typography
+from spanloom.operators.materialize import materialize
 from spanloom.operators.overlap import drop_overlaps_longest
 from workload import views as V
 from workload.registry import query
@@ -52,13 +54,13 @@ SELECT page_id, i - 1 AS start FROM (
 )
 def _(spark, sf):
     html = F.col("html")
-    pages = V.spread(V.table(spark, sf, "pages"), "page_id").select(
+    pages = V.spread(V.table(spark, sf, "pages"), "page_id", "html").select(
         "page_id",
         html.alias("text"),
         F.substring(html, F.floor(F.length(html) / 2).cast("int"), F.lit(2)).alias("surface"),
     )
     found = C.find_occurrences(pages)
-    return found.select("page_id", F.explode("starts").alias("start")).withColumn(
+    return each(found, ["page_id"], "starts", "start").withColumn(
         "start", F.col("start").cast("bigint")
     )
 
@@ -66,7 +68,8 @@ def _(spark, sf):
 @query("assign_occurrences")
 def _(spark, sf):
     placed = C.assign_occurrences(V.array_rows(spark, sf))
-    return placed.select("ord", F.posexplode("starts").alias("idx", "start"))
+    numbered = F.transform("starts", lambda s, i: F.struct(i.cast("bigint").alias("idx"), s.alias("start")))
+    return each(placed, ["ord"], numbered)
 
 
 @query(
@@ -85,12 +88,11 @@ def _(spark, sf):
         halved,
         lambda es: F.arrays_zip(es.alias("e"), X.expand_suffixes(F.col("text"), es).alias("x")),
     )
-    rows = V.gold(spark, sf).select("hash", F.explode(both).alias("z"))
-    return rows.select(
+    return each(V.gold(spark, sf), ["hash"], both).select(
         "hash",
-        F.col("z.e.start").alias("start"),
-        F.col("z.e.end").alias("end"),
-        F.col("z.x.end").alias("expanded"),
+        F.col("e.start").alias("start"),
+        F.col("e.end").alias("end"),
+        F.col("x.end").alias("expanded"),
     )
 
 
@@ -102,9 +104,7 @@ SELECT upper(source_label) AS source_label, CASE upper(source_label) WHEN 'PER'
   WHEN 'ORG' THEN 'ORG' END AS target_label, count(*) AS n FROM source_rows GROUP BY ALL""",
 )
 def _(spark, sf):
-    labels = V.array_rows(spark, sf).select(F.explode("labels").alias("l")).select(
-        F.upper("l").alias("source_label")
-    )
+    labels = each(V.array_rows(spark, sf), [], "labels", "l").select(F.upper("l").alias("source_label"))
     return C.label_counts(labels, S.ARRAY_LABELS)
 
 
@@ -164,9 +164,7 @@ def _(spark, sf):
 
 @query("detokenize_spans", V.SQL_ROWS + ' SELECT sheet, row_no, start, "end" FROM tagged')
 def _(spark, sf):
-    return sentences(spark, sf).select("sheet", F.explode("tokens").alias("t")).select(
-        "sheet", "t.row_no", "t.start", "t.end"
-    )
+    return each(sentences(spark, sf), ["sheet"], "tokens").select("sheet", "row_no", "start", "end")
 
 
 @query("parse_tag", V.SQL_ROWS + " SELECT sheet, row_no, prefix, name AS label FROM parsed")
@@ -179,7 +177,7 @@ def _(spark, sf):
 @query("decode_bioes", V.SQL_ROWS + ' SELECT sheet, run_no, name AS label, start, "end" FROM source_entities')
 def _(spark, sf):
     decoded = C.decode_bioes(sentences(spark, sf))
-    return decoded.select("sheet", "run_no", F.explode("spans").alias("s")).select("sheet", "run_no", "s.*")
+    return each(decoded, ["sheet", "run_no"], "spans")
 
 
 @query(
@@ -388,5 +386,5 @@ FROM surfaces s LEFT JOIN alias_index a
   ON a.error IS NULL AND a.label = s.label AND a.alias_key = {V.sql_key('s.surface')}""",
 )
 def _(spark, sf):
-    index = typography.alias_index(V.aliases(spark, sf))
+    index = materialize(typography.alias_index(V.aliases(spark, sf)))
     return typography.alias_join(V.gold_surfaces(spark, sf).drop("ord"), index)

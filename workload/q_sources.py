@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from spanloom.operators import scoring
-from spanloom.operators.materialize import checkpoint_dir
+from spanloom.operators.materialize import checkpoint_dir, materialize
 from spanloom.operators.typography import alias_index
 from spanloom.sources.fingerprint import file_digests, table_fingerprint
 from spanloom.sources.records import parse_records, read_predictions, read_records, violations
@@ -197,5 +197,7 @@ def _(spark, sf):
     folder = scratch(spark)
     write_jsonl(V.gold(spark, sf), folder, ordered=False)
     parsed = intake.parse_stream(intake.read_stream(spark, folder), require_entities=True)
-    named = intake.stream_normalize(parsed.filter("error is null"), alias_index(V.aliases(spark, sf)))
+    # the index is read in every batch, so it is computed once
+    index = materialize(alias_index(V.aliases(spark, sf)))
+    named = intake.stream_normalize(parsed.filter("error is null"), index)
     return _drain(named, spark, scratch(spark))

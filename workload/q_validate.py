@@ -6,6 +6,7 @@ from spanloom import schema as S
 from spanloom.functions import text as X
 from spanloom.operators import report, scoring, typography, validate
 from spanloom.operators.overlap import overlap_join
+from spanloom.operators.rows import each
 from workload import views as V
 from workload.registry import query
 
@@ -76,8 +77,8 @@ SELECT hash, row_number() OVER (PARTITION BY hash ORDER BY start NULLS FIRST, "e
 )
 def _(spark, sf):
     rows = validate.canonical_entities(V.noisy(spark, sf))
-    flat = rows.select("hash", F.posexplode("entities").alias("pos", "e"))
-    return flat.select("hash", F.col("pos").cast("bigint").alias("pos"), "e.label", "e.start", "e.end")
+    placed = F.transform("entities", lambda e, i: e.withField("pos", i.cast("bigint")))
+    return each(rows, ["hash"], placed)
 
 
 BATCH_SQL = V.SQL_TOK + """,

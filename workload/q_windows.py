@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from spanloom.operators.rows import each
 from spanloom.functions.scorers import load_digest_scorer
 from spanloom.operators import decode as D
 from spanloom.operators import windows as N
@@ -23,8 +24,7 @@ def parted(spark, sf, stride=V.STRIDE):
 
 @query("tokenize_offsets", V.SQL_TOK + ' SELECT hash, pos, tok, start, "end" FROM tok')
 def _(spark, sf):
-    rows = N.tokenize_offsets(V.docs(spark, sf)).select("hash", F.explode("tokens").alias("t"))
-    return rows.select("hash", "t.pos", "t.tok", "t.start", "t.end")
+    return each(N.tokenize_offsets(V.docs(spark, sf)), ["hash"], "tokens")
 
 
 @query(
@@ -54,8 +54,8 @@ FROM first_span WHERE n = 1""",
 def _(spark, sf):
     from spanloom.schema import TAGS
 
-    rows = N.align_bio(V.ragged(spark, sf)).select("hash", F.explode("tokens").alias("t"))
-    return rows.select("hash", "t.pos", F.get(F.lit(list(TAGS)), F.col("t.tag").cast("int")).alias("tag"))
+    rows = each(N.align_bio(V.ragged(spark, sf)), ["hash"], "tokens")
+    return rows.select("hash", "pos", F.get(F.lit(list(TAGS)), F.col("tag").cast("int")).alias("tag"))
 
 
 @query("window_bounds", RAGGED + " SELECT * FROM wbounds")
@@ -70,9 +70,7 @@ def _(spark, sf):
         F.transform("complete", lambda e: e.withField("part", F.lit("complete"))),
         F.transform("partial", lambda e: e.withField("part", F.lit("partial"))),
     )
-    return rows.select("hash", "window_id", F.explode(both).alias("e")).select(
-        "hash", "window_id", "e.label", "e.start", "e.end", "e.part"
-    )
+    return each(rows, ["hash", "window_id"], both).select("hash", "window_id", "label", "start", "end", "part")
 
 
 @query("span_mask", RAGGED + " SELECT hash, window_id, i, usable FROM wmask")
@@ -134,8 +132,7 @@ SCORED = V.SQL_RAGGED + V.SQL_SCORED
 @query("score_windows", SCORED + " SELECT hash, window_id, label_id, token_start, token_end, score FROM wscores")
 def _(spark, sf):
     scored = D.score_windows(V.windows(spark, sf), load_digest_scorer)
-    rows = scored.select("hash", "window_id", F.explode("scores").alias("s"))
-    return rows.select("hash", "window_id", "s.*")
+    return each(scored, ["hash", "window_id"], "scores")
 
 
 @query("threshold_spans", SCORED + ' SELECT hash, window_id, label, start, "end", score FROM wcands')
@@ -184,10 +181,17 @@ def totals(predictions):
 CLASSES = V.SQL_RAGGED + V.SQL_CLASSES
 
 
-@query("mean_token_scores", CLASSES + ' SELECT hash, start, "end", class_id, round(p, 9) AS p FROM means')
+@query(
+    "mean_token_scores",
+    CLASSES
+    + """ SELECT hash, class_id, count(*) AS tokens, round(sum(p), 6) AS p, sum(start)::BIGINT AS starts FROM means
+GROUP BY hash, class_id""",
+)
 def _(spark, sf):
     means = D.mean_token_scores(D.token_scores(V.class_scores(spark, sf)))
-    return means.withColumn("p", F.round("p", 9))
+    return means.groupBy("hash", "class_id").agg(
+        F.count("*").alias("tokens"), F.round(F.sum("p"), 6).alias("p"), F.sum("start").alias("starts")
+    )
 
 
 @query("argmax_tag", CLASSES + ' SELECT hash, start, "end", tag FROM best')

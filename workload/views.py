@@ -9,17 +9,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spanloom.operators.rows import each
 from spanloom.functions.arrays import let, run_starts
 from spanloom.functions.text import space_tokens, with_surfaces
 from spanloom.operators.augment import unit
 from spanloom.operators.windows import token_windows
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a table of few splits; a table with enough splits is left alone."""
+def spread(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Use all cores on a table of few splits; a table with enough splits is left alone.
+
+    The optimizer would push filters computed from the text below the repartitioning, back
+    into the one task that reads a small file.  The always-true test on a row number,
+    which it may not move, keeps that work behind the exchange.
+    """
 
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    here = F.when(F.monotonically_increasing_id() >= 0, F.col(text))
+    return df.repartition(cores, key).withColumn(text, here)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -62,21 +71,32 @@ def hex_number(*parts: Column) -> Column:
 
 
 def gold_tag(tok: Column) -> Column:
-    a = hex_digit(tok, F.lit("g"))
-    return F.when(a.isin("0", "1"), "ORG").when(a.isin("2", "3"), "NAME").when(a == "4", "GEO").otherwise("O")
+    return let(
+        hex_digit(tok, F.lit("g")),
+        lambda a: F.when(a.isin("0", "1"), "ORG")
+        .when(a.isin("2", "3"), "NAME")
+        .when(a == "4", "GEO")
+        .otherwise("O"),
+    )
 
 
 def pred_tag(tok: Column, doc: Column, pos: Column, *more: Column) -> Column:
-    a = hex_digit(tok, F.lit("g"))
-    b = hex_digit(tok, doc, pos, *more)
-    return (
-        F.when(b == "0", "O")
-        .when(a.isin("0", "1"), "ORG")
-        .when(a.isin("2", "3") & (b == "1"), "ORG")
-        .when(a.isin("2", "3"), "NAME")
-        .when(a == "4", "GEO")
-        .when((a == "5") & (b == "2"), "GEO")
-        .otherwise("O")
+    def tag(a: Column, b: Column) -> Column:
+        return (
+            F.when(b == "0", "O")
+            .when(a.isin("0", "1"), "ORG")
+            .when(a.isin("2", "3") & (b == "1"), "ORG")
+            .when(a.isin("2", "3"), "NAME")
+            .when(a == "4", "GEO")
+            .when((a == "5") & (b == "2"), "GEO")
+            .otherwise("O")
+        )
+
+    return let(
+        F.struct(
+            hex_digit(tok, F.lit("g")).alias("a"), hex_digit(tok, doc, pos, *more).alias("b")
+        ),
+        lambda d: tag(d["a"], d["b"]),
     )
 
 
@@ -133,7 +153,9 @@ def noisy(spark: SparkSession, sf: str) -> DataFrame:
     """Gold records whose entities were damaged by digest; repeated entities included."""
 
     def damage(e: Column, i: Column) -> Column:
-        d = hex_digit(F.col("hash"), i, F.lit("e"))
+        return let(hex_digit(F.col("hash"), i, F.lit("e")), lambda d: damaged(e, d))
+
+    def damaged(e: Column, d: Column) -> Column:
         broken = F.struct(
             F.when(d == "0", "PER").when(d == "5", F.lit(None)).otherwise(e["label"]).alias("label"),
             F.when(d == "2", F.lit(-1)).otherwise(e["start"]).cast("bigint").alias("start"),
@@ -151,20 +173,25 @@ def noisy(spark: SparkSession, sf: str) -> DataFrame:
 def nested(spark: SparkSession, sf: str) -> DataFrame:
     """Span table of overlapping spans: gold spans next to widened copies with other labels."""
 
-    def widen(e: Column, i: Column) -> Column:
-        n = hex_number(F.col("hash"), i, F.lit("w"))
+    def widen(e: Column, i: Column, length: Column) -> Column:
+        return let(hex_number(F.col("hash"), i, F.lit("w")), lambda n: widened(e, n, length))
+
+    def widened(e: Column, n: Column, length: Column) -> Column:
         copy = F.struct(
             F.when(n < 128, "GEO").otherwise(e["label"]).alias("label"),
             F.greatest(e["start"] - n % 7, F.lit(0)).alias("start"),
-            F.least(e["end"] + n % 11, F.length("text")).cast("bigint").alias("end"),
+            F.least(e["end"] + n % 11, length).cast("bigint").alias("end"),
         )
         return F.when(n < 200, F.array(e, copy)).otherwise(F.array(e))
 
     wide = F.transform(
-        F.flatten(F.transform("entities", widen)),
+        let(
+            F.length("text"),
+            lambda length: F.flatten(F.transform("entities", lambda e, i: widen(e, i, length))),
+        ),
         lambda e, i: e.withField("idx", i.cast("bigint")),
     )
-    return gold(spark, sf).select("hash", F.explode(wide).alias("e")).select("hash", "e.*")
+    return each(gold(spark, sf), ["hash"], wide)
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,7 +231,7 @@ def gold_surfaces(spark: SparkSession, sf: str) -> DataFrame:
     """``ord, hash, label, start, end, surface`` of gold spans."""
 
     listed = with_surfaces(F.col("text"), F.col("entities"))
-    return gold(spark, sf).select("ord", "hash", F.explode(listed).alias("e")).select("ord", "hash", "e.*")
+    return each(gold(spark, sf), ["ord", "hash"], listed)
 
 
 def aliases(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,7 +252,9 @@ def array_rows(spark: SparkSession, sf: str) -> DataFrame:
     spans = with_surfaces(F.col("text"), F.col("entities"))
 
     def source_label(e: Column, i: Column) -> Column:
-        d = hex_digit(F.col("ord"), i, F.lit("l"))
+        return let(hex_digit(F.col("ord"), i, F.lit("l")), lambda d: renamed(e, d))
+
+    def renamed(e: Column, d: Column) -> Column:
         return F.when(d == "0", "DATE").when(d == "1", "per").otherwise(
             F.when(e["label"] == "NAME", "PER").when(e["label"] == "GEO", "LOC").otherwise("ORG")
         )
@@ -280,7 +309,9 @@ def ragged(spark: SparkSession, sf: str) -> DataFrame:
     """``gold_tokens`` with some entities starting or ending inside a token."""
 
     def shift(e: Column, i: Column) -> Column:
-        d = hex_digit(F.col("hash"), i, F.lit("r"))
+        return let(hex_digit(F.col("hash"), i, F.lit("r")), lambda d: shifted(e, d))
+
+    def shifted(e: Column, d: Column) -> Column:
         long = e["end"] - e["start"] > 2
         return F.struct(
             e["label"].alias("label"),
@@ -297,7 +328,10 @@ MAX_LENGTH, STRIDE = 128, 32
 def span_score(tok: Column, first: Column, last_index: Column) -> Column:
     """Candidate span starting at a token, from the digest of the token."""
 
-    digest = F.md5(tok)
+    return let(F.md5(tok), lambda digest: _span_score(digest, first, last_index))
+
+
+def _span_score(digest: Column, first: Column, last_index: Column) -> Column:
     number = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("bigint")
     return F.struct(
         (number(1, 1) % 3).alias("label_id"),
@@ -358,7 +392,7 @@ def options(spark: SparkSession, sf: str) -> DataFrame:
 def unit_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     """``vec_id, label, vector`` with vectors of length 1."""
 
-    rows = spread(table(spark, sf, "embeddings"), "vec_id")
+    rows = spread(table(spark, sf, "embeddings"), "vec_id", "embedding")
     return rows.select("vec_id", "label", unit(F.col("embedding").cast("array<double>")).alias("vector"))
 
 
@@ -439,11 +473,11 @@ def greedy_sql(source: str, order: str) -> str:
 
     return f""",
  reach AS (
-  SELECT *, max("end") OVER (PARTITION BY hash ORDER BY start, "end"
+  SELECT *, max("end") OVER (PARTITION BY hash ORDER BY start, "end", {order}
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {source}),
  isles AS (
   SELECT *, sum(CASE WHEN before IS NULL OR start >= before THEN 1 ELSE 0 END) OVER (PARTITION BY hash
-    ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS isle FROM reach),
+    ORDER BY start, "end", {order} ROWS UNBOUNDED PRECEDING) AS isle FROM reach),
  lists AS (
   SELECT hash, isle, list([{{'label': label, 's': start, 'e': "end"}}] ORDER BY {order}) AS spans
   FROM isles GROUP BY hash, isle),
