@@ -182,9 +182,9 @@ def cluster_neighbours(
     )
     best = W.partitionBy("label", "surface").orderBy(F.desc("similarity"), "candidate")
     return (
-        found.withColumn("rank", F.row_number().over(best).cast("bigint"))
+        found.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= max_candidates)
-        .select("label", "surface", "rank", "candidate", "similarity")
+        .select("label", "surface", F.col("rank").cast("bigint").alias("rank"), "candidate", "similarity")
     )
 
 

@@ -220,11 +220,13 @@ def entity_status(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     backward = (
         W.partitionBy("hash").orderBy(F.desc("start")).rangeBetween(W.unboundedPreceding, W.currentRow)
     )
-    reach = flags
-    for side in ("gold", "pred"):
-        here = F.col(f"in_{side}") == 1
-        reach = reach.withColumn(f"{side}_reach", F.max(F.when(here, F.col("end"))).over(forward))
-        reach = reach.withColumn(f"{side}_next", F.min(F.when(here, F.col("start"))).over(backward))
+    here = {side: F.col(f"in_{side}") == 1 for side in ("gold", "pred")}
+    # both sides of one direction share a sort
+    reach = flags.withColumns(
+        {f"{side}_reach": F.max(F.when(here[side], F.col("end"))).over(forward) for side in here}
+    ).withColumns(
+        {f"{side}_next": F.min(F.when(here[side], F.col("start"))).over(backward) for side in here}
+    )
 
     def touches(side: str) -> Column:
         return F.coalesce(F.col(f"{side}_reach") > F.col("start"), F.lit(False)) | F.coalesce(
