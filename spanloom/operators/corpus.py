@@ -16,17 +16,19 @@ from spanloom.schema import ADDED_PREFIXES
 def dedup_against(new: DataFrame, *existing: DataFrame) -> DataFrame:
     """New records whose exact text is in no existing dataset, first copy only.
 
-    Texts meet as SHA-256 keys.  Copies of one text are reduced to their smallest
-    ``ord`` on the map side and the survivors are fetched by ``ord``, which is unique,
-    so a text that fills a third of the corpus causes no hot key.
+    Texts meet as SHA-256 keys, new and existing ones in a single grouping that is combined
+    on the map side, and the survivors are fetched by ``ord``, which is unique: a text that
+    fills a third of the corpus causes no hot key.  (An anti join would be pushed below the
+    grouping and meet all the copies.)
     """
 
-    keyed = new.select(F.sha2("text", 256).alias("key"), "ord")
-    first = keyed.groupBy("key").agg(F.min("ord").alias("ord"))
-    for known in existing:
-        seen = known.select(F.sha2("text", 256).alias("key")).distinct()
-        first = first.join(seen, "key", "left_anti")
-    return new.join(first.select("ord"), "ord", "left_semi")
+    key = F.sha2("text", 256).alias("key")
+    none = F.lit(None).cast(new.schema["ord"].dataType)
+    keyed = new.select(key, "ord", F.lit(0).alias("known"))
+    for other in existing:
+        keyed = keyed.unionByName(other.select(key, none.alias("ord"), F.lit(1).alias("known")))
+    first = keyed.groupBy("key").agg(F.min("ord").alias("ord"), F.max("known").alias("known"))
+    return new.join(first.filter("known = 0").select("ord"), "ord", "left_semi")
 
 
 def append_train(train: DataFrame, new: DataFrame) -> DataFrame:

@@ -100,3 +100,26 @@ def test_selection_is_seeded(make):
     assert first == {r["hash"] for r in A.select_for_augmentation(records, 0.25, 1).collect()}
     assert 60 < len(first) < 140
     assert A.select_for_augmentation(records, 1.0, 1).count() == 400
+
+
+def test_clusters_per_label(spark):
+    rows = [("ORG", f"o{i}", [1.0, 0.01 * i] if i % 2 else [0.01 * i, 1.0]) for i in range(1, 13)]
+    rows += [("GEO", "g0", [1.0, 0.0]), ("GEO", "g1", [0.0, 1.0]), ("GEO", "g2", [0.6, 0.8])]
+    vectors = spark.createDataFrame(rows, "label string, surface string, vector array<double>").withColumn(
+        "vector", A.unit(F.col("vector"))
+    )
+    got = {(r["label"], r["surface"]): r["cluster"] for r in A.cluster_surfaces(vectors, 2, 7).collect()}
+    assert set(got) == {(r[0], r[1]) for r in rows}
+    # n // 2 = 1 cluster for three surfaces, two separable ones for twelve
+    assert {c for (label, _), c in got.items() if label == "GEO"} == {0}
+    odd = {got[("ORG", f"o{i}")] for i in range(1, 13, 2)}
+    even = {got[("ORG", f"o{i}")] for i in range(2, 13, 2)}
+    assert len(odd) == len(even) == 1 and odd != even
+    assert got == {(r["label"], r["surface"]): r["cluster"] for r in A.cluster_surfaces(vectors, 2, 7).collect()}
+
+
+def test_nearest_centroid_prefers_the_lowest_on_ties(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0])], "surface string, vector array<double>")
+    centroids = spark.createDataFrame([(1, [0.0, 1.0]), (0, [1.0, 0.0])], "cluster int, centroid array<double>")
+    got = {r["surface"]: r["cluster"] for r in A.assign_centroid(vectors, centroids).collect()}
+    assert got == {"a": 0, "b": 1, "c": 0}

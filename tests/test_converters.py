@@ -206,3 +206,33 @@ def test_parse_tag(spark):
     df = spark.createDataFrame([(t,) for t in tags], "t string").select(C.parse_tag(F.col("t")).alias("p"))
     got = [None if r["p"] is None else tuple(r["p"]) for r in df.collect()]
     assert got == [("O", None), ("B", "PER"), ("B", "GEOPOLITICAL"), ("O", "X"), None, None, None, None, ("S", "")]
+
+
+def test_conversion_matches_brute_force(spark):
+    rng = random.Random(21)
+    names = {"PER": "NAME", "LOC": "GEO", "ORG": "ORG"}
+    rows = []
+    for i in range(200):
+        text = "".join(rng.choice("ab-, ") for _ in range(30))
+        words = []
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(29)
+            words.append(text[at : at + rng.randint(1, 5)])
+        rows.append((i, str(i), text, words, [rng.choice(["per", "LOC", "ORG", "DATE"]) for _ in words]))
+    df = spark.createDataFrame(rows, "ord bigint, id string, text string, surfaces array<string>, labels array<string>")
+    done = {r["ord"]: r for r in C.convert_arrays(df).collect()}
+    for i, _, text, words, labels in rows:
+        starts = brute_place(text, words)
+        if None in starts:
+            assert done[i]["error"] == "occurrence"
+            continue
+        spans = []
+        for start, word, label in zip(starts, words, labels):
+            end = start + len(word)
+            while end < len(text) and (text[end].isalnum() or text[end] in "'’ʻʼ-_"):
+                end += 1
+            if label.upper() in names:
+                spans.append((names[label.upper()], start, end, len(spans)))
+        want = sorted(greedy(spans, lambda s: (s[1] - s[2], s[1], s[2], s[3])), key=lambda e: e[1])
+        assert [tuple(e) for e in done[i]["entities"]] == want
+        assert done[i]["dropped_overlaps"] == len(spans) - len(want)
