@@ -28,6 +28,26 @@ def fold_of(column: str, folds: int):
     return F.crc32(F.col(column).cast("string")) % F.lit(folds)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, seed: str) -> DataFrame:
+    """``doc_id, text, label, draw`` of at most ``rows`` labelled identifiers.
+
+    ``labels`` has ``doc_id, label``; those of smallest digest are taken, so the choice does not
+    depend on the layout.  Nulls in either are left out, of several labels the largest holds.
+    The sample of identifiers is small enough to broadcast, so the texts are not shuffled.
+    """
+
+    draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
+    chosen = (
+        labels.where("label is not null and doc_id is not null")
+        .groupBy("doc_id")
+        .agg(F.max("label").cast("int").alias("label"))
+        .withColumn("draw", draw)
+        .orderBy("draw", "doc_id")
+        .limit(rows)
+    )
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+
+
 def parts(text: pa.ChunkedArray | pa.Array, limit: int):
     """Slices ``(start, stop)`` of an Arrow text column with about ``limit`` bytes each.
 

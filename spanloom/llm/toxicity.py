@@ -19,7 +19,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.stage import staged
+from spanloom.llm.stage import labelled_sample, staged
 
 # Common insults, lower case.
 INSULTS = (
@@ -162,24 +162,16 @@ def learn_lexicon(
 
 
 def train_toxicity(
-    labelled: DataFrame, sample_rows: int = 20_000, lexicon_size: int = 5_000, rounds: int = 20, depth: int = 4
+    docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, lexicon_size: int = 5_000, rounds: int = 20, depth: int = 4
 ) -> ToxicityModel:
-    """Learn from rows ``doc_id, text, label`` (0 or 1; rows without label or id are left out).
+    """Learn from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, label`` 0 or 1).
 
-    The sample is bounded by ``sample_rows`` (smallest digests of the identifier first, so it
-    does not depend on the layout).  Three quarters of it, again by digest, learn the lexicons
-    and the trees, the rest the calibration.  A text of only toxic or only clean examples
-    gives a model that scores that share.
+    The sample is bounded by ``sample_rows`` labelled identifiers.  Three quarters of it, by
+    digest, learn the lexicons and the trees, the rest the calibration.  Without both classes
+    the model scores the share of toxic rows.
     """
 
-    draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
-    rows = staged(
-        labelled.where("label is not null and doc_id is not null")
-        .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"), draw.alias("draw"))
-        .orderBy("draw", "doc_id")
-        .limit(sample_rows),
-        "toxic-sample",
-    )
+    rows = staged(labelled_sample(docs, labels, sample_rows, "toxicity"), "toxic-sample")
     half = F.pmod(F.xxhash64("draw"), F.lit(4))
     fit, hold = rows.where(half != 0), rows.where(half == 0)
     n, bad = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
