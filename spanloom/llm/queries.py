@@ -6,6 +6,7 @@ The queries derive the columns that were agreed for them from the operators' own
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm.fingerprints import fingerprint_documents
 from spanloom.llm.language_id import predict_language, train_language_id
 from spanloom.llm.line_quality import score_line_quality, train_line_quality
 from spanloom.llm.quality_rules import quality_rules
@@ -45,10 +46,15 @@ def op9_line_quality(spark: SparkSession, sf: str) -> DataFrame:
     return score_line_quality(docs.select("doc_id", held_out(4, 2), "text"), model, threshold=0.7)
 
 
+def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op9_line_quality": op9_line_quality,
+    "op10_fingerprints": op10_fingerprints,
 }
 SQL: dict[str, str] = {}
