@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from spanloom.llm.fingerprints import fingerprint_documents
 from spanloom.llm.language_id import predict_language, train_language_id
 from spanloom.llm.line_quality import score_line_quality, train_line_quality
+from spanloom.llm.mixing import mix_sources
+from spanloom.llm.packing import pack_documents
 from spanloom.llm.quality_rules import quality_rules
+from spanloom.llm.sharding import shard_by_bytes
 from spanloom.llm.stage import fold_of
 from spanloom.llm.toxicity import score_toxicity, train_toxicity
 
@@ -35,10 +38,22 @@ def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return predict_language(docs.select("doc_id", held_out(3, 1), "text"), model)
 
 
+def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_sources(table(spark, sf, "documents")).drop("text", "lang", "n_chars")
+
+
 def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(table(spark, sf, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return shard_by_bytes(table(spark, sf, "documents"), shards=40)
+
+
+def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(table(spark, sf, "documents"))
+
+
 def op9_line_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     labels = table(spark, sf, "labels").where(fold_of("doc_id", 4) != 2).select("doc_id", F.col("quality").alias("label"))
@@ -53,7 +68,10 @@ def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
+    "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op7_sharding": op7_sharding,
+    "op8_packing": op8_packing,
     "op9_line_quality": op9_line_quality,
     "op10_fingerprints": op10_fingerprints,
 }
