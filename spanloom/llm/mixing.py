@@ -129,7 +129,7 @@ def mix_sources(
     period = max(period, 4 * len(found))
     slots = quotas({r.mix_source: weights[r.mix_source] for r in found}, period)
     pattern = staged(schedule(spark, slots), "mix-pattern")
-    lasts = spark.createDataFrame([(r.mix_source, r["last"]) for r in found], "mix_source string, last long")
+    lasts = blocks.groupBy("mix_source").agg(F.max("mix_block").alias("last"))
     # the slot in which the last source ends its first pass
     ends = lasts.join(pattern, lasts["mix_source"].eqNullSafe(pattern["mix_source"]) & (F.col("last") % F.col("quota") == F.col("turn")))
     end = ends.agg(F.max(F.expr(f"last div quota * {period} + at"))).first()[0]

@@ -15,6 +15,15 @@ from spanloom.llm.quality_rules import quality_rules
 from spanloom.llm.sharding import shard_by_bytes
 from spanloom.llm.stage import fold_of
 from spanloom.llm.toxicity import score_toxicity, train_toxicity
+from spanloom.llm.url_templates import judge_urls
+
+URL_RULES = [
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -46,6 +55,10 @@ def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(table(spark, sf, "documents"))
 
 
+def op5_url_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return judge_urls(table(spark, sf, "pages"), URL_RULES)
+
+
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf, "documents"), shards=40)
 
@@ -70,6 +83,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_url_templates": op5_url_templates,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_line_quality": op9_line_quality,
