@@ -10,6 +10,7 @@ from spanloom.llm.fingerprints import fingerprint_documents
 from spanloom.llm.language_id import predict_language, train_language_id
 from spanloom.llm.line_quality import score_line_quality, train_line_quality
 from spanloom.llm.mixing import mix_sources
+from spanloom.llm.overlap_join import overlap_join
 from spanloom.llm.packing import pack_documents
 from spanloom.llm.quality_rules import quality_rules
 from spanloom.llm.sharding import shard_by_bytes
@@ -59,6 +60,10 @@ def op5_url_templates(spark: SparkSession, sf: str) -> DataFrame:
     return judge_urls(table(spark, sf, "pages"), URL_RULES)
 
 
+def op6_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap_join(table(spark, sf, "documents"), k=4, percent=85)
+
+
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf, "documents"), shards=40)
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_templates": op5_url_templates,
+    "op6_overlap_join": op6_overlap_join,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_line_quality": op9_line_quality,
