@@ -156,7 +156,7 @@ RESULT = (
 def quality_rules(
     docs: DataFrame,
     references: dict[str, tuple[list[int], list[int]]] | None = None,
-    id_column: str = "doc_id",
+    keep_text: bool = False,
     min_words: int = 50,
     max_repeat_percent: int = 50,
     max_class_distance: float = 0.2,
@@ -164,9 +164,10 @@ def quality_rules(
     class_guard: int = 300,
     word_guard: int = 150,
 ) -> DataFrame:
-    """Counts, distances and verdict of each document (``id_column`` and ``RESULT``).
+    """``docs`` without the text (unless ``keep_text``) with ``RESULT``: counts, distances, verdict.
 
-    ``docs`` has ``id_column``, ``text`` and, for the references, ``lang``.  A text fails the
+    ``docs`` has ``text`` and, for the references, ``lang``; other columns pass through, except those
+    named like a result.  A text fails the
     base with fewer than ``min_words`` words or with more than ``max_repeat_percent`` of its
     words in repeated three-word windows.  A text that passes it is kept when both distances to
     the nearest language are within their limits; a distance is only looked at from ``class_guard``
@@ -177,6 +178,8 @@ def quality_rules(
 
     references = language_references(docs) if references is None else references
     vocab, _ = vocabulary()
+    results = [part.split()[0] for part in RESULT.split(", ")]
+    kept = [c for c in docs.columns if c not in results and (keep_text or c != "text")]
     known = [(np.array(c), np.array(w)) for c, w in references.values()]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +189,7 @@ def quality_rules(
                 out = base_counts(w)
                 n = out["n_words"]
                 failed = (n < min_words) | (100 * out["n_repeat_words"] > max_repeat_percent * n)
-                kept = ~failed
+                passed = ~failed
                 distance = [np.full(len(n), np.nan)] * 2
                 if known:
                     classes, words = histograms(w, vocab)
@@ -194,13 +197,14 @@ def quality_rules(
                         np.min([js_distance(classes, c) for c, _ in known], 0),
                         np.min([js_distance(words, x) for _, x in known], 0),
                     ]
-                    kept &= (classes.sum(1) < class_guard) | (distance[0] <= max_class_distance)
-                    kept &= (n < word_guard) | (distance[1] <= max_word_distance)
-                columns = [*out.values(), failed, *distance, kept]
+                    passed &= (classes.sum(1) < class_guard) | (distance[0] <= max_class_distance)
+                    passed &= (n < word_guard) | (distance[1] <= max_word_distance)
+                columns = [*out.values(), failed, *distance, passed]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(id_column).slice(a, b - a), *(pa.array(c, from_pandas=True) for c in columns)],
-                    [id_column, *out, "base_failed", "class_distance", "word_distance", "kept"],
+                    [*(batch.column(c).slice(a, b - a) for c in kept), *(pa.array(c, from_pandas=True) for c in columns)],
+                    [*kept, *results],
                 )
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, "text").mapInArrow(judge, f"`{id_column}` {kind}, {RESULT}")
+    ddl = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
+    read = kept if keep_text else [*kept, "text"]
+    return docs.select(*read).mapInArrow(judge, ", ".join([*ddl, RESULT]))

@@ -12,7 +12,7 @@ from spanloom.llm.line_quality import score_line_quality, train_line_quality
 from spanloom.llm.mixing import mix_sources
 from spanloom.llm.overlap_join import overlap_join
 from spanloom.llm.packing import pack_documents
-from spanloom.llm.quality_rules import quality_rules
+from spanloom.llm.quality_rules import language_references, quality_rules
 from spanloom.llm.sharding import shard_by_bytes
 from spanloom.llm.stage import fold_of
 from spanloom.llm.toxicity import score_toxicity, train_toxicity
@@ -53,7 +53,8 @@ def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return quality_rules(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
+    return quality_rules(docs.select("doc_id", "text"), language_references(docs))
 
 
 def op5_url_templates(spark: SparkSession, sf: str) -> DataFrame:

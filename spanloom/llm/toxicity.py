@@ -118,10 +118,10 @@ class ToxicityModel:
     prior: float
 
 
-def with_features(docs: DataFrame, words: frozenset[str], stems: frozenset[str]) -> DataFrame:
-    """``docs`` (with ``text``) and the columns ``FEATURES`` in place of the text."""
+def with_features(docs: DataFrame, words: frozenset[str], stems: frozenset[str], keep_text: bool = False) -> DataFrame:
+    """``docs`` (with ``text``) and the columns ``FEATURES`` in place of the text, or beside it."""
 
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if keep_text or c != "text"]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,8 +213,8 @@ def calibrated(raw: Column, steps: list[tuple[float, float]], blend: float = 0.0
     return F.lit(1 - blend) * value + F.lit(blend) * raw
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the text, with ``score`` (0 to 1) and ``predicted`` (score >= threshold).
+def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, keep_text: bool = False) -> DataFrame:
+    """``docs`` without the text (unless ``keep_text``), with ``score`` (0 to 1) and ``predicted`` (score >= threshold).
 
     Every row gets a score: null and empty texts have zero features.  Repeated rows and equal
     texts get equal scores; other columns pass through, except those named like a feature or result.
@@ -223,12 +223,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
     own = {*FEATURES, "features", "rawPrediction", "probability", "prediction", "score", "predicted"}
     base = docs.select(*[c for c in docs.columns if c not in own])
     if model.trees is None:
-        out = base.drop("text").withColumn("score", F.lit(float(model.prior)))
+        out = (base if keep_text else base.drop("text")).withColumn("score", F.lit(float(model.prior)))
     else:
         scored = model.trees.transform(
-            VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(base, model.words, model.stems))
+            VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(base, model.words, model.stems, keep_text))
         )
         raw = vector_to_array("probability")[1]
-        kept = [c for c in base.columns if c != "text"]
+        kept = [c for c in base.columns if keep_text or c != "text"]
         out = scored.select(*kept, raw.alias("raw")).select(*kept, calibrated(F.col("raw"), model.steps).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
