@@ -63,7 +63,7 @@ def judge_urls(
     rules: Sequence[Rule],
     max_children: int = 30,
     strength: float = 4.0,
-    max_z: float = 1.96,
+    max_z: float = 1.645,
     reject_from: float = 0.7,
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict, template, block_share`` of every page.
