@@ -4,6 +4,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -21,7 +22,6 @@ from spanloom.operators.ordered import number_rows
 from spanloom.operators.typography import surfaces
 from spanloom.schema import LABELS
 
-MAX_SURFACE_TOKENS = 64
 NEIGHBOUR_BLOCK = 2048
 
 
@@ -52,14 +52,12 @@ def unit(vector: Column) -> Column:
 def surface_vectors(surface_tokens: DataFrame, token_vectors: DataFrame) -> DataFrame:
     """``(label, surface, vector)``: normalized mean of the token vectors of a surface.
 
-    ``surface_tokens`` is ``(label, surface, tokens)``, of which the first 64 tokens
-    count; ``token_vectors`` is ``(token, vector)``.  Frequent tokens would make hot join
+    ``surface_tokens`` is ``(label, surface, tokens)``, all tokens of which count;
+    ``token_vectors`` is ``(token, vector)``.  Frequent tokens would make hot join
     keys, hence ``lookup_join``; the mean is combined on the map side.
     """
 
-    rows = each(
-        surface_tokens, ["label", "surface"], F.slice("tokens", 1, MAX_SURFACE_TOKENS), "token"
-    )
+    rows = each(surface_tokens, ["label", "surface"], "tokens", "token")
     joined = lookup_join(rows, token_vectors, ["token"], "inner")
     mean = joined.groupBy("label", "surface").agg(
         Summarizer.mean(array_to_vector(F.col("vector"))).alias("mean")
@@ -86,10 +84,12 @@ def cluster_surfaces(vectors: DataFrame, num_clusters: int, seed: int) -> DataFr
         if k == 1:
             parts.append(part.withColumn("cluster", F.lit(0)))
             continue
+        part = part.persist(StorageLevel.DISK_ONLY)  # read in each of up to 25 rounds
         model = KMeans(
             k=k, distanceMeasure="cosine", initMode="random", maxIter=25, seed=seed + index,
             predictionCol="cluster",
         ).fit(part)
+        part.unpersist()
         parts.append(model.transform(part))
     if not parts:
         return featured.withColumn("cluster", F.lit(0)).drop("features")
@@ -287,7 +287,7 @@ def rewrite_record(records: DataFrame, replacements: DataFrame) -> DataFrame:
 
 
 def augment_append(records: DataFrame, rewritten: DataFrame, block: int = 100_000) -> DataFrame:
-    """Originals followed by the variants, which are numbered in record order."""
+    """Originals, with all their columns, followed by the variants, numbered in record order."""
 
     numbered = number_rows(rewritten, "ord", "variant", block)
     if isinstance(records.schema["ord"].dataType, T.LongType):
@@ -308,9 +308,7 @@ def augment_append(records: DataFrame, rewritten: DataFrame, block: int = 100_00
             F.col("variant").alias("variant"),
         ).alias("augmentation"),
     )
-    return originals.select("ord", "hash", "text", "entities").unionByName(
-        variants, allowMissingColumns=True
-    )
+    return originals.unionByName(variants, allowMissingColumns=True)
 
 
 def augmentation_stats(records: DataFrame, rewritten: DataFrame, clustered: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def assign_occurrences(rows: DataFrame) -> DataFrame:
 
 
 def convert_arrays(rows: DataFrame) -> DataFrame:
-    """``(id, text, surfaces, labels)`` rows to records.
+    """``(id, text, surfaces, labels)`` rows to records; a reader's ``error`` stays.
 
     Output: ``ord, hash, text, entities, source_labels, dropped_overlaps, error``.  All
     of it happens in the row, so conversion never shuffles.
@@ -114,7 +114,7 @@ def convert_arrays(rows: DataFrame) -> DataFrame:
 
     text = F.col("text")
     bad = source_array_error(text, F.col("surfaces"), F.col("labels"))
-    checked = rows.withColumn("error", bad)
+    checked = rows.withColumn("error", F.coalesce("error", bad) if "error" in rows.columns else bad)
     ready = F.col("error").isNull()
     placed = checked.withColumn(
         "starts", _placed(F.when(ready, text), F.when(ready, F.col("surfaces")))
@@ -171,6 +171,8 @@ def convert_arrays(rows: DataFrame) -> DataFrame:
 def _position(rows: DataFrame) -> Column:
     """Text that stands in for a missing id: where the row came from."""
 
+    if "line" in rows.columns:
+        return F.concat_ws(":", F.element_at(F.split("ord.file", "/"), -1), "line")
     if isinstance(rows.schema["ord"].dataType, T.StructType):
         return F.concat_ws(":", "ord.file", "ord.block", "ord.seq")
     return F.col("ord").cast("string")

@@ -34,21 +34,44 @@ def dedup_against(new: DataFrame, *existing: DataFrame) -> DataFrame:
 def append_train(train: DataFrame, new: DataFrame) -> DataFrame:
     """Train followed by the new records.
 
-    A numeric ``ord`` of the new records is shifted past train's; the struct that file
-    readers give is put behind a part number.
+    Columns that only one side has are kept.  A numeric ``ord`` of the new records is shifted
+    past train's, if both are numeric; else both are put behind a part number, a numeric one in the
+    form that file readers give.
     """
 
-    if isinstance(train.schema["ord"].dataType, T.LongType):
+    kinds = [df.schema["ord"].dataType for df in (train, new)]
+    if all(isinstance(k, T.LongType) for k in kinds):
         shift = train.agg(F.coalesce(F.max("ord") + 1, F.lit(0))).scalar()
         return train.unionByName(
             new.withColumn("ord", F.col("ord") + shift), allowMissingColumns=True
         )
+    if kinds[0] != kinds[1]:
+        train, new = _file_order(train), _file_order(new)
     part = lambda df, n: df.withColumn(
         "ord", F.struct(F.lit(n).alias("part"), F.col("ord").alias("ord"))
     )
     return part(train, 0).unionByName(part(new, 1), allowMissingColumns=True)
 
 
+def _file_order(rows: DataFrame) -> DataFrame:
+    """A numeric ``ord``, or that of a merge, in the form ``struct<file,block,seq>``."""
+
+    kind = rows.schema["ord"].dataType
+    place = lambda file, block, seq: F.struct(
+        file.alias("file"), block.cast("bigint").alias("block"), seq.cast("bigint").alias("seq")
+    )
+    zero = F.lit(0)
+    if isinstance(kind, T.LongType):
+        return rows.withColumn("ord", place(F.lit(""), zero, F.col("ord")))
+    if "file" in kind.names:
+        return rows
+    inner = F.col("ord.ord")
+    if isinstance(kind["ord"].dataType, T.LongType):
+        return rows.withColumn("ord", place(F.format_string("%08d", "ord.part"), zero, inner))
+    named = F.concat(F.format_string("%08d/", "ord.part"), inner["file"])
+    return rows.withColumn("ord", place(named, inner["block"], inner["seq"]))
+
+
 def _smallest(rows: DataFrame, key: str, count: Callable[[Column], Column]) -> Column:
     """Scalar ``struct(key, ord)`` of the row whose rank by seeded key is ``count(total)``.
 

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 64
 
 
 def lookup_join(
@@ -14,26 +13,19 @@ def lookup_join(
     """Join ``rows`` to a lookup ``table`` with unique keys.
 
     The table is broadcast only after measuring that it has at most ``limit`` rows and
-    ``BROADCAST_BYTES`` of content (measuring stops at the limit).  A larger table is joined by shuffle with the key salted, so a
-    key that a third of the rows carry is spread over ``SALTS`` tasks.
+    ``BROADCAST_BYTES`` of content.  A larger one is joined by shuffle; a key that a third of the rows
+    carry makes a skewed partition there, which adaptive execution splits.
     """
 
-    if is_small(table, limit):
-        return rows.join(F.broadcast(table), on, how)
-    salted = rows.withColumn(
-        "salt", F.pmod(F.xxhash64(*[c for c in rows.columns if _hashable(rows, c)]), F.lit(SALTS)).cast("int")
-    )
-    spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, [*on, "salt"], how).drop("salt")
+    return rows.join(F.broadcast(table) if is_small(table, limit) else table, on, how)
 
 
 def is_small(table: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Measured, not estimated: few enough rows and bytes to copy to every executor."""
+    """Measured, not estimated: few enough rows and bytes to copy to every executor.
+
+    A table that ends in an aggregate is computed for this, so callers materialize it.
+    """
 
     size = F.octet_length(F.to_json(F.struct(*table.columns)))
     rows, content = table.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     return rows <= limit and content <= BROADCAST_BYTES
-
-
-def _hashable(rows: DataFrame, column: str) -> bool:
-    return not rows.schema[column].dataType.simpleString().startswith("map")

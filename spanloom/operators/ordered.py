@@ -7,7 +7,7 @@ to find what each block inherits from its predecessors, and the summary is joine
 back on the block.  The sequential part sees rows / BLOCK rows.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -75,17 +75,24 @@ def contiguous_groups(
     )
 
 
+def _cell(order: Column, kind: T.DataType, block: int) -> Column:
+    """What part of the data an order value lies in: cells follow each other in the order."""
+
+    if not isinstance(kind, T.StructType):
+        return F.floor(order / block)
+    if "file" in kind.names:
+        return F.struct(order["file"], order["block"])
+    return F.struct(order["part"], _cell(order["ord"], kind["ord"].dataType, block).alias("cell"))
+
+
 def number_rows(rows: DataFrame, order: str, name: str, block: int = BLOCK) -> DataFrame:
     """Consecutive numbers from 1 in ``order`` over the whole dataset, as ``name``.
 
     A numeric ``order`` is cut into blocks of ``block``; the struct that file readers give
-    already names the split of its file.
+    already names the split of its file, also behind the part number of a merge.
     """
 
-    if isinstance(rows.schema[order].dataType, T.StructType):
-        cell = F.struct(F.col(f"{order}.file"), F.col(f"{order}.block"))
-    else:
-        cell = F.floor(F.col(order) / block)
+    cell = _cell(F.col(order), rows.schema[order].dataType, block)
     blocked = rows.withColumn("block", cell)
     sizes = blocked.groupBy("block").agg(F.count("*").alias("rows_here"))
     # one summary row per block, so the unpartitioned window below is short

@@ -150,15 +150,18 @@ def metric_report(gold: DataFrame, predictions: DataFrame, records: DataFrame) -
     return report.withColumn("records", n)
 
 
-def metrics_by_split(gold: DataFrame, predictions: DataFrame) -> DataFrame:
-    """The report for every ``(split, epoch)`` of the predictions.
+def metrics_by_split(gold: DataFrame, predictions: DataFrame, records: DataFrame) -> DataFrame:
+    """The report for every split and epoch, with the number of gold ``records`` of the split.
 
-    Gold carries ``split``; predictions carry ``split`` and ``epoch``.  Gold is counted
-    once per split and not copied for each epoch: misses are totals minus hits.
+    Gold and ``records`` carry ``split``; predictions carry ``split`` and ``epoch``.  A
+    hash may be in several splits.  A split of ``records`` without a predicted span has a report
+    for every epoch of the predictions.  Gold is counted once per split and not copied for each epoch: misses
+    are totals minus hits.
     """
 
+    key = ["split", *KEY]
     hits = (
-        predictions.join(gold.select(*KEY, F.lit(1).alias("hit")), KEY, "left")
+        predictions.join(gold.select(*key, F.lit(1).alias("hit")), key, "left")
         .groupBy("split", "epoch", "label")
         .agg(F.count("hit").alias("tp"), F.count("*").alias("predicted"))
     )
@@ -182,12 +185,21 @@ def metrics_by_split(gold: DataFrame, predictions: DataFrame) -> DataFrame:
             for label in LABELS
         ]
     )
-    return each(per_epoch.join(totals, "split", "left"), ["split", "epoch"], _report_rows(counts))
+    # one row per split; the epochs, a few numbers, come as one array
+    sizes = records.groupBy("split").agg(F.count("*").alias("records"))
+    epochs = predictions.agg(F.sort_array(F.collect_set("epoch")).alias("epochs")).scalar()
+    rows = sizes.withColumn("epoch", F.explode(epochs))
+    filled = rows.join(per_epoch, ["split", "epoch"], "left").join(totals, "split", "left").na.fill(0)
+    return each(filled, ["split", "epoch", "records"], _report_rows(counts))
 
 
 def best_epoch(history: DataFrame, metric: str = "f1", maximize: bool = True) -> DataFrame:
-    """``(run, epoch, metric)``: the first epoch reaching the best value of each run."""
+    """``(run, epoch, metric)``: the first epoch reaching the best value of each run.
 
+    NaN and NULL are never the best; a run with no other value has no row.
+    """
+
+    history = history.filter(F.col(metric).isNotNull() & ~F.isnan(F.col(metric).cast("double")))
     value = F.col(metric) if maximize else -F.col(metric)
     best = F.struct(value.alias("value"), (-F.col("epoch")).alias("early"))
     return history.groupBy("run").agg(

@@ -166,7 +166,10 @@ def duplicate_hash(records: DataFrame) -> DataFrame:
 
 
 def validate_input_batch(batch: DataFrame) -> DataFrame:
-    """``(ord, error)`` for a batch of ``(ord, hash, text)``; empty means valid."""
+    """``(ord, error)`` for a batch of ``(ord, hash, text)``; no row means valid.
+
+    A batch without rows has the violation ``empty``, without ``ord``.
+    """
 
     hash_ok = F.coalesce(F.col("hash") != "", F.lit(False))
     field = (
@@ -174,7 +177,10 @@ def validate_input_batch(batch: DataFrame) -> DataFrame:
     )
     fields = batch.select("ord", field.alias("error")).filter("error is not null")
     repeated = duplicate_hash(batch.filter(hash_ok)).select("ord", F.lit("duplicate_hash").alias("error"))
-    return fields.unionByName(repeated)
+    none = batch.agg(F.count("*").alias("n")).filter("n = 0").select(
+        F.lit(None).cast(batch.schema["ord"].dataType).alias("ord"), F.lit("empty").alias("error")
+    )
+    return fields.unionByName(repeated).unionByName(none)
 
 
 def validate_predictions(predictions: DataFrame, inputs: DataFrame) -> DataFrame:

@@ -126,19 +126,17 @@ def window_array(tokens: Column, special: Column, content: int, stride: int) ->
 
 
 def token_windows(
-    records: DataFrame, max_length: int, stride: int, specials: int = 2
+    records: DataFrame, max_length: int, stride: int
 ) -> DataFrame:
     """One row per window: ``hash, window_id, first_token, tokens, entities``.
 
-    ``tokens`` holds what the record's tokens hold.  ``entities`` are those touching the
+    A window is wrapped by two special tokens.  ``tokens`` holds what the record's tokens hold.  ``entities`` are those touching the
     window, with the record-wide token range they cover.
     """
 
-    content = max_length - specials
+    content = max_length - 2
     if not 0 <= stride < content:
         raise ValueError(f"stride must be between 0 and {content - 1}")
-    if specials != 2:
-        raise ValueError("windows are wrapped by exactly two special tokens")
     fields = records.schema["tokens"].dataType.elementType.fields
     special = F.struct(
         *[

@@ -1,6 +1,7 @@
 """The whole augmentation of a training set."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanloom.operators import augment as A
 from spanloom.operators.typography import surfaces
@@ -16,10 +17,11 @@ def augment_records(
     num_clusters: int,
     max_candidates: int,
     seed: int,
-) -> tuple[DataFrame, DataFrame | None]:
+) -> tuple[DataFrame, DataFrame]:
     """Originals plus one variant of each selected record, and the statistics.
 
-    Switched off (or with probability 0) the input comes back with no statistics.
+    Switched off (or with probability 0) the input comes back, and the statistics say that
+    nothing was added and, as ``skipped``, why.
     """
 
     if not 0.0 <= probability <= 1.0:
@@ -27,7 +29,14 @@ def augment_records(
     if num_clusters < 1 or max_candidates < 1:
         raise ValueError("num_clusters and max_candidates must be positive")
     if not enabled or probability == 0.0:
-        return records, None
+        reason = "disabled" if not enabled else "probability is 0"
+        n = records.agg(F.count("*").alias("n")).select(
+            F.col("n").alias("input_records"), F.lit(0).cast("bigint").alias("added_records"),
+            F.lit(0).cast("bigint").alias("replaced_entities"), F.col("n").alias("output_records"),
+            F.lit(0).cast("bigint").alias("cluster_count"),
+        )
+        stats = n.unpivot([], list(n.columns), "metric", "value").withColumn("skipped", F.lit(reason))
+        return records, stats
     vectors = A.surface_vectors(surface_tokens, token_vectors)
     clustered = A.cluster_surfaces(vectors, num_clusters, seed)
     neighbours = A.cluster_neighbours(clustered, max_candidates)

@@ -27,13 +27,16 @@ def _merge(
     spark: SparkSession, converted: DataFrame, train_path: str, dev_path: str, output: str, overwrite: bool,
     unique_hash: bool,
 ) -> DataFrame:
-    train = read_records(spark, train_path)
-    dev = read_records(spark, dev_path)
+    if converted.limit(1).count() == 0:
+        raise ValueError("no source records")
+    train = read_records(spark, train_path, extra=True)
+    dev = read_records(spark, dev_path, extra=True)
     fresh = materialize(corpus.dedup_against(converted, train, dev))
     if unique_hash and duplicate_hash(fresh).first() is not None:
         raise ValueError("duplicate generated hash")
     merged = corpus.append_train(train, fresh.select("ord", "hash", "text", "entities"))
-    write_jsonl(merged, f"{output}/train", overwrite=overwrite)
+    # the export keeps train before the added records
+    write_jsonl(merged, f"{output}/train", overwrite=overwrite, ordered=True)
     write_jsonl(dev, f"{output}/dev", overwrite=overwrite)
     return corpus.merge_manifest(train, dev, converted, fresh)
 
@@ -108,12 +111,12 @@ def thin_corpus(
 ) -> DataFrame:
     """Remove the fraction of empty added records from train, copy dev, return the audit."""
 
-    train = read_records(spark, train_path)
+    train = read_records(spark, train_path, extra=True)
     marked = corpus.mark_empty_added(train, drop_fraction, seed, prefixes)
-    kept = marked.filter(~F.col("removed")).select("ord", "hash", "text", "entities")
-    write_jsonl(kept, f"{output}/train", overwrite=overwrite)
-    write_jsonl(read_records(spark, dev_path), f"{output}/dev", overwrite=overwrite)
-    manifest = corpus.filter_manifest(marked)
+    kept = marked.filter(~F.col("removed")).drop("source", "is_empty", "removed")
+    write_jsonl(kept, f"{output}/train", overwrite=overwrite, ordered=True)
+    write_jsonl(read_records(spark, dev_path, extra=True), f"{output}/dev", overwrite=overwrite)
+    manifest = materialize(corpus.filter_manifest(marked))
     changed = manifest.filter("org_before <> org_after or name_before <> name_after or geo_before <> geo_after")
     if changed.first() is not None:
         raise AssertionError("entity counts changed while removing empty records")

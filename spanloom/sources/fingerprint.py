@@ -1,5 +1,6 @@
 """Digests that identify input files and tables."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,23 +12,28 @@ def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
     ``table_fingerprint``.
     """
 
-    fs = spark._jvm.org.apache.hadoop.fs.Path
-    conf = spark._jsc.hadoopConfiguration()
-    present = [p for p in paths if fs(p).getFileSystem(conf).exists(fs(p))]
-    if not present:
-        return spark.createDataFrame([], "path string, length bigint, sha256 string")
-    files = spark.read.format("binaryFile").load(present)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    found = spark.createDataFrame([], "path string, length bigint, sha256 string")
+    for path in paths:
+        try:
+            file = spark.read.format("binaryFile").load(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            found = found.union(file.select("path", "length", F.sha2("content", 256).alias("sha256")))
+    return found
 
 
 def table_fingerprint(table: DataFrame, name: str) -> DataFrame:
     """``(dataset, rows, digest)``: an order-free sum of row digests, of any size.
 
-    48 bits of each row's SHA-256 are added as DECIMAL, so rows may arrive in any order
+    A row is its values, each led by its length, with a mark for NULL, so that neither an
+    empty value nor one that contains a separator can pass for another row.  48 bits of each row's SHA-256 are added as DECIMAL, so rows may arrive in any order
     and the sum is combined on the map side.
     """
 
-    row = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in table.columns])
+    value = lambda v: F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("N"))
+    row = F.concat(*[value(F.col(c).cast("string")) for c in table.columns])
     number = F.conv(F.substring(F.sha2(row, 256), 1, 12), 16, 10).cast("decimal(18,0)")
     return table.agg(
         F.lit(name).alias("dataset"),

@@ -5,13 +5,16 @@ source silently skips blank lines and turns numbers into strings.  Everything ab
 line is decided in the row; only the uniqueness of ``hash`` needs a shuffle.
 
 ``ord`` is ``struct<file,block,seq>``: file path, start of the split, place in the
-split.  It orders and identifies lines without a counting pass over the data.
+split.  It orders lines without a counting pass over the data.  What must not depend on how files are
+split (an identifier) uses the line number of ``numbered_lines``.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanloom.functions.arrays import let
+from spanloom.operators.materialize import materialize
 from spanloom.operators.validate import canonical_array, duplicate_hash, entity_errors
 from spanloom.schema import ENTITIES
 
@@ -19,9 +22,12 @@ BLANK = r"(?U)^[\s\x1c-\x1f]*$"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(ord, value)`` for every line below ``path``; a UTF-8 byte order mark is dropped."""
+    """``(ord, value)`` for every line below ``path``.
 
-    lines = spark.read.text(path).select(
+    Spark's line reader drops a byte order mark at the start of a file, and only there.
+    """
+
+    return spark.read.text(path).select(
         F.struct(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
@@ -29,7 +35,24 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         ).alias("ord"),
         "value",
     )
-    return lines.withColumn("value", F.regexp_replace("value", "^﻿", ""))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(ord, line, value)`` with the number of the line in its file, from 1.
+
+    Lines are counted per split, and the counts of a file summed: one row per split comes
+    together, never one per line.
+    """
+
+    lines = read_lines(spark, path)
+    splits = lines.groupBy(F.col("ord.file").alias("file"), F.col("ord.block").alias("block")).agg(
+        F.min("ord.seq").alias("first"), F.count("*").alias("n")
+    )
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = lines.join(starts, (F.col("ord.file") == F.col("file")) & (F.col("ord.block") == F.col("block")))
+    line = F.col("before") + F.col("ord.seq") - F.col("first") + 1
+    return placed.select("ord", line.alias("line"), "value")
 
 
 def _kind(variant: Column, path: str) -> Column:
@@ -57,9 +80,12 @@ def parse_records(
     require_text: bool = True,
     require_entities: bool = True,
     require_hash: bool = True,
+    extra: bool = False,
 ) -> DataFrame:
     """``(ord, value, hash, text, entities, error)``; ``error`` is the first broken rule.
 
+    With ``extra`` there is also ``extra``, the JSON object of all other fields (NULL without any).
+
     Without a text (predictions) the offsets are only checked against each other; the
     bounds follow when the prediction meets its gold record.
     """
@@ -77,6 +103,7 @@ def parse_records(
         F.when(text_kind == "STRING", F.try_variant_get(v, "$.text", "string")).alias("text"),
         text_kind.alias("text_kind"),
         F.when(is_list, F.transform(items, _entity)).cast(ENTITIES).alias("entities"),
+        *([_other_fields(v).alias("extra")] if extra else []),
     )
     blank = F.col("value").rlike(BLANK)
     no_hash = F.coalesce(F.col("hash") == "", F.lit(True))
@@ -95,7 +122,16 @@ def parse_records(
             lambda found: F.when(F.size(found) > 0, F.array_min(found)["error"]),
         )
         whole = whole.when(F.col("entities").isNull(), "entities").otherwise(first)
-    return fields.withColumn("error", whole).select("ord", "value", "hash", "text", "entities", "error")
+    more = ["extra"] if extra else []
+    return fields.withColumn("error", whole).select("ord", "value", "hash", "text", "entities", *more, "error")
+
+
+def _other_fields(variant: Column) -> Column:
+    """JSON text of the fields that are not part of a record, or NULL."""
+
+    fields = F.try_variant_get(variant, "$", "map<string,variant>")
+    others = F.map_filter(fields, lambda k, _: ~k.isin("hash", "text", "entities"))
+    return F.when(F.size(others) > 0, F.to_json(others))
 
 
 def duplicates(parsed: DataFrame) -> DataFrame:
@@ -134,8 +170,13 @@ def _census(parsed: DataFrame, unique: bool) -> tuple[int, int, int]:
 
 
 def checked(parsed: DataFrame, strict: bool = True, unique: bool = True, kind: str = "records") -> DataFrame:
-    """The good rows.  Strict mode fails on the first violation in file order."""
+    """The good rows.  Strict mode fails on the first violation in file order.
 
+    The lines are parsed once: what was parsed is written to the shared folder, and the
+    checks and all later readers read it from there.
+    """
+
+    parsed = materialize(parsed)
     rows, bad, copies = _census(parsed, unique)
     if strict and (bad or copies > 1):
         first = violations(parsed, unique).orderBy("ord").first()
@@ -155,13 +196,17 @@ def read_records(
     require_entities: bool = True,
     mode: str = "contract",
     strict: bool = True,
+    extra: bool = False,
 ) -> DataFrame:
-    """``(ord, hash, text[, entities])`` from JSON Lines."""
+    """``(ord, hash, text[, entities][, extra])`` from JSON Lines.
+
+    ``extra`` keeps the fields that are not part of a record, as ``write_jsonl`` writes them back.
+    """
 
     # inspection accepts repeated and missing hashes
     inspecting = mode == "inspect"
     parsed = parse_records(
-        read_lines(spark, path), mode, require_entities=require_entities, require_hash=not inspecting
+        read_lines(spark, path), mode, require_entities=require_entities, require_hash=not inspecting, extra=extra
     )
     good = checked(parsed, strict, unique=not inspecting)
     if not require_entities:
@@ -185,14 +230,14 @@ def read_limit(records: DataFrame, n: int) -> DataFrame:
 
 
 def read_source_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """Parallel-array rows ``(ord, id, text, surfaces, labels)`` from JSON Lines.
+    """Parallel-array rows ``(ord, line, id, text, surfaces, labels, error)`` from JSON Lines.
 
-    Rules about the arrays are checked by the converter, which sets ``error``; an
-    unreadable line fails here.  An id of any JSON type is kept as written.
+    ``error`` marks a blank line and one that is no object; rules about the arrays are
+    checked by the converter.  An id of any JSON type is kept as written.
     """
 
     v = F.try_parse_json("value")
-    lines = read_lines(spark, path).withColumn("v", v)
+    lines = numbered_lines(spark, path).withColumn("v", v)
     text_list = lambda name: F.when(
         F.startswith(_kind(F.col("v"), f"$.{name}"), F.lit("ARRAY")),
         F.transform(
@@ -200,15 +245,15 @@ def read_source_arrays(spark: SparkSession, path: str) -> DataFrame:
             lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")),
         ),
     )
-    bad = F.when(F.col("value").rlike(BLANK), "empty line").when(
-        ~F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False)), "not an object"
+    bad = F.when(F.col("value").rlike(BLANK), "blank").when(
+        ~F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False)), "object"
     )
     return lines.select(
         "ord",
-        F.when(bad.isNull(), F.try_variant_get("v", "$.id", "string"))
-        .otherwise(F.raise_error(bad))
-        .alias("id"),
+        "line",
+        F.try_variant_get("v", "$.id", "string").alias("id"),
         F.when(_kind(F.col("v"), "$.text") == "STRING", F.try_variant_get("v", "$.text", "string")).alias("text"),
         text_list("entities").alias("surfaces"),
         text_list("entity_type").alias("labels"),
+        bad.alias("error"),
     )

@@ -5,19 +5,26 @@ from pyspark.sql import functions as F
 
 
 def json_lines(records: DataFrame) -> DataFrame:
-    """Compact JSON per record, non-ASCII kept, fields in table order, ``ord`` left out."""
+    """Compact JSON per record, non-ASCII kept, fields in table order, ``ord`` left out.
 
-    fields = [c for c in records.columns if c != "ord"]
-    return records.select(F.to_json(F.struct(*fields)).alias("value"))
+    The fields of an ``extra`` object, as the reader keeps them, follow the others.
+    """
+
+    fields = [c for c in records.columns if c not in ("ord", "extra")]
+    line = F.to_json(F.struct(*fields))
+    if "extra" in records.columns:
+        both = F.concat(F.substr(line, F.lit(1), F.length(line) - 1), F.lit(","), F.substr(F.col("extra"), F.lit(2)))
+        line = F.when(F.col("extra").isNull(), line).otherwise(both)
+    return records.select(line.alias("value"))
 
 
 def write_jsonl(
-    records: DataFrame, path: str, *, overwrite: bool = False, ordered: bool = True
+    records: DataFrame, path: str, *, overwrite: bool = False, ordered: bool = False
 ) -> None:
-    """Write a dataset as a folder of JSON Lines files.
+    """Write a dataset as a folder of JSON Lines files, the partitions as they are.
 
     ``ordered`` sorts by ``ord`` across the files (range partitioning, so no single task
-    holds the dataset); without it the partitions are written as they are.
+    holds the dataset).
     """
 
     rows = records.orderBy("ord") if ordered else records

@@ -88,8 +88,10 @@ def test_vectors_clusters_and_the_whole_run(make, spark):
 def test_switches(make, spark):
     records = make(("a", "Ali", [("NAME", 0, 3)]))
     options = dict(num_clusters=1, max_candidates=1, seed=1)
-    assert augment_records(records, None, None, enabled=False, probability=0.5, **options) == (records, None)
-    assert augment_records(records, None, None, probability=0.0, **options) == (records, None)
+    for off in (dict(enabled=False, probability=0.5), dict(probability=0.0)):
+        same, stats = augment_records(records, None, None, **off, **options)
+        assert same is records and {r["skipped"] for r in stats.collect()} <= {"disabled", "probability is 0"}
+        assert {r["metric"]: r["value"] for r in stats.collect()}["output_records"] == 1
     with pytest.raises(ValueError):
         augment_records(records, None, None, probability=1.5, **options)
 

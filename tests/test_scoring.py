@@ -36,6 +36,26 @@ def test_best_epoch_takes_the_first_best(spark):
     assert sorted(map(tuple, scoring.best_epoch(history, maximize=False).collect())) == [("r", 1, 0.5), ("s", 1, 0.1)]
 
 
+def test_best_epoch_never_takes_nan(spark):
+    rows = [("r", 1, 0.1), ("r", 2, float("nan")), ("r", 3, None), ("s", 1, float("nan"))]
+    history = spark.createDataFrame(rows, "run string, epoch int, f1 double")
+    for maximize in (True, False):
+        assert list(map(tuple, scoring.best_epoch(history, maximize=maximize).collect())) == [("r", 1, 0.1)]
+
+
+def test_metrics_by_split_with_shared_hash_and_silent_split(spark):
+    span = "split string, hash string, label string, start bigint, end bigint"
+    gold = spark.createDataFrame([("train", "h", "ORG", 0, 2), ("dev", "h", "ORG", 0, 2), ("quiet", "q", "GEO", 1, 2)], span)
+    preds = spark.createDataFrame([("dev", "h", "ORG", 0, 2, 1), ("dev", "h", "NAME", 3, 4, 2)], span + ", epoch int")
+    records = spark.createDataFrame([("train", "h"), ("dev", "h"), ("dev", "e"), ("quiet", "q")], "split string, hash string")
+    rows = scoring.metrics_by_split(gold, preds, records).filter("scope = 'micro'").collect()
+    got = {(r["split"], r["epoch"]): (r["tp"], r["fp"], r["fn"], r["records"]) for r in rows}
+    assert got == {
+        ("train", 1): (0, 0, 1, 1), ("train", 2): (0, 0, 1, 1), ("quiet", 1): (0, 0, 1, 1), ("quiet", 2): (0, 0, 1, 1),
+        ("dev", 1): (1, 0, 0, 2), ("dev", 2): (0, 1, 1, 2),
+    }
+
+
 def test_status_and_segments_match_brute_force(make):
     rng = random.Random(9)
     gold_rows, pred_rows = random_records(rng, 40), random_records(rng, 40)

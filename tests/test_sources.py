@@ -4,10 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import sentence_hash
+from spanloom.operators.augment import augment_append, rewrite_record
+from spanloom.operators.converters import convert_arrays
+from spanloom.operators.corpus import append_train, drop_empty_added
 from spanloom.plans.corpus import merge_array_corpus, merge_token_corpus, thin_corpus
 from spanloom.plans.evaluate import evaluate_files, load_comparison
 from spanloom.sources.fingerprint import file_digests, table_fingerprint
-from spanloom.sources.records import parse_records, quarantine, read_lines, read_predictions, read_records
+from spanloom.schema import ENTITIES_DDL
+from spanloom.sources.records import parse_records, quarantine, read_lines, read_predictions, read_records, read_source_arrays
 from spanloom.sources.sinks import write_jsonl
 
 
@@ -24,10 +28,58 @@ def rec(h, text, *entities, **more):
 GOOD = rec("a", "Али Toshkent", ("GEO", 4, 12), ("NAME", 0, 3), extra=1)
 
 
-def test_reads_sorted_entities_and_drops_other_fields(spark, tmp_path):
-    row = read_records(spark, dump(tmp_path / "r.jsonl", GOOD, prefix="﻿")).first()
+def test_reads_sorted_entities_and_other_fields_on_request(spark, tmp_path):
+    path = dump(tmp_path / "r.jsonl", GOOD, rec("b", "x"))
+    row = read_records(spark, path).orderBy("ord").first()
     assert [tuple(e) for e in row["entities"]] == [("NAME", 0, 3), ("GEO", 4, 12)]
     assert set(row.asDict()) == {"ord", "hash", "text", "entities"}
+    kept = read_records(spark, path, extra=True).orderBy("ord").collect()
+    assert [r["extra"] for r in kept] == ['{"extra":1}', None]
+    write_jsonl(read_records(spark, path, extra=True), str(tmp_path / "out"))
+    lines = [json.loads(x) for p in (tmp_path / "out").glob("part-*") for x in p.read_text(encoding="utf-8").splitlines()]
+    assert {x["hash"]: x.get("extra") for x in lines} == {"a": 1, "b": None}
+
+
+def test_a_byte_order_mark_only_opens_a_file(spark, tmp_path):
+    assert read_records(spark, dump(tmp_path / "r.jsonl", GOOD, prefix="﻿")).count() == 1
+    with pytest.raises(ValueError, match="json"):
+        read_records(spark, dump(tmp_path / "s.jsonl", GOOD, "﻿" + json.dumps(rec("b", "x"))))
+
+
+def test_source_arrays_round_trip_and_stable_identifiers(spark, tmp_path):
+    row = lambda i: {"text": f"matn {i}", "entities": ["matn"], "entity_type": ["ORG"]}
+    lines = [json.dumps(row(i)) for i in range(200)]
+    lines[3], lines[5], lines[7] = " ", "[1]", "﻿" + lines[7]
+    path = dump(tmp_path / "s.jsonl", *lines, prefix="﻿")
+    found = {}
+    for size in ("128m", "700"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = read_source_arrays(spark, path)
+            assert rows.select("text").count() == 200
+            assert {r["line"]: r["error"] for r in rows.collect() if r["error"]} == {4: "blank", 6: "object", 8: "object"}
+            found[size] = {r["text"]: r["hash"] for r in convert_arrays(rows.filter("error is null")).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(found["700"]) == 197 and found["700"] == found["128m"]
+
+
+def test_merge_thin_and_augment_in_memory_keep_other_fields(spark, tmp_path):
+    train = read_records(spark, dump(tmp_path / "t.jsonl", GOOD, rec("b", "x")), extra=True)
+    new = spark.createDataFrame([(0, "uz-new", "yangi", [])], f"ord bigint, hash string, text string, entities {ENTITIES_DDL}")
+    merged = append_train(train, new)
+    thinned = drop_empty_added(merged, 0.0, 1)
+    swap = spark.createDataFrame([("a", "NAME", 0, 3, "X")], "hash string, label string, start bigint, end bigint, replacement string")
+    both = augment_append(thinned, rewrite_record(thinned, swap)).orderBy("ord").collect()
+    assert [r["hash"] for r in both[:3]] == ["a", "b", "uz-new"] and len(both) == 4
+    assert [r["extra"] for r in both] == ['{"extra":1}', None, None, None]
+    assert both[3]["text"] == "X Toshkent" and both[3]["augmentation"]["source_hash"] == "a"
+
+
+def test_inputs_are_parsed_once(spark, tmp_path):
+    gold = read_records(spark, dump(tmp_path / "g.jsonl", GOOD))
+    plan = gold._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan and ".jsonl" not in plan
 
 
 BAD = {
@@ -83,7 +135,7 @@ def test_predictions_may_lack_text(spark, tmp_path):
 
 def test_round_trip_keeps_order_and_characters(spark, make, tmp_path):
     rows = [(f"h{i}", f"О‘z \"{i}\"\n", [("ORG", 0, 1)]) for i in range(40)]
-    write_jsonl(make(*rows), str(tmp_path / "out"))
+    write_jsonl(make(*rows), str(tmp_path / "out"), ordered=True)
     back = read_records(spark, str(tmp_path / "out")).orderBy("ord").collect()
     assert [(r["hash"], r["text"]) for r in back] == [r[:2] for r in rows]
     raw = "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "out").glob("part-*")))
@@ -151,5 +203,7 @@ def test_fingerprints(spark, tmp_path):
     path = dump(tmp_path / "a.txt", "abc")
     rows = file_digests(spark, [path, str(tmp_path / "none")]).collect()
     assert [r["sha256"] for r in rows] == ["edeaaff3f1774ad2888673770c6d64097e391bc362d7d6fb34982ddf0efd18cb"]
+    digest = lambda *rows: table_fingerprint(spark.createDataFrame(list(rows), "s string, t string"), "t").first()["digest"]
+    assert digest((None, "x")) != digest(("", "x")) and digest(("a", "b1:c")) != digest(("a1:b", "c"))
     a = spark.createDataFrame([(1, "x"), (2, None)], "i int, s string")
     assert table_fingerprint(a, "a").collect() == table_fingerprint(a.orderBy(F.desc("i")), "a").collect()

@@ -38,6 +38,7 @@ def test_input_batch(spark):
         [(0, "a", "one"), (1, "b", "two"), (2, "a", "x"), (3, "", "x"), (4, "c", None)], "ord bigint, hash string, text string"
     )
     assert sorted(map(tuple, V.validate_input_batch(batch).collect())) == [(2, "duplicate_hash"), (3, "hash"), (4, "text")]
+    assert list(map(tuple, V.validate_input_batch(batch.limit(0)).collect())) == [(None, "empty")]
 
 
 def test_predictions_by_position(make):

@@ -39,7 +39,7 @@ def surface_tokens(spark, sf):
     + """,
  names AS (SELECT DISTINCT label, surface FROM surfaces WHERE trim(surface, ' ' || chr(10)) <> ''),
  ids AS (
-  SELECT label, surface, unnest(list_slice(string_split(surface, ' '), 1, 64)) AS t FROM names),
+  SELECT label, surface, unnest(string_split(surface, ' ')) AS t FROM names),
  coords AS (
   SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS dim FROM embeddings),
  means AS (

@@ -125,19 +125,23 @@ SPLITS = V.SQL_GOLD + "".join(
     + V._runs(f"pred{epoch}", "p").replace("FROM tags", f"FROM tags{epoch}")
     for epoch in (1, 2, 3)
 ) + """,
- splits AS (SELECT doc_id AS ord, 'q' || quality AS split FROM labels),
+ splits AS (
+  SELECT o.ord, coalesce('q' || quality, 'none') AS split FROM docs o LEFT JOIN labels l ON l.doc_id = o.ord
+  UNION ALL SELECT doc_id, 'again' FROM labels WHERE toxic = 1
+  UNION ALL SELECT doc_id, 'silent' FROM labels WHERE quality = 0),
+ sizes AS (SELECT split, count(*) AS records FROM splits GROUP BY split),
  preds AS (SELECT 1 AS epoch, * FROM pred1 UNION ALL SELECT 2, * FROM pred2 UNION ALL SELECT 3, * FROM pred3),
  hits AS (
   SELECT split, epoch, p.label, count(g.hash) AS tp, count(*) AS n
   FROM preds p JOIN splits USING (ord) LEFT JOIN gold g
     ON g.hash = p.hash AND g.label = p.label AND g.start = p.start AND g."end" = p."end"
-  GROUP BY split, epoch, p.label),
+  WHERE split <> 'silent' GROUP BY split, epoch, p.label),
  totals AS (SELECT split, label, count(*) AS n FROM gold JOIN splits USING (ord) GROUP BY split, label),
  names(label, place) AS (VALUES ('ORG', 1), ('NAME', 2), ('GEO', 3)),
  counts AS (
   SELECT s.split, s.epoch, names.label, place, coalesce(h.tp, 0) AS tp, coalesce(h.n, 0) - coalesce(h.tp, 0) AS fp,
          coalesce(t.n, 0) - coalesce(h.tp, 0) AS fn
-  FROM (SELECT DISTINCT split, epoch FROM hits) s CROSS JOIN names
+  FROM (SELECT split, unnest([1, 2, 3]) AS epoch FROM sizes) s CROSS JOIN names
   LEFT JOIN hits h ON h.split = s.split AND h.epoch = s.epoch AND h.label = names.label
   LEFT JOIN totals t ON t.split = s.split AND t.label = names.label)""" + f""",
  by_label AS ({metrics_sql('counts', 'split, epoch, label AS scope, place')}),
@@ -154,23 +158,37 @@ SPLITS = V.SQL_GOLD + "".join(
 
 
 def _split_report(spark, sf):
-    splits = V.table(spark, sf, "labels").select(
-        F.col("doc_id").alias("ord"), F.concat(F.lit("q"), F.col("quality")).alias("split")
+    """Splits by quality, one for unlabelled texts, one of texts that are in another one as
+    well, and one without predictions."""
+
+    labels = V.table(spark, sf, "labels").withColumnRenamed("doc_id", "ord")
+    docs = V.docs(spark, sf)
+    by_quality = docs.join(labels, "ord", "left").withColumn(
+        "split", F.coalesce(F.concat(F.lit("q"), F.col("quality")), F.lit("none"))
+    )
+    more = labels.select(
+        "ord",
+        F.explode(
+            F.array_compact(
+                F.array(F.when(F.col("toxic") == 1, F.lit("again")), F.when(F.col("quality") == 0, F.lit("silent")))
+            )
+        ).alias("split"),
     )
-    base = V.tokenized(V.docs(spark, sf).join(splits, "ord"))
+    columns = ["ord", "hash", "text", "split"]
+    base = V.tokenized(by_quality.select(columns).union(docs.join(more, "ord").select(columns)))
     gold = base.select("hash", "split", V.gold_entities(F.col("tokens")).alias("entities"))
-    epochs = base.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    epochs = base.filter("split <> 'silent'").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(3))))
     preds = epochs.select(
         "hash", "split", "epoch", V.pred_entities(F.col("tokens"), F.col("epoch")).alias("entities")
     )
     return scoring.metrics_by_split(
-        scoring.explode_spans(gold, "split"), scoring.explode_spans(preds, "split", "epoch")
+        scoring.explode_spans(gold, "split"), scoring.explode_spans(preds, "split", "epoch"), base.select("hash", "split")
     )
 
 
-@query("metrics_by_split", SPLITS + long_sql("report", "split, epoch, scope"))
+@query("metrics_by_split", SPLITS + ", sized AS (SELECT * FROM report JOIN sizes USING (split))" + long_sql("sized", "split, epoch, records, scope"))
 def _(spark, sf):
-    return long(_split_report(spark, sf), "split", "epoch", "scope")
+    return long(_split_report(spark, sf), "split", "epoch", "records", "scope")
 
 
 @query(

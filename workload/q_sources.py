@@ -38,7 +38,7 @@ def _(spark, sf):
 @query("read_predictions", V.SQL_SPANS + COUNTS.format("pred"))
 def _(spark, sf):
     path = scratch(spark)
-    write_jsonl(V.pred(spark, sf).drop("text"), path, ordered=False)
+    write_jsonl(V.pred(spark, sf).drop("text"), path)
     return totals(read_predictions(spark, path))
 
 
@@ -119,7 +119,8 @@ def _(spark, sf):
 @query(
     "dataset_fingerprint",
     """SELECT 'documents' AS dataset, count(*) AS rows, sum(('0x' || substr(sha256(
- doc_id || chr(1) || text || chr(1) || lang || chr(1) || source || chr(1) || n_chars), 1, 12))::BIGINT)::VARCHAR AS digest
+ """ + " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, 'N')" for c in ("doc_id", "text", "lang", "source", "n_chars"))
+    + """), 1, 12))::BIGINT)::VARCHAR AS digest
 FROM documents""",
 )
 def _(spark, sf):
@@ -195,7 +196,7 @@ FROM surfaces s LEFT JOIN alias_index a
 )
 def _(spark, sf):
     folder = scratch(spark)
-    write_jsonl(V.gold(spark, sf), folder, ordered=False)
+    write_jsonl(V.gold(spark, sf), folder)
     parsed = intake.parse_stream(intake.read_stream(spark, folder), require_entities=True)
     # the index is read in every batch, so it is computed once
     index = materialize(alias_index(V.aliases(spark, sf)))

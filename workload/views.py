@@ -16,19 +16,10 @@ from spanloom.operators.augment import unit
 from spanloom.operators.windows import token_windows
 
 
-def spread(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Use all cores on a table of few splits; a table with enough splits is left alone.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a table out by its key; one file of the driver tables is one split."""
 
-    The optimizer would push filters computed from the text below the repartitioning, back
-    into the one task that reads a small file.  The always-true test on a row number,
-    which it may not move, keeps that work behind the exchange.
-    """
-
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    here = F.when(F.monotonically_increasing_id() >= 0, F.col(text))
-    return df.repartition(cores, key).withColumn(text, here)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -392,7 +383,7 @@ def options(spark: SparkSession, sf: str) -> DataFrame:
 def unit_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     """``vec_id, label, vector`` with vectors of length 1."""
 
-    rows = spread(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    rows = spread(table(spark, sf, "embeddings"), "vec_id")
     return rows.select("vec_id", "label", unit(F.col("embedding").cast("array<double>")).alias("vector"))
 
 
