@@ -90,7 +90,7 @@ def judge_urls(
         F.count(F.when(F.col("listed") == "block", 1)).alias("blocked"),
     )
     branches = crowded_levels(staged(counted, "url-branches"), max_children)
-    branches = with_prior(branches, strength)
+    branches = staged(with_prior(branches, strength), "url-prior")
     for level in range(1, DEPTH + 1):
         branches = staged(merge_level(branches, level, max_z), "url-merged")
     judged = branches.groupBy("host", "template").agg(
@@ -121,6 +121,7 @@ def crowded_levels(branches: DataFrame, max_children: int) -> DataFrame:
         out = out.join(crowded, here, "left").select(
             *branches.columns, F.when(F.col("h").isNotNull(), _starred(level)).otherwise(F.col("template")).alias("template")
         )
+        out = staged(out, "url-levels")  # each level reads the one before twice
     return out
 
 
