@@ -1,19 +1,28 @@
 """Streaming intake and normalization of records arriving as files of JSON Lines."""
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from spanloom.operators.rows import each
 from spanloom.functions.text import casefold, clean_value, with_surfaces
-from spanloom.operators.joins import is_small
 from spanloom.sources.records import parse_records
 
 
 def read_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    """``(arrived, value)`` lines of the files appearing in ``folder``."""
+    """``(arrived, value)`` lines of the files appearing in ``folder``.
+
+    ``arrived`` is the time of the batch that read the line, whatever the age of its file, so no
+    line can be late for the watermark.
+    """
 
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    return lines.select(F.col("_metadata.file_modification_time").alias("arrived"), "value")
+    # the source would otherwise pass over files much older than the newest
+    options = {"maxFilesPerTrigger": files_per_trigger, "maxFileAge": "36500d"}
+    lines = spark.readStream.options(**options).text(folder)
+    return lines.select(F.current_timestamp().alias("arrived"), "value")
 
 
 def parse_stream(lines: DataFrame, require_entities: bool = False) -> DataFrame:
@@ -35,17 +44,44 @@ def stream_intake(parsed: DataFrame, delay: str = "1 hour") -> DataFrame:
     return good.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["hash"])
 
 
-def stream_quarantine(parsed: DataFrame) -> DataFrame:
-    """Rejected lines with their reason."""
+def stream_quarantine(parsed: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """``(arrived, hash, value, error)`` of rejected lines and, as ``duplicate_hash``, of repeats.
 
-    return parsed.filter("error is not null").select("arrived", "value", "error")
+    Each hash has a line that is no repeat within the watermark, whichever comes first in its batch; all
+    further ones, also those with another text, are listed.  The state is a mark per hash, as in
+    ``stream_intake``.  Of two lines of one batch either may be the first there and here: compare by
+    ``hash`` to see what a repeat clashes with.
+    """
+
+    rejected = parsed.filter("error is not null").select("arrived", "hash", "value", "error")
+    good = parsed.filter("error is null").select("arrived", "hash", "value").withWatermark("arrived", delay)
+    keep = pd.Timedelta(delay) // pd.Timedelta(milliseconds=1)
+
+    def repeats(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, last = state.exists, None
+        for chunk in chunks:
+            last = chunk["arrived"].max() if last is None else max(last, chunk["arrived"].max())
+            again = chunk if seen else chunk.iloc[1:]
+            seen = True
+            yield again.assign(error="duplicate_hash")[["arrived", "hash", "value", "error"]]
+        state.update((True,))
+        arrived = last.value // 1_000_000 if last.tzinfo else last.tz_localize("UTC").value // 1_000_000
+        state.setTimeoutTimestamp(max(arrived, state.getCurrentWatermarkMs()) + keep + 1)
+
+    found = good.groupBy("hash").applyInPandasWithState(
+        repeats, "arrived timestamp, hash string, value string, error string", "seen boolean", "append", "EventTimeTimeout"
+    )
+    return rejected.unionByName(found)
 
 
 def stream_normalize(predictions: DataFrame, index: DataFrame) -> DataFrame:
     """Entities of arriving predictions with surface and canonical name.
 
-    ``index`` comes from ``alias_index``.  A measured small index is broadcast, a larger one
-    is joined by shuffle in every batch.
+    ``index`` comes from ``alias_index``.  Each batch is planned on its own: a small index is
+    broadcast by Spark's own size check, a larger one joined by shuffle.
     """
 
     listed = with_surfaces(F.col("text"), F.col("entities"))
@@ -53,7 +89,6 @@ def stream_normalize(predictions: DataFrame, index: DataFrame) -> DataFrame:
     cleaned = rows.withColumn("cleaned", clean_value(F.col("surface")))
     keyed = cleaned.withColumn("alias_key", casefold(F.col("cleaned")))
     usable = index.filter("error is null").select("label", "alias_key", "canonical")
-    side = F.broadcast(usable) if is_small(usable) else usable
-    return keyed.join(side, ["label", "alias_key"], "left").select(
+    return keyed.join(usable, ["label", "alias_key"], "left").select(
         "hash", "label", "start", "end", "surface", F.coalesce("canonical", "cleaned").alias("normalized")
     )

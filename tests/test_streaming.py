@@ -1,4 +1,5 @@
 import json
+import os
 
 from spanloom.operators.typography import alias_index
 from spanloom.streaming import intake
@@ -25,9 +26,14 @@ def test_intake_keeps_valid_records_once(spark, tmp_path):
     good = run(intake.stream_intake(parsed), spark, tmp_path, "good").collect()
     assert sorted((r["hash"], r["text"]) for r in good) == [("a", "one"), ("b", "two")]
     bad = run(intake.stream_quarantine(parsed), spark, tmp_path, "bad").collect()
-    assert sorted(r["error"] for r in bad) == ["blank", "text"]
-    # a second run sees only what arrived since
-    (folder / "2.jsonl").write_text('{"hash":"a","text":"one"}\n{"hash":"d","text":"new"}\n')
+    assert sorted(r["error"] for r in bad) == ["blank", "duplicate_hash", "text"]
+    # a second run sees only what arrived since, also in an old file; a repeat with another text is kept aside
+    late = folder / "2.jsonl"
+    late.write_text('{"hash":"a","text":"other"}\n{"hash":"d","text":"new"}\n')
+    os.utime(late, (1_000_000_000, 1_000_000_000))
+    bad = run(intake.stream_quarantine(parsed), spark, tmp_path, "bad").collect()
+    assert sorted((r["error"], r["hash"]) for r in bad if r["hash"]) == [("duplicate_hash", "a")] * 2 + [("text", "c")]
+    assert any("other" in r["value"] for r in bad)
     good = run(intake.stream_intake(parsed), spark, tmp_path, "good").collect()
     assert sorted(r["hash"] for r in good) == ["a", "b", "d"]
 

@@ -174,9 +174,10 @@ def _(spark, sf):
 
 @query(
     "stream_quarantine",
-    """SELECT error, count(*) AS n FROM (
- SELECT CASE substr(md5(text || '|' || turn), 1, 1) WHEN '0' THEN 'json' WHEN '1' THEN 'text' END AS error
- FROM conversations) WHERE error IS NOT NULL GROUP BY error""",
+    """WITH turns AS (SELECT text, substr(md5(text || '|' || turn), 1, 1) AS d FROM conversations)
+SELECT CASE d WHEN '0' THEN 'json' ELSE 'text' END AS error, count(*) AS n FROM turns WHERE d IN ('0', '1') GROUP BY d
+UNION ALL SELECT 'duplicate_hash', (sum(CASE WHEN d IN ('2', '3', '4', '5') THEN 2 ELSE 1 END) - count(DISTINCT text))::BIGINT
+FROM turns WHERE d NOT IN ('0', '1')""",
 )
 def _(spark, sf):
     folder = scratch(spark)
