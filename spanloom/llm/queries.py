@@ -6,6 +6,7 @@ The queries derive the columns that were agreed for them from the operators' own
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm import oracle
 from spanloom.llm.fingerprints import fingerprint_documents
 from spanloom.llm.language_id import predict_language, train_language_id
 from spanloom.llm.line_quality import score_line_quality, train_line_quality
@@ -96,4 +97,4 @@ QUERIES = {
     "op9_line_quality": op9_line_quality,
     "op10_fingerprints": op10_fingerprints,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_overlap_join": oracle.OVERLAP_JOIN, "op7_sharding": oracle.SHARDING}
