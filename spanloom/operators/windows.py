@@ -170,7 +170,7 @@ def token_windows(
 
     def with_entities(spans: Column, by_last: Column, by_first: Column, w: Column) -> Column:
         begin = w["first_token"].cast("int")
-        stop = begin + F.size(w["tokens"]) - specials
+        stop = begin + F.size(w["tokens"]) - 2
         first = F.coalesce(F.get(by_last, begin), F.size(spans))
         last = F.coalesce(F.get(by_first, stop - 1), F.lit(-1))
         return w.withField(

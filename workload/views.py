@@ -493,18 +493,18 @@ def windows_sql(stride: int = STRIDE, max_length: int = MAX_LENGTH) -> str:
     content = max_length - 2
     step = content - stride
     return f""",
- indexed AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY pos) - 1 AS idx FROM tok),
+ indexed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY pos) - 1 AS idx FROM tok),
  sizes AS (SELECT d.hash, count(t.hash) AS n FROM docs d LEFT JOIN tok t ON t.hash = d.hash GROUP BY d.hash),
  wins AS (
   SELECT hash, n, unnest(range(CASE WHEN n <= {content} THEN 1
     ELSE 1 + CAST(ceil((n - {content}) / {step}.0) AS BIGINT) END)) AS window_id FROM sizes),
- wtok AS (
+ wtok AS MATERIALIZED (
   SELECT w.hash, window_id, window_id * {step} AS first_token, idx - window_id * {step} + 1 AS i, tok, start, "end",
          least({content}, n - window_id * {step}) AS size
   FROM wins w JOIN indexed t ON t.hash = w.hash AND idx >= window_id * {step} AND idx < window_id * {step} + {content}),
- wbounds AS (
+ wbounds AS MATERIALIZED (
   SELECT hash, window_id, min(start) AS window_start, max("end") AS window_end FROM wtok GROUP BY hash, window_id),
- wparts AS (
+ wparts AS MATERIALIZED (
   SELECT e.hash, window_id, label, e.start, e."end",
    CASE WHEN window_start <= e.start AND e."end" <= window_end THEN 'complete' ELSE 'partial' END AS part
   FROM ragged e JOIN wbounds b ON b.hash = e.hash AND e.start < window_end AND e."end" > window_start),
@@ -523,12 +523,12 @@ SQL_SCORED = windows_sql() + """,
  wscores AS (
   SELECT hash, window_id, ('0x' || substr(m, 1, 1))::BIGINT % 3 AS label_id, i AS token_start,
          least(i + ('0x' || substr(m, 2, 1))::BIGINT % 2, size) AS token_end,
-         ('0x' || substr(m, 3, 2))::BIGINT / 128.0::DOUBLE - 1.0::DOUBLE AS score
-  FROM (SELECT *, md5(tok) AS m FROM wtok)),
+         ('0x' || substr(m, 3, 2))::BIGINT / 128.0::DOUBLE - 1.0::DOUBLE AS score, start, "end", next_end
+  FROM (SELECT *, md5(tok) AS m, lead("end") OVER (PARTITION BY hash, window_id ORDER BY i) AS next_end FROM wtok)),
  wcands AS (
-  SELECT s.hash, s.window_id, (['ORG', 'NAME', 'GEO'])[label_id + 1] AS label, a.start, b."end", score
-  FROM wscores s JOIN wtok a ON a.hash = s.hash AND a.window_id = s.window_id AND a.i = token_start
-  JOIN wtok b ON b.hash = s.hash AND b.window_id = s.window_id AND b.i = token_end WHERE score > 0),
+  SELECT hash, window_id, (['ORG', 'NAME', 'GEO'])[label_id + 1] AS label, start,
+         CASE WHEN token_end > token_start THEN next_end ELSE "end" END AS "end", score
+  FROM wscores WHERE score > 0),
  merged AS (
   SELECT hash, label, start, "end", max(score) AS score FROM wcands GROUP BY hash, label, start, "end")"""
 
