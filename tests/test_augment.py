@@ -10,11 +10,11 @@ from tests_support import random_records
 
 
 def test_rewrite_example(make, spark):
-    records = make(("one", "Ali Toshkentda", [("NAME", 0, 3), ("GEO", 4, 14)]))
-    swap = spark.createDataFrame([("one", "NAME", 0, 3, "Alisher")], "hash string, label string, start bigint, end bigint, replacement string")
+    records = make(("one", "Bugun Oybek Termizga", [("NAME", 6, 11), ("GEO", 12, 20)]))
+    swap = spark.createDataFrame([("one", "NAME", 6, 11, "Jamshid")], "hash string, label string, start bigint, end bigint, replacement string")
     row = A.rewrite_record(records, swap).first()
-    assert row["text"] == "Alisher Toshkentda" and row["replaced"] == 1
-    assert [tuple(e) for e in row["entities"]] == [("NAME", 0, 7), ("GEO", 8, 18)]
+    assert row["text"] == "Bugun Jamshid Termizga" and row["replaced"] == 1
+    assert [tuple(e) for e in row["entities"]] == [("NAME", 6, 13), ("GEO", 14, 22)]
 
 
 def test_rewriting_keeps_everything_else(make, spark):

@@ -9,17 +9,17 @@ def errors(records, mode="contract"):
 
 
 def test_cyrillic_offsets_are_code_points(make):
-    assert errors(make(("r", "Али Toshkent", [("NAME", 0, 3), ("GEO", 4, 12)]))) == []
+    assert errors(make(("r", "Шаҳри Нукус 😀 бор", [("GEO", 6, 11), ("ORG", 12, 13), ("NAME", 14, 17)]))) == []
 
 
 def test_rules_and_modes(make):
     bad = make(
-        ("overlap", "Ali Toshkent", [("NAME", 0, 4), ("GEO", 3, 8)]),
-        ("range", "Ali", [("NAME", 0, 4)]),
-        ("label", "Ali", [("PER", 0, 3)]),
-        ("twice", "Ali", [("NAME", 0, 3), ("NAME", 0, 3)]),
-        ("touch", "AliB", [("NAME", 0, 3), ("GEO", 3, 4)]),
-        ("empty", "Ali", [("NAME", 1, 1), (None, 0, 1), ("ORG", None, 2)]),
+        ("overlap", "Zarafshon suvi", [("GEO", 0, 9), ("ORG", 7, 14)]),
+        ("range", "Nodir", [("NAME", 2, 6)]),
+        ("label", "Nodir", [("RIVER", 0, 5)]),
+        ("twice", "Nodir", [("NAME", 1, 5), ("NAME", 1, 5)]),
+        ("touch", "NodirX", [("NAME", 0, 5), ("GEO", 5, 6)]),
+        ("empty", "Nodir", [("NAME", 3, 3), (None, 0, 2), ("ORG", None, 2)]),
     )
     common = [("empty", 0, "offsets"), ("empty", 1, "label"), ("empty", 2, "offsets")]
     assert errors(bad) == sorted(

@@ -23,12 +23,12 @@ def parted(spark, rows, max_length, stride):
 
 
 def test_window_with_a_cut_and_a_complete_entity(spark):
-    tokens = [(0, 2), (2, 4), (8, 10), (10, 12)]
-    row = ("h", "abcd    efgh", tokens, [("NAME", 0, 2), ("GEO", 8, 12)])
+    tokens = [(0, 3), (3, 5), (6, 9), (9, 13)]
+    row = ("h", "qwert yuiopas", tokens, [("NAME", 0, 3), ("GEO", 6, 13)])
     masked = N.span_mask(parted(spark, [row], max_length=5, stride=1))
     windows = masked.orderBy("window_id").collect()
     assert [[tuple(t) for t in w["tokens"]] for w in windows] == [
-        [(0, 0), (0, 2), (2, 4), (8, 10), (0, 0)], [(0, 0), (8, 10), (10, 12), (0, 0)]
+        [(0, 0), (0, 3), (3, 5), (6, 9), (0, 0)], [(0, 0), (6, 9), (9, 13), (0, 0)]
     ]
     assert windows[0]["mask"] == [False, True, True, False, False]
     targets = N.span_targets(masked).orderBy("window_id").collect()
