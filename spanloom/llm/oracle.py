@@ -38,3 +38,63 @@ cut AS (
  SELECT *, least(((2 * before + size) * 40 // (2 * total))::INT, 39) AS shard FROM placed)
 SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
  row_number() OVER (PARTITION BY shard ORDER BY before) - 1 AS slot, NULL::INT AS grown_shard FROM cut"""
+
+_CELLS = ["[aeiou]", "[b-df-hj-np-tv-z]", "[A-Z]", "[0-9]", "[ \\t]", "[\\r\\n\\x0b\\x0c]", "[.,;:?!''\"()-]", "[#*$%&|<>]", "[^\\x00-\\x7F]"]
+
+
+def quality_rules_sql(words: list[str], limits: dict[str, float]) -> str:
+    """The counts, the references of all languages and the least distances, over whole tables."""
+
+    counted = [f"length(t) - length(regexp_replace(t, '{c}', '', 'g'))" for c in _CELLS]
+    cells = ", ".join(counted[:8] + [f"length(t) - ({' + '.join(f'({c})' for c in counted)})", counted[8]])
+    common = ", ".join(f"('{w}')" for w in words)
+
+    def distance(name: str) -> str:
+        return f""",
+ {name}_q AS (
+  SELECT lang, cell, n / sum(n) OVER (PARTITION BY lang) AS q FROM (
+   SELECT lang, cell, sum(n) AS n FROM {name} JOIN documents USING (doc_id)
+   WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang, cell)),
+ {name}_p AS (SELECT doc_id, cell, n / greatest(sum(n) OVER (PARTITION BY doc_id), 1) AS p FROM {name}),
+ {name}_d AS (
+  SELECT doc_id, min(d) AS d FROM (
+   SELECT doc_id, lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+     + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END), 0) / 2) AS d
+   FROM {name}_p JOIN {name}_q USING (cell) GROUP BY doc_id, lang) GROUP BY doc_id)"""
+
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(trim(translate(t, chr(9) || chr(10) || chr(11) || chr(12) || chr(13),
+   '     '), ' '), ' +'), lambda w: w <> '') AS ws FROM texts),
+ tok AS MATERIALIZED (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM split),
+ classes AS MATERIALIZED (SELECT doc_id, unnest(c) AS n, generate_subscripts(c, 1) AS cell FROM (SELECT doc_id, [{cells}] AS c FROM texts)),
+ vocabulary(cell) AS (VALUES {common}, (NULL)),
+ seen AS (
+  SELECT doc_id, cell, count(*) AS n FROM (
+   SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM tok) LEFT JOIN vocabulary ON cell = w
+  GROUP BY doc_id, cell),
+ common AS MATERIALIZED (
+  SELECT d.doc_id, coalesce(v.cell, '') AS cell, coalesce(n, 0) AS n
+  FROM texts d CROSS JOIN vocabulary v LEFT JOIN seen s ON s.doc_id = d.doc_id AND s.cell IS NOT DISTINCT FROM v.cell),
+ grams AS (
+  SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (
+   SELECT doc_id, pos, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS g FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
+  WHERE g IS NOT NULL),
+ covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS place FROM grams WHERE n > 1) GROUP BY doc_id),
+ lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM texts)
+  WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+ sizes AS (SELECT doc_id, count(*) AS n, sum(length(w)) AS chars FROM tok GROUP BY doc_id){distance("classes")}{distance("common")},
+ base AS (
+  SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_words, coalesce(s.chars, 0)::BIGINT AS word_chars, y.n::BIGINT AS n_symbols,
+   coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, length(d.t) AS all_chars
+  FROM texts d LEFT JOIN sizes s USING (doc_id) LEFT JOIN lines l USING (doc_id) LEFT JOIN covered c USING (doc_id)
+  JOIN classes y ON y.doc_id = d.doc_id AND y.cell = 8),
+ judged AS (
+  SELECT *, n_words < {limits["min_words"]} OR 100 * n_repeat_words > {limits["max_repeat_percent"]} * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ round(a.d, 9) AS class_distance, round(b.d, 9) AS word_distance,
+ NOT base_failed AND (all_chars < {limits["class_guard"]} OR a.d <= {limits["max_class_distance"]})
+  AND (n_words < {limits["word_guard"]} OR b.d <= {limits["max_word_distance"]}) AS kept
+FROM judged JOIN classes_d a USING (doc_id) JOIN common_d b USING (doc_id)"""

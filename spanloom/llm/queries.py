@@ -13,12 +13,20 @@ from spanloom.llm.line_quality import score_line_quality, train_line_quality
 from spanloom.llm.mixing import mix_sources
 from spanloom.llm.overlap_join import overlap_join
 from spanloom.llm.packing import pack_documents
-from spanloom.llm.quality_rules import language_references, quality_rules
+from spanloom.llm.quality_rules import language_references, quality_rules, vocabulary
 from spanloom.llm.sharding import shard_by_bytes
 from spanloom.llm.stage import fold_of
 from spanloom.llm.toxicity import score_toxicity, train_toxicity
 from spanloom.llm.url_templates import judge_urls
 
+QUALITY_LIMITS = {
+    "min_words": 50,
+    "max_repeat_percent": 50,
+    "max_class_distance": 0.2,
+    "max_word_distance": 0.33,
+    "class_guard": 300,
+    "word_guard": 150,
+}
 URL_RULES = [
     ("org/", "allow"),
     ("example.org/es/", "block"),
@@ -55,7 +63,8 @@ def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return quality_rules(docs.select("doc_id", "text"), language_references(docs))
+    judged = quality_rules(docs.select("doc_id", "text"), language_references(docs), **QUALITY_LIMITS)
+    return judged.withColumns({c: F.round(c, 9) for c in ("class_distance", "word_distance")})
 
 
 def op5_url_templates(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,4 +106,8 @@ QUERIES = {
     "op9_line_quality": op9_line_quality,
     "op10_fingerprints": op10_fingerprints,
 }
-SQL: dict[str, str] = {"op6_overlap_join": oracle.OVERLAP_JOIN, "op7_sharding": oracle.SHARDING}
+SQL: dict[str, str] = {
+    "op4_quality_rules": oracle.quality_rules_sql(vocabulary()[1], QUALITY_LIMITS),
+    "op6_overlap_join": oracle.OVERLAP_JOIN,
+    "op7_sharding": oracle.SHARDING,
+}
