@@ -1,9 +1,11 @@
 """Tables written once and read several times, in the folder all executors share."""
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators.materialize import checkpoint_dir
@@ -18,10 +20,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Fewer rows to an Arrow batch while an action runs: whole texts go to Python in them."""
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fold_of(column: str, folds: int):
     """``crc32`` of the identifier written as text, modulo ``folds`` (null for a null identifier)."""
 
