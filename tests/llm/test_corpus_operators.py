@@ -80,6 +80,16 @@ def test_overlap_join_by_all_pairs(spark, k, percent):
     assert {r.doc_id: r.component_id for r in got} == roots
 
 
+def test_overlap_join_over_long_lists(spark, monkeypatch):
+    # every list counts as long and every block is small
+    monkeypatch.setattr("spanloom.llm.overlap_join.SHORT", 1)
+    monkeypatch.setattr("spanloom.llm.overlap_join.BLOCK", 3)
+    rows = near_copies(random.Random(11))
+    _, roots = plain_join(rows, 3, 60)
+    got = overlap_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 60).collect()
+    assert {r.doc_id: r.component_id for r in got} == roots
+
+
 def test_keep_one_of_each(spark):
     kept = keep_one_of_each(edge(spark, clash=True), 5, 80)
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
