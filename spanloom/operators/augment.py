@@ -84,7 +84,8 @@ def cluster_surfaces(vectors: DataFrame, num_clusters: int, seed: int) -> DataFr
         if k == 1:
             parts.append(part.withColumn("cluster", F.lit(0)))
             continue
-        part = part.persist(StorageLevel.DISK_ONLY)  # read in each of up to 25 rounds
+        # read in each of up to 25 rounds; a fixed layout makes the drawn start repeatable
+        part = part.repartition("surface").sortWithinPartitions("surface").persist(StorageLevel.DISK_ONLY)
         model = KMeans(
             k=k, distanceMeasure="cosine", initMode="random", maxIter=25, seed=seed + index,
             predictionCol="cluster",
