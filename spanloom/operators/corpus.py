@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from spanloom.operators.materialize import materialize
 from spanloom.operators.rows import each
 from spanloom.functions.text import seeded_key
 from spanloom.operators.validate import is_empty_record, prefix_source
@@ -119,7 +120,8 @@ def mark_empty_added(
     )
     eligible = F.col("is_empty") & F.col("source").isNotNull()
     key = F.when(eligible, seeded_key(seed, F.col("hash")))
-    narrow = flagged.filter(eligible).select("ord", key.alias("key"))
+    # written once, as the cut-off takes several passes; the records are read once more, to be marked
+    narrow = materialize(flagged.select("ord", key.alias("key"))).filter("key is not null")
     cutoff = _smallest(narrow, "key", lambda n: F.floor(n * F.lit(drop_fraction)))
     at_most = F.struct(key.alias("key"), F.col("ord")) <= cutoff
     return flagged.withColumn("removed", F.coalesce(eligible & at_most, F.lit(False)))
@@ -143,7 +145,7 @@ def sample_n(records: DataFrame, n: int, seed: int) -> DataFrame:
     if n <= 0:
         raise ValueError("number must be positive")
     keyed = records.withColumn("sample_key", seeded_key(seed, F.col("hash")))
-    cutoff = _smallest(keyed.select("ord", "sample_key"), "sample_key", lambda _: F.lit(n))
+    cutoff = _smallest(materialize(keyed.select("ord", "sample_key")), "sample_key", lambda _: F.lit(n))
     enough = F.when(
         cutoff.isNull(), F.raise_error(F.lit(f"number={n} exceeds the available records")).cast("boolean")
     ).otherwise(F.struct("sample_key", "ord") <= cutoff)
