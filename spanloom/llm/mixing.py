@@ -6,16 +6,21 @@ a unit job: block ``j`` of weight ``w`` is released at slot ``floor(j / w)`` and
 source less than one block from its share at every slot.
 """
 
+import heapq
 import math
+from collections.abc import Iterator, Sequence
+from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.prefix import prefix_sums
 from spanloom.llm.stage import staged
 
 PERIOD = 1000
+PERIODS = 256
 MAX_SOURCES = 10_000
 
 
@@ -41,40 +46,88 @@ def smoothed_weights(sizes: dict, exponent: float) -> dict:
     return {k: float(v) ** exponent for k, v in sizes.items() if v > 0}
 
 
-def schedule(spark, slots: dict) -> DataFrame:
-    """One period, slot by slot: ``mix_source, turn`` (0..quota-1), ``at`` (slot), release, deadline.
+def whole_weights(weights: Sequence[float]) -> list[int]:
+    """Whole numbers in exactly the ratio of ``weights``, which are not rounded."""
 
-    A fold over the slots of the period, a parameter, picks the released block with the
-    earliest deadline; the pattern repeats, so blocks of any number take their slot from it.
+    exact = [Fraction(w) for w in weights]
+    if min(exact) <= 0:
+        raise ValueError("weights must be positive")
+    common = math.lcm(*[x.denominator for x in exact])
+    return [int(x * common) for x in exact]
+
+
+def pfair(weights: Sequence[int]) -> Iterator[tuple[int, int, int, int]]:
+    """Slot by slot and without end ``source, job, release, deadline``, in whole-number arithmetic.
+
+    Of the released jobs the one due first is picked.  The state is one job per source, so a
+    slot costs the logarithm of the number of sources.
     """
 
+    total = sum(weights)
+    waiting = [(0, -(-total // w), i, 0) for i, w in enumerate(weights)]  # by release
+    ready: list[tuple[int, int, int, int]] = []  # by deadline
+    heapq.heapify(waiting)
+    slot = 0
+    while True:
+        while waiting and waiting[0][0] <= slot:
+            release, due, i, job = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, i, job, release))
+        due, i, job, release = heapq.heappop(ready)
+        yield i, job, release, due
+        job += 1
+        heapq.heappush(waiting, (job * total // weights[i], -(-(job + 1) * total // weights[i]), i, job))
+        slot += 1
+
+
+def schedule(spark: SparkSession, slots: dict) -> DataFrame:
+    """One period of whole ``slots``, slot by slot: ``mix_source, quota, turn`` (0..quota-1), ``at`` (slot)."""
+
     names = sorted(slots, key=lambda k: (k is None, k))
-    period, count = sum(slots.values()), len(names)
-    quota = F.array(*[F.lit(int(slots[k])) for k in names])
-    one = spark.range(1).select(quota.alias("quota"), F.array(*[F.lit(k).cast("string") for k in names]).alias("names"))
-    # candidates as (deadline, source): the least of them is due first
-    folded = one.selectExpr(
-        "names",
-        "quota",
-        f"""aggregate(
-            sequence(0, {period - 1}),
-            named_struct('done', array_repeat(0, {count}), 'picked', cast(array() as array<int>)),
-            (acc, t) -> transform(array(acc), a -> transform(array(array_min(transform(
-                filter(sequence(0, {count - 1}), i -> (a.done[i] * {period}) div quota[i] <= t and a.done[i] < quota[i]),
-                i -> named_struct('due', ((a.done[i] + 1) * {period} + quota[i] - 1) div quota[i], 'i', i)))),
-                b -> named_struct(
-                    'done', transform(a.done, (d, i) -> if(i = b.i, d + 1, d)),
-                    'picked', concat(a.picked, array(b.i))))[0])[0]
-        ).picked as picked""",
-    )
-    each = folded.select("names", "quota", F.posexplode("picked").alias("at", "i"))
-    turn = F.row_number().over(W.partitionBy("i").orderBy("at")) - 1
-    return each.select(
-        F.element_at("names", F.col("i") + 1).alias("mix_source"),
-        F.element_at("quota", F.col("i") + 1).alias("quota"),
-        turn.alias("turn"),
-        "at",
-    )
+    quota = [slots[k] for k in names]
+    picked = list(islice(pfair(quota), sum(quota)))
+    columns = {
+        "mix_source": pa.array([names[i] for i, *_ in picked], pa.string()),
+        "quota": pa.array([quota[i] for i, *_ in picked], pa.int32()),
+        "turn": pa.array([job for _, job, *_ in picked], pa.int32()),
+        "at": pa.array(range(len(picked)), pa.int32()),
+    }
+    return spark.createDataFrame(pa.table(columns))
+
+
+def block_turns(spark: SparkSession, weights: dict, counts: dict, window: int) -> DataFrame:
+    """``mix_source, mix_block, mix_epoch, mix_slot, mix_release, mix_deadline`` of every slot until
+    each source has had its ``counts`` blocks once.
+
+    The driver holds one ``window`` of slots at a time, which is written before the next begins; what is
+    carried over is one row per source.
+    """
+
+    names = sorted(counts, key=lambda k: (k is None, k))
+    last = [counts[k] - 1 for k in names]
+    picks = pfair(whole_weights([weights[k] for k in names]))
+    unread, start, out = len(names), 0, None
+    while unread:
+        source, block, epoch, release, deadline = [], [], [], [], []
+        while unread and len(source) < window:
+            i, job, r, d = next(picks)
+            unread -= job == last[i]
+            source.append(names[i])
+            epoch.append(job // (last[i] + 1))
+            block.append(job % (last[i] + 1))
+            release.append(r)
+            deadline.append(d)
+        columns = {
+            "mix_source": pa.array(source, pa.string()),
+            "mix_block": pa.array(block, pa.int64()),
+            "mix_epoch": pa.array(epoch, pa.int64()),
+            "mix_slot": pa.array(range(start, start + len(source)), pa.int64()),
+            "mix_release": pa.array(release, pa.int64()),
+            "mix_deadline": pa.array(deadline, pa.int64()),
+        }
+        start += len(source)
+        part = staged(spark.createDataFrame(pa.table(columns)), "mix-turns")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def mix_sources(
@@ -90,7 +143,8 @@ def mix_sources(
     ``docs`` has ``doc_id, text, source``.  The documents of a source are shuffled by digest and
     cut into blocks of about ``block_bytes`` of text; a document lies in the block in which its
     first byte falls.  Blocks take slots by ``weights`` (default: the sources' bytes to the power
-    ``exponent``), rounded to ``1 / period``.  The mixture ends when every source has been read
+    ``exponent``), not rounded, over the whole mixture; it is scheduled in windows of ``PERIODS`` times
+    ``period`` slots, which do not change the result.  The mixture ends when every source has been read
     through once; a source that is due again before that starts over (``mix_epoch``), so
     that no row is dropped and every prefix keeps the weights.  A null source is a source of its own;
     sources missing in ``weights`` are an error.  Rows equal in identifier, source and text share
@@ -126,39 +180,13 @@ def mix_sources(
     missing = {r.mix_source for r in found} - set(weights)
     if missing:
         raise ValueError(f"no weight for {sorted(map(str, missing))}")
-    period = max(period, 4 * len(found))
-    slots = quotas({r.mix_source: weights[r.mix_source] for r in found}, period)
-    pattern = staged(schedule(spark, slots), "mix-pattern")
-    lasts = blocks.groupBy("mix_source").agg(F.max("mix_block").alias("last"))
-    # the slot in which the last source ends its first pass
-    ends = lasts.join(pattern, lasts["mix_source"].eqNullSafe(pattern["mix_source"]) & (F.col("last") % F.col("quota") == F.col("turn")))
-    end = ends.agg(F.max(F.expr(f"last div quota * {period} + at"))).first()[0]
-    plan = (
-        blocks.join(F.broadcast(lasts.withColumnRenamed("mix_source", "s")), F.col("mix_source").eqNullSafe(F.col("s")))
-        .join(
-            F.broadcast(pattern.select(F.col("mix_source").alias("p"), "quota").distinct()), F.col("mix_source").eqNullSafe(F.col("p"))
-        )
-        # passes that can begin before the end, this block's last one being decided below
-        .withColumn("passes", F.expr(f"(({end} div {period} + 1) * quota) div (last + 1)"))
-        .withColumn("mix_epoch", F.explode(F.expr("sequence(0L, passes)")))
-        .withColumn("job", F.expr("mix_epoch * (last + 1) + mix_block"))
-        .withColumn("turn", F.expr("cast(job % quota as int)"))
-        .drop("s", "p")
-    )
-    turns = pattern.select(F.col("mix_source").alias("p"), "turn", "at")
-    timed = plan.join(F.broadcast(turns), F.col("mix_source").eqNullSafe(F.col("p")) & (plan["turn"] == turns["turn"])).select(
-        "mix_source",
-        "doc_id",
-        "digest",
-        "mix_block",
-        "mix_epoch",
-        F.expr(f"job div quota * {period} + at").alias("mix_slot"),
-        F.expr(f"job * {period} div quota").alias("mix_release"),
-        F.expr(f"((job + 1) * {period} + quota - 1) div quota").alias("mix_deadline"),
+    turns = block_turns(spark, weights, {r.mix_source: r["last"] + 1 for r in found}, PERIODS * period)
+    timed = blocks.join(
+        turns.withColumnsRenamed({"mix_source": "s", "mix_block": "b"}),
+        F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_block") == F.col("b")),
     )
     decided = (
-        timed.where(F.col("mix_slot") <= end)
-        .groupBy("mix_source", "doc_id", "digest")
+        timed.groupBy("mix_source", "doc_id", "digest")
         .agg(F.collect_list(F.struct(*own)).alias("turns"))
         .withColumnsRenamed({"mix_source": "k_source", "doc_id": "k_doc", "digest": "k_digest"})
     )

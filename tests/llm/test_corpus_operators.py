@@ -129,6 +129,24 @@ def test_mixture_keeps_rows_and_weights(spark):
     assert max(r.mix_epoch for r in got if r.source == "small") >= 1 and max(r.mix_epoch for r in got if r.source == "big") == 0
 
 
+def test_long_mixture_keeps_the_unrounded_weights(spark, monkeypatch):
+    # several windows, a weight far below one slot a window, weights that no small period holds
+    monkeypatch.setattr("spanloom.llm.mixing.PERIODS", 1, raising=False)
+    weights = {"a": 0.6180339, "b": 0.3819561, "c": 0.00001}
+    rows = [(i, "x", "en", "ab"[i % 5 > 2], 0) for i in range(5000)] + [(5000, "x", "en", "c", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(mix_sources(docs, weights, block_bytes=2).select("mix_slot", "source", "mix_release", "mix_deadline").collect())
+    assert [r.mix_slot for r in got] == list(range(len(got))) and len(got) > 5000
+    assert {r.source for r in got} == set(weights)
+    done, total = dict.fromkeys(weights, 0), sum(weights.values())
+    for slot, source, release, deadline in got:
+        assert release <= slot < deadline
+        done[source] += 1
+        assert all(abs(done[k] - (slot + 1) * weights[k] / total) < 1 for k in weights)
+    with pytest.raises(ValueError, match="positive"):
+        mix_sources(docs, {**weights, "c": 0.0})
+
+
 def test_mixture_of_odd_rows(spark):
     docs = edge(spark, clash=True).selectExpr("*", "1 as mix_slot")
     got = mix_sources(docs, block_bytes=1000)
