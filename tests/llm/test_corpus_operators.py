@@ -90,6 +90,28 @@ def test_overlap_join_over_long_lists(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == roots
 
 
+@pytest.mark.parametrize(("short", "block"), [(64, 256), (3, 4), (1, 3)])
+def test_overlap_join_counts_every_link(spark, monkeypatch, short, block):
+    monkeypatch.setattr("spanloom.llm.overlap_join.SHORT", short)
+    monkeypatch.setattr("spanloom.llm.overlap_join.BLOCK", block)
+    rng = random.Random(12)
+    rows = near_copies(rng)
+    base = prose(rng, 150).split()
+    for i in range(30):  # one group with different texts, some of them copies
+        own = list(base)
+        own[5 * (i % 20)] = f"w{i % 20}"
+        rows.append((1000 + i, " ".join(own)))
+    _, roots = plain_join(rows, 3, 85)
+    sets = {d: shingles(text, 3) for d, text in rows}
+    links = dict.fromkeys(sets, 0)
+    for a, b in product(sets, sets):
+        both = len(sets[a] & sets[b])
+        links[a] += a != b and both > 0 and 100 * both >= 85 * len(sets[a] | sets[b])
+    got = overlap_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, links=True).collect()
+    assert {r.doc_id: r.n_links for r in got} == links and max(links.values()) >= 25
+    assert {r.doc_id: r.component_id for r in got} == roots
+
+
 def test_keep_one_of_each(spark):
     kept = keep_one_of_each(edge(spark, clash=True), 5, 80)
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
