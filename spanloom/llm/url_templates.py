@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from spanloom.llm.stage import staged
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DEPTH = 4
 MAX_RULES = 1_000
 Rule = tuple[str, str]
 
@@ -44,7 +43,7 @@ def matching_rule(rules: Sequence[Rule], host: str = "host", path: str = "path")
 def path_shape(path: str = "path") -> Column:
     """Segments with digits, long hexadecimal and over-long segments generalised, joined by ``/``.
 
-    Empty segments are left out; what lies deeper than ``DEPTH`` becomes one ``**``.
+    Empty segments are left out, all others are kept.
     """
 
     lower = f"translate({path}, '{ASCII_UPPER}', '{ASCII_LOWER}')"
@@ -52,10 +51,7 @@ def path_shape(path: str = "path") -> Column:
         "case when s rlike '^[0-9a-f-]{16,}$' then '{h}' when length(s) > 40 then '{s}' "
         "else regexp_replace(s, '[0-9]+', '{n}') end"
     )
-    segments = f"transform(filter(split({lower}, '/'), s -> s <> ''), s -> {segment})"
-    return F.expr(
-        f"transform(array({segments}), a -> if(size(a) > {DEPTH}, concat(slice(a, 1, {DEPTH}), array('**')), a))[0]"
-    )
+    return F.expr(f"transform(filter(split({lower}, '/'), s -> s <> ''), s -> {segment})")
 
 
 def judge_urls(
@@ -89,9 +85,11 @@ def judge_urls(
         F.count(F.when(F.col("listed") == "allow", 1)).alias("allowed"),
         F.count(F.when(F.col("listed") == "block", 1)).alias("blocked"),
     )
-    branches = crowded_levels(staged(counted, "url-branches"), max_children)
+    branches = staged(counted, "url-branches")
+    levels = open_levels(branches)
+    branches = crowded_levels(branches, levels, max_children)
     branches = staged(with_prior(branches, strength), "url-prior")
-    for level in range(1, DEPTH + 1):
+    for level in levels:
         branches = staged(merge_level(branches, level, max_z), "url-merged")
     judged = branches.groupBy("host", "template").agg(
         F.round(F.sum("pseudo_blocked") / F.sum(F.col("pseudo_blocked") + F.col("pseudo_allowed")), 6).alias("block_share")
@@ -105,11 +103,22 @@ def judge_urls(
     )
 
 
-def crowded_levels(branches: DataFrame, max_children: int) -> DataFrame:
+def open_levels(branches: DataFrame) -> list[int]:
+    """The levels, however deep, at which a host has different segments in two shapes.
+
+    Elsewhere there is nothing to generalise, so one overlong path adds no rounds.
+    """
+
+    each = branches.select("host", F.posexplode("shape").alias("at", "segment"))
+    ends = each.groupBy("host", "at").agg(F.min("segment").alias("low"), F.max("segment").alias("high"))
+    return sorted(r["at"] + 1 for r in ends.where("low <> high").select("at").distinct().collect())
+
+
+def crowded_levels(branches: DataFrame, levels: Sequence[int], max_children: int) -> DataFrame:
     """Add ``template``: the shape with ``*`` at levels where a node has too many children."""
 
     out = branches.withColumn("template", F.col("shape"))
-    for level in range(1, DEPTH + 1):
+    for level in levels:
         node = out.where(F.size("template") >= level).select(
             "host", F.slice("template", 1, level - 1).alias("above"), F.col("template")[level - 1].alias("child")
         )

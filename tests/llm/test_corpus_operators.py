@@ -287,6 +287,16 @@ def test_templates_follow_the_labels_of_their_like(spark):
     assert got[0].template == "/de/{n}" and judge_urls(pages.limit(0), RULES).count() == 0
 
 
+def test_deep_segments_keep_their_own_verdict(spark):
+    rules = [("deep.org/a/b/c/d/good/1", "allow"), ("deep.org/a/b/c/d/bad/1", "block")]
+    urls = [f"http://deep.org/a/b/c/d/{kind}/{n}{i}" for kind in ("good", "bad") for n in (1, 2) for i in range(100, 130)]
+    urls.append("http://deep.org/" + "x/" * 300)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in judge_urls(pages, rules).collect()}
+    assert {got[i].verdict for i in range(60)} == {"allow"} and {got[i].verdict for i in range(60, 120)} == {"block"}
+    assert got[30].rule is None and got[30].template == "/a/b/c/d/good/{n}" and got[120].template == "/" + "/".join("x" * 300)
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     rng = random.Random(10)
     rows = edge_rows() + [(100 + i, prose(rng, 150), "en", "a", 0) for i in range(40)]
