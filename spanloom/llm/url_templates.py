@@ -1,7 +1,7 @@
 """URL filters: listed rules first, else a tree of path templates judged by labelled purity.
 
 Pages that a rule decides are the labelled ones.  Per host, variable parts of path segments
-become wildcards; crowded levels become one wildcard; sibling branches with the same rest whose
+become wildcards; at crowded levels all children but those whose labels differ become one; sibling branches with the same rest whose
 block shares do not differ significantly are merged.  A template is rejected when its share
 of blocked labels, smoothed by that of the same path on all hosts, is high.
 """
@@ -87,7 +87,7 @@ def judge_urls(
     )
     branches = staged(counted, "url-branches")
     levels = open_levels(branches)
-    branches = crowded_levels(branches, levels, max_children)
+    branches = crowded_levels(branches, levels, max_children, strength, max_z)
     branches = staged(with_prior(branches, strength), "url-prior")
     for level in levels:
         branches = staged(merge_level(branches, level, max_z), "url-merged")
@@ -114,23 +114,55 @@ def open_levels(branches: DataFrame) -> list[int]:
     return sorted(r["at"] + 1 for r in ends.where("low <> high").select("at").distinct().collect())
 
 
-def crowded_levels(branches: DataFrame, levels: Sequence[int], max_children: int) -> DataFrame:
-    """Add ``template``: the shape with ``*`` at levels where a node has too many children."""
+def crowded_levels(branches: DataFrame, levels: Sequence[int], max_children: int, strength: float, max_z: float) -> DataFrame:
+    """Add ``template``: the shape with ``*`` at levels where a node has too many children.
+
+    A child with labels that differ from its siblings' stays a branch of its own, however many there
+    are.  It is compared as a whole and in each of its branches with what all siblings have there, by the
+    test of ``merge_level``.
+    """
 
     out = branches.withColumn("template", F.col("shape"))
     for level in levels:
         node = out.where(F.size("template") >= level).select(
-            "host", F.slice("template", 1, level - 1).alias("above"), F.col("template")[level - 1].alias("child")
+            "host",
+            F.slice("template", 1, level - 1).alias("above"),
+            F.col("template")[level - 1].alias("child"),
+            F.expr(f"slice(template, {level + 1}, size(template))").alias("below"),
+            "allowed",
+            "blocked",
         )
         crowded = (
-            node.distinct().groupBy("host", "above").count().where(F.col("count") > max_children)
+            node.select("host", "above", "child").distinct().groupBy("host", "above").count().where(F.col("count") > max_children)
             .select(F.col("host").alias("h"), "above")
         )
+        labelled = node.where("allowed + blocked > 0").withColumn("below", F.explode(F.array("below", F.lit(None))))
+        each = labelled.groupBy("host", "above", "child", "below").agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
+        pooled = each.groupBy("host", "above", "below").agg((F.sum("b") / F.sum(F.col("a") + F.col("b"))).alias("p"))
+        pooled = pooled.where("p > 0 and p < 1").withColumnsRenamed({"host": "h", "above": "v", "below": "w"})
+        n = F.col("a") + F.col("b") + F.lit(strength)
+        share = (F.col("b") + F.lit(strength) * F.col("p")) / n
+        z = F.abs(share - F.col("p")) / F.sqrt(F.col("p") * (1 - F.col("p")) / n)
+        of = (F.col("host") == F.col("h")) & (F.col("above") == F.col("v")) & F.col("below").eqNullSafe(F.col("w"))
+        differ = (
+            each.join(pooled, of)
+            .where(F.round(z, 6) > max_z)
+            .select(F.col("host").alias("dh"), F.col("above").alias("dv"), F.col("child").alias("own"))
+            .distinct()
+        )
         here = (F.col("host") == F.col("h")) & (F.slice("template", 1, level - 1) == F.col("above")) & (F.size("template") >= level)
-        out = out.join(crowded, here, "left").select(
-            *branches.columns, F.when(F.col("h").isNotNull(), _starred(level)).otherwise(F.col("template")).alias("template")
+        kept = (
+            (F.col("host") == F.col("dh"))
+            & (F.slice("template", 1, level - 1) == F.col("dv"))
+            & (F.col("template")[level - 1] == F.col("own"))
+        )
+        star = F.col("h").isNotNull() & F.col("dh").isNull()
+        out = (
+            out.join(crowded, here, "left")
+            .join(differ, kept, "left")
+            .select(*branches.columns, F.when(star, _starred(level)).otherwise(F.col("template")).alias("template"))
         )
-        out = staged(out, "url-levels")  # each level reads the one before twice
+        out = staged(out, "url-levels")  # each level reads the one before several times
     return out
 
 

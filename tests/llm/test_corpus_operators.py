@@ -297,6 +297,17 @@ def test_deep_segments_keep_their_own_verdict(spark):
     assert got[30].rule is None and got[30].template == "/a/b/c/d/good/{n}" and got[120].template == "/" + "/".join("x" * 300)
 
 
+def test_a_blocked_section_stays_apart_among_many(spark):
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(31)]
+    rules = [(f"many.org/{s}/1", "block" if s == "ab" else "allow") for s in names]
+    urls = [f"http://many.org/{s}/{n}{i}" for s in names for n in (1, 2) for i in range(100, 120)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = judge_urls(pages, rules).collect()
+    assert {r.verdict for r in got if r.path.startswith("/ab/")} == {"block"}
+    assert {r.verdict for r in got if not r.path.startswith("/ab/")} == {"allow"}
+    assert {r.template for r in got} == {"/ab/{n}", "/*/{n}"}
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     rng = random.Random(10)
     rows = edge_rows() + [(100 + i, prose(rng, 150), "en", "a", 0) for i in range(40)]
