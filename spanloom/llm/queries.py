@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import oracle
+from spanloom.llm.bpe import decode_documents, encode_documents
+from spanloom.llm.conversations import damaged, repair_audits
 from spanloom.llm.fingerprints import fingerprint_documents
 from spanloom.llm.language_id import predict_language, train_language_id
 from spanloom.llm.line_quality import score_line_quality, train_line_quality
@@ -40,6 +42,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer file, installed on every machine."""
+
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def held_out(folds: int, fold: int):
     return F.coalesce(fold_of("doc_id", folds) == fold, F.lit(False)).alias("held_out")
 
@@ -96,6 +106,19 @@ def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations")
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    return repair_audits(damaged(rows, F.crc32(name) % 20), gone="gone")
+
+
+def op13_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+    encoded = encode_documents(table(spark, sf, "documents"), path)
+    rows = encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return decode_documents(rows, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -107,6 +130,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_line_quality": op9_line_quality,
     "op10_fingerprints": op10_fingerprints,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op13_bpe": op13_bpe,
 }
 SQL: dict[str, str] = {
     "op4_quality_rules": oracle.quality_rules_sql(vocabulary()[1], QUALITY_LIMITS),
