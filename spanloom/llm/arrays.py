@@ -2,9 +2,11 @@
 
 Words are the maximal runs of bytes outside ``\\x20\\x09-\\x0D``; all texts of a batch are
 handled at once on their UTF-8 bytes, so the cost does not depend on the number of texts.
-Hashes depend on the bytes of the word alone: 64 bits, polynomial and then mixed.
+Hashes depend on the bytes of the word alone: 64 bits, mixed in again after every eight bytes.
+No sum of powers is used, whose collisions some words (Thue-Morse) have for every base.
 """
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +18,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15
-POWERS: dict[str, np.ndarray] = {}
+CHUNKED = 512  # longer ranges are hashed one by one
+TAIL = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)  # the bytes of a chunk that count
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -29,18 +32,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``BASE`` and of its inverse modulo 2**64, at least ``n`` of them."""
-
-    if len(POWERS.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            POWERS[name] = np.cumprod(table, dtype=np.uint64)
-    return POWERS["up"], POWERS["down"]
-
-
 def text_bytes(text: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts joined, and the ``n + 1`` offsets of the texts; null is empty."""
 
@@ -64,9 +55,21 @@ def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte ranges ``[start, end)``, equal for equal bytes."""
 
-    up, down = powers(len(data) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(BASE))
+    starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+    length = ends - starts
+    out = mix(length.astype(np.uint64) * np.uint64(BASE))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from every place
+    left = np.flatnonzero((length > 0) & (length <= CHUNKED))
+    at, rest = starts[left], length[left]
+    while len(left):
+        out[left] = mix(out[left] ^ (eight[at] & TAIL[np.minimum(rest, 8)]))
+        more = rest > 8
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    for i in np.flatnonzero(length > CHUNKED):
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = np.frombuffer(digest, "<u8")[0]
+    return out
 
 
 @dataclass
@@ -109,11 +112,11 @@ def windows(hashes: np.ndarray, rows: np.ndarray, k: int, short: bool) -> tuple[
 
     counts = np.diff(rows)
     n = len(hashes)
-    scale = [np.uint64(pow(BASE, 2 * j + 3, 1 << 64)) for j in range(k)]
-    total = np.zeros(n, np.uint64)
+    # the order of the words counts: each is mixed in on top of those before it
+    total = np.full(n, np.uint64(k))
     for j in range(k):
-        if j < n:
-            total[: n - j] += hashes[j:] * scale[j]
+        m = max(n - j, 0)
+        total[:m] = mix(total[:m] ^ hashes[j:])
     per = np.maximum(counts - k + 1, 0)
     owner = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(n) - rows[:-1][owner]
@@ -122,8 +125,11 @@ def windows(hashes: np.ndarray, rows: np.ndarray, k: int, short: bool) -> tuple[
         few = np.flatnonzero((counts > 0) & (counts < k))
         for r in few:  # at most k-1 words each
             a, b = rows[r], rows[r + 1]
-            total[a] = np.sum(hashes[a:b] * np.array(scale[: b - a], np.uint64), dtype=np.uint64) + np.uint64(b - a)
+            one = np.array([b - a], np.uint64)
+            for h in hashes[a:b]:
+                one = mix(one ^ h)
+            total[a] = one[0]
             whole[a] = True
         per[few] = 1
     index = np.flatnonzero(whole)
-    return mix(total[index]), index, np.concatenate(([0], np.cumsum(per)))
+    return total[index], index, np.concatenate(([0], np.cumsum(per)))
