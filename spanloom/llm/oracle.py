@@ -20,6 +20,32 @@ reach(doc_id, other) AS (
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
 FROM docs d LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""
 
+PHRASES = """WITH pieces AS (
+ SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9),
+  'abcdefghijklmnopqrstuvwxyz '), '[.,;:!?\\n\\x0b\\x0c\\r]')) AS p FROM documents),
+words AS (SELECT lang, list_filter(string_split(p, ' '), lambda w: w <> '') AS w FROM pieces),
+grams AS (
+ SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+ FROM words, (VALUES (1), (2), (3)) t(k)),
+counted AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang),
+frequent AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE f >= 10),
+parts AS MATERIALIZED (
+ SELECT lang, phrase, f AS a, 1 AS cut, w[1] AS left_part, array_to_string(w[2:], ' ') AS right_part FROM frequent WHERE k > 1
+ UNION ALL SELECT lang, phrase, f, 2, array_to_string(w[1:2], ' '), w[3] FROM frequent WHERE k = 3),
+cuts AS (
+ SELECT c.lang, c.phrase, a, cut, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+ FROM parts c JOIN frequent x ON x.lang = c.lang AND x.phrase = left_part JOIN frequent y ON y.lang = c.lang AND y.phrase = right_part),
+least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+ SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, f FROM frequent WHERE k = 3),
+longer AS (SELECT lang, phrase, max(f) AS f FROM inside GROUP BY lang, phrase),
+ranked AS (
+ SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank, s.phrase, a, l, r, n, score::BIGINT AS score
+ FROM least s JOIN totals USING (lang) LEFT JOIN longer g ON g.lang = s.lang AND g.phrase = s.phrase
+ WHERE g.f IS NULL OR 100 * g.f < 50 * a)
+SELECT * FROM ranked WHERE rank <= 2000"""
+
 # the table of the checksum follows from its polynomial; the text is folded byte by byte
 SHARDING = """WITH RECURSIVE crc(i, k, c) AS (
  SELECT i, 0, i FROM range(256) t(i)

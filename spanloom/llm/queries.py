@@ -15,6 +15,7 @@ from spanloom.llm.line_quality import score_line_quality, train_line_quality
 from spanloom.llm.mixing import mix_sources
 from spanloom.llm.overlap_join import overlap_join
 from spanloom.llm.packing import pack_documents
+from spanloom.llm.phrases import mine_phrases
 from spanloom.llm.quality_rules import language_references, quality_rules, vocabulary
 from spanloom.llm.sharding import shard_by_bytes
 from spanloom.llm.stage import fold_of, staged
@@ -112,6 +113,10 @@ def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return repair_audits(damaged(rows, F.crc32(name) % 20), gone="gone")
 
 
+def op12_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return mine_phrases(table(spark, sf, "documents"), least=10, longest=3, best=2000, contained_percent=50)
+
+
 def op13_bpe(spark: SparkSession, sf: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
     encoded = encode_documents(table(spark, sf, "documents"), path)
@@ -131,10 +136,12 @@ QUERIES = {
     "op9_line_quality": op9_line_quality,
     "op10_fingerprints": op10_fingerprints,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_phrases": op12_phrases,
     "op13_bpe": op13_bpe,
 }
 SQL: dict[str, str] = {
     "op4_quality_rules": oracle.quality_rules_sql(vocabulary()[1], QUALITY_LIMITS),
     "op6_overlap_join": oracle.OVERLAP_JOIN,
     "op7_sharding": oracle.SHARDING,
+    "op12_phrases": oracle.PHRASES,
 }
