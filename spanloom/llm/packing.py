@@ -2,12 +2,14 @@
 
 Variable-capacity best-fit: pieces fall in size into the open bin they fill best; when none has
 room, the bin size of least cost per token is opened; at the end each bin shrinks to the smallest
-permitted length that holds its contents.  Every choice of the largest length to open is tried on
-the same pieces and the cheapest packing wins, so the lengths are optimised jointly.
+permitted length that holds its contents.  Every set of lengths to open is tried on the same pieces
+and the cheapest packing wins, so the lengths are optimised jointly.  A piece too large for all of a
+set opens the smallest permitted length that holds it, so that long pieces rule out no set.
 """
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
+from itertools import chain, combinations
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,47 +27,52 @@ def bin_cost(length: int) -> float:
     return BIN_COST + length + QUADRATIC * length * length
 
 
+def fill(sizes: Sequence[int], order: Sequence[int], lengths: Sequence[int], opened: Sequence[int]) -> tuple[list[list[int]], list[int]]:
+    """Bins and their contents' sizes when ``opened`` are the lengths to open, ``order`` falling in size."""
+
+    cheapest = sorted(opened, key=lambda n: (bin_cost(n) / n, -n))
+    bins: list[list[int]] = []
+    full: list[int] = []
+    room: dict[int, list[int]] = {}  # open bins by what they have left
+    rooms: list[int] = []  # the keys of room, rising
+    for i in order:
+        size = sizes[i]
+        at = bisect_left(rooms, size)
+        if at < len(rooms):
+            left = rooms[at]
+            b = room[left].pop()
+            if not room[left]:
+                del room[left]
+                rooms.pop(at)
+        else:
+            left = next((n for n in cheapest if n >= size), None) or lengths[bisect_left(lengths, size)]
+            b = len(bins)
+            bins.append([])
+            full.append(0)
+        bins[b].append(i)
+        full[b] += size
+        left -= size
+        if left:
+            if left not in room:
+                room[left] = []
+                insort(rooms, left)
+            room[left].append(b)
+    return bins, full
+
+
 def best_fit(sizes: Sequence[int], lengths: Sequence[int]) -> tuple[list[list[int]], list[int]]:
     """Bins (indices into ``sizes``) and their final lengths; no size may exceed the largest length."""
 
     lengths = sorted(lengths)
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    best: tuple[float, list[list[int]], list[int]] | None = None
-    largest = max(sizes, default=0)
-    for most in range(len(lengths)):
-        if lengths[most] < largest:
-            continue
-        allowed = lengths[: most + 1]
-        bins: list[list[int]] = []
-        full: list[int] = []
-        room: dict[int, list[int]] = {}  # open bins by what they have left
-        rooms: list[int] = []  # the keys of room, rising
-        for i in order:
-            at = bisect_left(rooms, sizes[i])
-            if at < len(rooms):
-                left = rooms[at]
-                b = room[left].pop()
-                if not room[left]:
-                    del room[left]
-                    rooms.pop(at)
-            else:
-                left = min((n for n in allowed if n >= sizes[i]), key=lambda n: (bin_cost(n) / n, -n))
-                b = len(bins)
-                bins.append([])
-                full.append(0)
-            bins[b].append(i)
-            full[b] += sizes[i]
-            left -= sizes[i]
-            if left:
-                if left not in room:
-                    room[left] = []
-                    insort(rooms, left)
-                room[left].append(b)
+    best: tuple[float, list[list[int]], list[int]] = (float("inf"), [], [])
+    for opened in chain.from_iterable(combinations(lengths, n) for n in range(1, len(lengths) + 1)):
+        bins, full = fill(sizes, order, lengths, opened)
         final = [lengths[bisect_left(lengths, n)] for n in full]
         cost = sum(map(bin_cost, final))
-        if best is None or cost < best[0]:
+        if cost < best[0]:
             best = (cost, bins, final)
-    return (best[1], best[2]) if best else ([], [])
+    return best[1], best[2]
 
 
 def pack_documents(
@@ -82,16 +89,16 @@ def pack_documents(
     Identifiers and sizes, not texts, are packed where they are read, in blocks of at most
     ``block_rows`` neighbouring rows: nothing is shuffled whatever the keys, and a table in mixture
     order gives sequences in mixture order.  Only the last bins of a block are affected by
-    the cut.  ``bin`` names the task and the number of the sequence in it.  An empty table gives no
+    the cut.  Identifiers may have any type.  ``bin`` names the task and the number of the sequence in it.  An empty table gives no
     sequence.
     """
 
     most = max(lengths)
     rows = docs.select(F.col(id_column).alias("id"), (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"))
-    item = pa.struct([("id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("offset", pa.int64())])
+    kind = rows.schema["id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
+        task, number, item = TaskContext.get().partitionId(), 0, None
         ids: list = []
         lasts: list[tuple[int, int, int]] = []
         done: list[tuple[int, int, list]] = []
@@ -120,6 +127,7 @@ def pack_documents(
             lasts.clear()
 
         for batch in batches:
+            item = pa.struct([("id", batch.schema.field("id").type), *((n, pa.int64()) for n in ("piece", "start", "size", "offset"))])
             for key, size in zip(batch.column("id").to_pylist(), batch.column("size").to_pylist(), strict=True):
                 cuts = (size - 1) // most
                 for piece in range(cuts):
@@ -133,5 +141,5 @@ def pack_documents(
         yield from emit(1)
 
     return rows.mapInArrow(
-        pack, "bin string, length int, used long, items array<struct<id:long,piece:long,start:long,size:long,offset:long>>"
+        pack, f"bin string, length int, used long, items array<struct<id:{kind},piece:long,start:long,size:long,offset:long>>"
     )
