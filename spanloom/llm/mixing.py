@@ -10,34 +10,18 @@ import heapq
 import math
 from collections.abc import Iterator, Sequence
 from fractions import Fraction
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.prefix import prefix_sums
-from spanloom.llm.stage import staged
+from spanloom.llm.stage import staged, staged_path
 
-PERIOD = 1000
-PERIODS = 256
+WINDOW = 256_000  # slots held by the driver at a time
+MAX_SLOTS = 1 << 20  # about how many blocks the sources are cut into
 MAX_SOURCES = 10_000
-
-
-def quotas(weights: dict, period: int) -> dict:
-    """Whole slots of each source in a period, at least one, by largest remainders."""
-
-    total = sum(weights.values())
-    exact = {k: w / total * period for k, w in weights.items()}
-    slots = {k: max(1, math.floor(x)) for k, x in exact.items()}
-    names = sorted(weights, key=lambda k: (k is None, k))
-    while sum(slots.values()) < period:
-        k = max(names, key=lambda k: exact[k] - slots[k])
-        slots[k] += 1
-    while sum(slots.values()) > period:
-        k = min((k for k in names if slots[k] > 1), key=lambda k: exact[k] - slots[k])
-        slots[k] -= 1
-    return slots
+EPOCHS = 16  # turns of a document that meet it in one place
 
 
 def smoothed_weights(sizes: dict, exponent: float) -> dict:
@@ -79,24 +63,20 @@ def pfair(weights: Sequence[int]) -> Iterator[tuple[int, int, int, int]]:
         slot += 1
 
 
-def schedule(spark: SparkSession, slots: dict) -> DataFrame:
-    """One period of whole ``slots``, slot by slot: ``mix_source, quota, turn`` (0..quota-1), ``at`` (slot)."""
+def block_size(sources: list[tuple[float, int]], least: int, max_slots: int) -> int:
+    """Bytes of a block such that reading every source (weight, bytes) once takes about ``max_slots`` slots.
+
+    The source that needs the longest, bytes over weight, ends the mixture.
+    """
 
-    names = sorted(slots, key=lambda k: (k is None, k))
-    quota = [slots[k] for k in names]
-    picked = list(islice(pfair(quota), sum(quota)))
-    columns = {
-        "mix_source": pa.array([names[i] for i, *_ in picked], pa.string()),
-        "quota": pa.array([quota[i] for i, *_ in picked], pa.int32()),
-        "turn": pa.array([job for _, job, *_ in picked], pa.int32()),
-        "at": pa.array(range(len(picked)), pa.int32()),
-    }
-    return spark.createDataFrame(pa.table(columns))
+    total = sum(w for w, _ in sources)
+    longest = max(size * total / w for w, size in sources if w > 0) if all(w > 0 for w, _ in sources) else 0
+    return max(least, math.ceil(longest / max_slots))
 
 
-def block_turns(spark: SparkSession, weights: dict, counts: dict, window: int) -> DataFrame:
+def block_turns(spark: SparkSession, weights: dict, counts: dict, window: int) -> tuple[DataFrame, dict]:
     """``mix_source, mix_block, mix_epoch, mix_slot, mix_release, mix_deadline`` of every slot until
-    each source has had its ``counts`` blocks once.
+    each source has had its ``counts`` blocks once, and the last epoch of each source.
 
     The driver holds one ``window`` of slots at a time, which is written before the next begins; what is
     carried over is one row per source.
@@ -105,7 +85,7 @@ def block_turns(spark: SparkSession, weights: dict, counts: dict, window: int) -
     names = sorted(counts, key=lambda k: (k is None, k))
     last = [counts[k] - 1 for k in names]
     picks = pfair(whole_weights([weights[k] for k in names]))
-    unread, start, out = len(names), 0, None
+    unread, start, folder, epochs = len(names), 0, None, dict.fromkeys(names, 0)
     while unread:
         source, block, epoch, release, deadline = [], [], [], [], []
         while unread and len(source) < window:
@@ -113,6 +93,7 @@ def block_turns(spark: SparkSession, weights: dict, counts: dict, window: int) -
             unread -= job == last[i]
             source.append(names[i])
             epoch.append(job // (last[i] + 1))
+            epochs[names[i]] = epoch[-1]
             block.append(job % (last[i] + 1))
             release.append(r)
             deadline.append(d)
@@ -125,9 +106,11 @@ def block_turns(spark: SparkSession, weights: dict, counts: dict, window: int) -
             "mix_deadline": pa.array(deadline, pa.int64()),
         }
         start += len(source)
-        part = staged(spark.createDataFrame(pa.table(columns)), "mix-turns")
-        out = part if out is None else out.union(part)
-    return out
+        part = spark.createDataFrame(pa.table(columns))
+        if folder is None:
+            folder = staged_path(spark, "mix-turns")
+        part.write.mode("append").parquet(folder)
+    return spark.read.schema(part.schema).parquet(folder), epochs
 
 
 def mix_sources(
@@ -135,7 +118,7 @@ def mix_sources(
     weights: dict | None = None,
     exponent: float = 0.9,
     block_bytes: int = 1 << 16,
-    period: int = PERIOD,
+    max_slots: int = MAX_SLOTS,
     seed: int = 0,
 ) -> DataFrame:
     """The mixture: ``docs`` rows with ``mix_block, mix_epoch, mix_slot, mix_release, mix_deadline``.
@@ -143,8 +126,10 @@ def mix_sources(
     ``docs`` has ``doc_id, text, source``.  The documents of a source are shuffled by digest and
     cut into blocks of about ``block_bytes`` of text; a document lies in the block in which its
     first byte falls.  Blocks take slots by ``weights`` (default: the sources' bytes to the power
-    ``exponent``), not rounded, over the whole mixture; it is scheduled in windows of ``PERIODS`` times
-    ``period`` slots, which do not change the result.  The mixture ends when every source has been read
+    ``exponent``), not rounded, over the whole mixture.  The schedule is one number after another and is made
+    on the driver, so the number of slots is bounded: blocks grow beyond ``block_bytes`` where the mixture would
+    need more than about ``max_slots`` of them (100 TB in blocks of about 100 MB).  The deviation stays below one block, in bytes
+    it grows with the block.  The mixture ends when every source has been read
     through once; a source that is due again before that starts over (``mix_epoch``), so
     that no row is dropped and every prefix keeps the weights.  A null source is a source of its own;
     sources missing in ``weights`` are an error.  Rows equal in identifier, source and text share
@@ -165,13 +150,11 @@ def mix_sources(
         .groupBy("mix_source", "draw", "doc_id", "digest")
         .agg(F.sum("size").alias("size"))
     )
-    blocks = staged(
-        prefix_sums(narrow, ["draw", "doc_id", "digest"], "size", "mix-sizes", "mix_source").select(
-            "mix_source", "doc_id", "digest", "size", (F.col("before") / F.lit(block_bytes)).cast("long").alias("mix_block")
-        ),
-        "mix-blocks",
+    placed = staged(
+        prefix_sums(narrow, ["draw", "doc_id", "digest"], "size", "mix-sizes", "mix_source").select("mix_source", "doc_id", "digest", "size", "before"),
+        "mix-places",
     )
-    found = blocks.groupBy("mix_source").agg(F.sum("size").alias("size"), F.max("mix_block").alias("last")).limit(MAX_SOURCES + 1).collect()
+    found = placed.groupBy("mix_source").agg(F.sum("size").alias("size"), F.max("before").alias("last")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     if not found:
@@ -180,20 +163,28 @@ def mix_sources(
     missing = {r.mix_source for r in found} - set(weights)
     if missing:
         raise ValueError(f"no weight for {sorted(map(str, missing))}")
-    turns = block_turns(spark, weights, {r.mix_source: r["last"] + 1 for r in found}, PERIODS * period)
-    timed = blocks.join(
-        turns.withColumnsRenamed({"mix_source": "s", "mix_block": "b"}),
-        F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_block") == F.col("b")),
+    most = block_size([(weights[r.mix_source], r["size"]) for r in found], block_bytes, max_slots)
+    block = F.floor(F.col("before") / F.lit(most)).cast("long")
+    turns, epochs = block_turns(spark, weights, {r.mix_source: r["last"] // most + 1 for r in found}, WINDOW)
+    # a small source that comes round often meets its turns in groups of EPOCHS, each group a key of its own; at most
+    # MAX_SOURCES rows
+    groups = F.broadcast(
+        spark.createDataFrame([(k, n // EPOCHS) for k, n in epochs.items()], "mix__g_source string, most long").select("mix__g_source", F.explode(F.sequence(F.lit(0), "most")).alias("mix__group"))
+        if max(epochs.values()) >= EPOCHS
+        else spark.createDataFrame([(k, 0) for k in epochs], "mix__g_source string, mix__group long")
     )
+    keyed = turns.select("*", F.floor(F.col("mix_epoch") / EPOCHS).alias("mix__k_group")).withColumnsRenamed({"mix_source": "mix__k_source", "mix_block": "mix__k_block"})
     decided = (
-        timed.groupBy("mix_source", "doc_id", "digest")
-        .agg(F.collect_list(F.struct(*own)).alias("turns"))
-        .withColumnsRenamed({"mix_source": "k_source", "doc_id": "k_doc", "digest": "k_digest"})
+        placed.withColumn("mix_block", block)
+        .join(groups, F.col("mix_source").eqNullSafe(F.col("mix__g_source")))
+        .join(keyed, F.col("mix_source").eqNullSafe(F.col("mix__k_source")) & (F.col("mix_block") == F.col("mix__k_block")) & (F.col("mix__group") == F.col("mix__k_group")))
+        .select("mix__k_source", F.col("doc_id").alias("mix__k_doc"), F.col("digest").alias("mix__k_digest"), "mix__k_group", *own)
     )
+    spread = rows.join(groups, F.col("source").cast("string").eqNullSafe(F.col("mix__g_source")))
     match = (
-        F.col("doc_id").eqNullSafe(F.col("k_doc"))
-        & F.col("source").cast("string").eqNullSafe(F.col("k_source"))
-        & (F.xxhash64("text") == F.col("k_digest"))
+        F.col("doc_id").eqNullSafe(F.col("mix__k_doc"))
+        & F.col("source").cast("string").eqNullSafe(F.col("mix__k_source"))
+        & (F.xxhash64("text") == F.col("mix__k_digest"))
+        & (F.col("mix__group") == F.col("mix__k_group"))
     )
-    mixed = rows.join(decided, match).withColumn("turn", F.explode("turns"))
-    return mixed.select(*rows.columns, *[F.col("turn." + c).alias(c) for c in own])
+    return spread.join(decided, match).select(*[spread[c] for c in rows.columns], *own)

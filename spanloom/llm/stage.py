@@ -19,12 +19,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
 
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
+    path = staged_path(spark, name)
     with small_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``."""
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
     """Fewer rows to an Arrow batch while an action runs: whole texts go to Python in them."""
