@@ -18,7 +18,7 @@ from spanloom.llm.packing import pack_documents
 from spanloom.llm.phrases import mine_phrases
 from spanloom.llm.quality_rules import language_references, quality_rules, vocabulary
 from spanloom.llm.sharding import shard_by_bytes
-from spanloom.llm.stage import fold_of, staged
+from spanloom.llm.stage import fold_of
 from spanloom.llm.toxicity import score_toxicity, train_toxicity
 from spanloom.llm.url_templates import judge_urls
 
@@ -83,9 +83,7 @@ def op5_url_templates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
-    # every link is verified and counted; the agreed columns have no place for the number
-    found = staged(overlap_join(table(spark, sf, "documents"), k=4, percent=85, links=True), "overlap-links")
-    return found.drop("n_links")
+    return overlap_join(table(spark, sf, "documents"), k=4, percent=85, links=True)
 
 
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,13 +5,14 @@ import zlib
 from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 from llm_support import LOWER, SCHEMA, edge, edge_rows, empty, prose, words
 
 import corpus_pipeline
 from spanloom.llm.components import components
-from spanloom.llm.mixing import mix_sources, quotas, schedule
+from spanloom.llm.mixing import block_size, mix_sources
 from spanloom.llm.overlap_join import keep_one_of_each, overlap_join
-from spanloom.llm.packing import best_fit, bin_cost, pack_documents
+from spanloom.llm.packing import LENGTHS, best_fit, bin_cost, fill, pack_documents
 from spanloom.llm.sharding import shard_by_bytes
 from spanloom.llm.url_templates import judge_urls
 
@@ -121,24 +122,11 @@ def test_keep_one_of_each(spark):
     assert keep_one_of_each(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 2, None: 1}, {"x": 98, "y": 1, "z": 1}, {"q": 1}])
-def test_schedule_stays_within_one_block(spark, weights):
-    slots = quotas(weights, 37)
-    assert sum(slots.values()) == 37 and min(slots.values()) >= 1
-    rows = sorted(schedule(spark, slots).collect(), key=lambda r: r["at"])
-    assert [r["at"] for r in rows] == list(range(37))
-    done = dict.fromkeys(slots, 0)
-    for t, r in enumerate(rows):
-        assert r.turn == done[r.mix_source]
-        done[r.mix_source] += 1
-        assert all(abs(done[k] - (t + 1) * slots[k] / 37) < 1 for k in slots)
-
-
 def test_mixture_keeps_rows_and_weights(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randint(5, 60)), "en", "big" if i % 3 else "small", 0) for i in range(300)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = mix_sources(docs, {"big": 1.0, "small": 1.0}, block_bytes=500, period=10).collect()
+    got = mix_sources(docs, {"big": 1.0, "small": 1.0}, block_bytes=500).collect()
     assert {r.doc_id for r in got} == set(range(300))
     assert len({(r.doc_id, r.mix_epoch) for r in got}) == len(got)
     blocks = {(r.mix_slot, r.source, r.mix_block, r.mix_epoch, r.mix_release, r.mix_deadline) for r in got}
@@ -151,9 +139,27 @@ def test_mixture_keeps_rows_and_weights(spark):
     assert max(r.mix_epoch for r in got if r.source == "small") >= 1 and max(r.mix_epoch for r in got if r.source == "big") == 0
 
 
+def test_a_source_of_one_block_with_half_the_weight(spark):
+    rows = [(i, "xy", "en", "big", 0) for i in range(2000)] + [(9999, "z", "en", "tiny", 0)]
+    got = mix_sources(spark.createDataFrame(rows, SCHEMA), {"big": 1.0, "tiny": 1.0}, block_bytes=3)
+    counts = {r.source: (r["n"], r["slots"]) for r in got.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("mix_slot").alias("slots")).collect()}
+    assert counts["big"] == (2000, 2000) and counts["tiny"][0] == counts["tiny"][1] >= 1999
+    # the turns of the tiny source do not meet in one task
+    own = got.where("source = 'tiny'").groupBy(F.floor(F.col("mix_epoch") / 16)).count()
+    assert own.agg(F.max("count")).first()[0] == 16
+
+
+def test_blocks_grow_so_that_the_slots_stay_bounded(spark):
+    assert block_size([(1.0, 1000), (1.0, 10)], 5, 1 << 20) == 5
+    assert block_size([(1.0, 1000), (1.0, 10)], 5, 100) == 20
+    rows = [(i, "x" * 9, "en", "ab"[i % 2], 0) for i in range(400)]
+    slots = mix_sources(spark.createDataFrame(rows, SCHEMA), block_bytes=10, max_slots=50).agg(F.max("mix_slot")).first()[0]
+    assert slots <= 51
+
+
 def test_long_mixture_keeps_the_unrounded_weights(spark, monkeypatch):
     # several windows, a weight far below one slot a window, weights that no small period holds
-    monkeypatch.setattr("spanloom.llm.mixing.PERIODS", 1, raising=False)
+    monkeypatch.setattr("spanloom.llm.mixing.WINDOW", 1000)
     weights = {"a": 0.6180339, "b": 0.3819561, "c": 0.00001}
     rows = [(i, "x", "en", "ab"[i % 5 > 2], 0) for i in range(5000)] + [(5000, "x", "en", "c", 0)]
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -232,6 +238,33 @@ def test_best_fit_is_near_the_cheapest():
     assert best_fit([], lengths) == ([], [])
 
 
+def test_one_long_piece_does_not_change_how_the_others_are_packed():
+    rng = random.Random(4)
+    sizes = [rng.randint(20, 700) for _ in range(400)]
+    bins, final = best_fit(sizes, LENGTHS)
+    more, with_long = best_fit([*sizes, 8192], LENGTHS)
+    assert sorted(more) == sorted([*bins, [400]])
+    assert sorted(with_long) == sorted([*final, 8192])
+
+
+def test_the_cheapest_of_all_sets_of_lengths_is_taken():
+    rng = random.Random(6)
+    for _ in range(20):
+        sizes = [rng.choice([rng.randint(1, 300), rng.randint(1, 2000)]) for _ in range(60)]
+        order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+        costs = []
+        for mask in range(1, 32):
+            _, full = fill(sizes, order, LENGTHS, [n for i, n in enumerate(LENGTHS) if mask >> i & 1])
+            costs.append(sum(bin_cost(min(n for n in LENGTHS if n >= used)) for used in full))
+        assert sum(map(bin_cost, best_fit(sizes, LENGTHS)[1])) == min(costs)
+
+
+def test_packing_keeps_string_identifiers(spark):
+    df = spark.createDataFrame([("a", "x" * 30), (None, "y")], "doc_id string, text string")
+    items = sorted((i.id or "", i.size) for r in pack_documents(df).collect() for i in r["items"])
+    assert items == [("", 2), ("a", 31)]
+
+
 @pytest.mark.parametrize("block_rows", [3, 1000])
 def test_every_token_is_packed_once(spark, block_rows):
     got = pack_documents(edge(spark, clash=True), lengths=(128, 512, 1024), block_rows=block_rows).collect()
