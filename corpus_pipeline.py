@@ -6,6 +6,8 @@ the stages before.
 """
 
 import sys
+from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -21,6 +23,22 @@ from spanloom.llm.stage import fold_of, staged  # noqa: E402
 from spanloom.llm.toxicity import score_toxicity, train_toxicity  # noqa: E402
 
 
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def apart(stage: Stage) -> Stage:
+    """A stage that sees the other columns of its table under names no operator uses, and returns them all."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        renamed = docs.toDF(*[c if c in DOCUMENT else f"other__{i}" for i, c in enumerate(docs.columns)])
+        return stage(spark, renamed, sf_dir).select(*renamed.columns).toDF(*docs.columns)
+
+    return run_stage
+
+
+@apart
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below 0.3; the model learns from ``labels``."""
 
@@ -30,6 +48,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 0").select(*docs.columns)
 
 
+@apart
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie near enough to a language."""
 
@@ -37,12 +56,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where("kept").select(*docs.columns)
 
 
+@apart
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest identifier, of each group linked by five-word shingles."""
 
     return keep_one_of_each(docs, k=5, percent=80)
 
 
+@apart
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture in the order of its slots: small sources come round again, none is cut."""
 
