@@ -9,6 +9,10 @@ split.  It orders lines without a counting pass over the data.  What must not de
 split (an identifier) uses the line number of ``numbered_lines``.
 """
 
+from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,7 +25,7 @@ from spanloom.schema import ENTITIES
 BLANK = r"(?U)^[\s\x1c-\x1f]*$"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(ord, value)`` for every line below ``path``.
 
     Spark's line reader drops a byte order mark at the start of a file, and only there.
@@ -37,6 +41,51 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """``(ord, value)`` of the first ``n`` lines in file order; later files are not opened.
+
+    Files are taken in order, twice as many each time, until they hold ``n`` lines.  Of each split
+    at most as many lines as are still missing are passed on, and a task with a split of its own stops
+    reading there.  The driver sees file names and one count per round.
+    """
+
+    files = sorted(spark.read.text(path).inputFiles())
+    found, missing, step = None, n, 1
+    while files and missing > 0:
+        some, files, step = files[:step], files[step:], 2 * step
+        lines = read_lines(spark, [unquote(f) for f in some])
+        kind = lines.schema["ord"].dataType.simpleString()
+        part = materialize(lines.mapInArrow(_heads(missing, len(some) == 1), f"ord {kind}, value string"))
+        found = part if found is None else found.unionByName(part)
+        missing -= part.count()
+    if found is None:
+        return read_lines(spark, path).limit(0)
+    return found.orderBy("ord").limit(n)
+
+
+def _heads(n: int, alone: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The first ``n`` rows of each split; with ``alone`` a task has one split and stops after them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, int] = {}
+        for batch in batches:
+            order = batch.column("ord")
+            splits = list(zip(order.field("file").to_pylist(), order.field("block").to_pylist(), strict=True))
+            start = 0
+            for at in range(1, len(splits) + 1):  # the rows of a split follow each other
+                if at < len(splits) and splits[at] == splits[start]:
+                    continue
+                room = n - seen.get(splits[start], 0)
+                if room > 0:
+                    yield batch.slice(start, min(room, at - start))
+                seen[splits[start]] = n - room + at - start
+                start = at
+            if alone and splits and seen[splits[-1]] >= n:
+                return
+
+    return run
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(ord, line, value)`` with the number of the line in its file, from 1.
 
@@ -169,24 +218,24 @@ def _census(parsed: DataFrame, unique: bool) -> tuple[int, int, int]:
     return rows, bad, copies if unique else 1
 
 
-def checked(parsed: DataFrame, strict: bool = True, unique: bool = True, kind: str = "records") -> DataFrame:
-    """The good rows.  Strict mode fails on the first violation in file order.
+def checked(parsed: DataFrame, strict: bool = True, unique: bool = True, kind: str = "records", empty: bool = False) -> DataFrame:
+    """The good rows.  Strict mode fails on the first violation in file order, ``empty`` allows none.
 
     The lines are parsed once: what was parsed is written to the shared folder, and the
     checks and all later readers read it from there.
     """
 
-    parsed = materialize(parsed)
+    parsed = materialize(parsed.drop("value"))
     rows, bad, copies = _census(parsed, unique)
     if strict and (bad or copies > 1):
         first = violations(parsed, unique).orderBy("ord").first()
         raise ValueError(f"{first['ord']['file']}: {first['error']} at {tuple(first['ord'])[1:]}")
-    if rows == bad:
+    if rows == bad and not empty:
         raise ValueError(f"no {kind}")
     good = parsed.filter("error is null") if bad else parsed
     if copies > 1:
         good = good.join(duplicates(parsed).select("ord"), "ord", "left_anti")
-    return good.drop("error", "value")
+    return good.drop("error")
 
 
 def read_records(
@@ -197,18 +246,32 @@ def read_records(
     mode: str = "contract",
     strict: bool = True,
     extra: bool = False,
+    limit: int | None = None,
 ) -> DataFrame:
     """``(ord, hash, text[, entities][, extra])`` from JSON Lines.
 
     ``extra`` keeps the fields that are not part of a record, as ``write_jsonl`` writes them back.
+    With ``limit`` reading stops after that many records: what follows is neither read nor
+    checked.  Lenient reading goes on past rejected lines until it has as many good ones.
     """
 
     # inspection accepts repeated and missing hashes
     inspecting = mode == "inspect"
-    parsed = parse_records(
-        read_lines(spark, path), mode, require_entities=require_entities, require_hash=not inspecting, extra=extra
-    )
-    good = checked(parsed, strict, unique=not inspecting)
+    rules = {"require_entities": require_entities, "require_hash": not inspecting, "extra": extra}
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be positive")
+    if limit is None:
+        good = checked(parse_records(read_lines(spark, path), mode, **rules), strict, unique=not inspecting)
+    else:
+        wanted, last = limit, False
+        while True:
+            lines = materialize(first_lines(spark, path, wanted))
+            last = strict or lines.count() < wanted
+            good = checked(parse_records(lines, mode, **rules), strict, unique=not inspecting, empty=not last)
+            if last or good.count() >= limit:
+                break
+            wanted *= 2
+        good = good if strict else good.orderBy("ord").limit(limit)
     if not require_entities:
         return good.drop("entities")
     return good.withColumn("entities", canonical_array(F.col("entities")))
@@ -224,7 +287,7 @@ def read_predictions(
 
 
 def read_limit(records: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` records in file order."""
+    """The first ``n`` records in file order of a table that has been read; a reader's own limit is ``read_records(limit=n)``."""
 
     return records.orderBy("ord").limit(n)
 

@@ -11,7 +11,7 @@ from spanloom.plans.corpus import merge_array_corpus, merge_token_corpus, thin_c
 from spanloom.plans.evaluate import evaluate_files, load_comparison
 from spanloom.sources.fingerprint import file_digests, table_fingerprint
 from spanloom.schema import ENTITIES_DDL
-from spanloom.sources.records import parse_records, quarantine, read_lines, read_predictions, read_records, read_source_arrays
+from spanloom.sources.records import first_lines, parse_records, quarantine, read_lines, read_predictions, read_records, read_source_arrays
 from spanloom.sources.sinks import write_jsonl
 
 
@@ -108,6 +108,47 @@ def test_strict_and_lenient_reading(spark, tmp_path, error):
     assert [r["error"] for r in out] == [error]
 
 
+def test_a_limit_stops_reading_and_checking(spark, tmp_path):
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    for n in range(4):
+        lines = [rec(f"{n}-{i}", f"text {i}") for i in range(10)]
+        dump(folder / f"part {n}.jsonl", *lines, *(["{broken"] if n else []))
+    for limit, last in ((1, "0-0"), (10, "0-9"), (20, "1-9")):
+        rows = read_records(spark, str(folder), limit=limit).orderBy("ord").collect()
+        assert [r.hash for r in rows] == [f"{i // 10}-{i % 10}" for i in range(limit)] and rows[-1].hash == last
+    with pytest.raises(ValueError, match="json"):
+        read_records(spark, str(folder), limit=21)
+    # lenient reading goes on until it has enough good records
+    rows = read_records(spark, str(folder), limit=25, strict=False).orderBy("ord").collect()
+    assert [r.hash for r in rows] == [f"{i // 10}-{i % 10}" for i in range(25)]
+    assert read_records(spark, str(folder), limit=99, strict=False).count() == 40
+    with pytest.raises(ValueError, match="limit"):
+        read_records(spark, str(folder), limit=0)
+
+
+def test_a_limit_opens_the_first_files_only(spark, tmp_path):
+    for n in range(9):
+        dump(tmp_path / f"{n}.jsonl", *[rec(f"{n}-{i}", "x") for i in range(5)])
+    lines = first_lines(spark, str(tmp_path), 12)
+    assert lines.count() == 12
+    assert {r.ord.file.rsplit("/", 1)[1] for r in lines.collect()} == {"0.jsonl", "1.jsonl", "2.jsonl"}
+    files = {f for part in [lines] for f in part.inputFiles()}
+    assert not any(str(tmp_path) in f for f in files)  # later readers see what was kept, not the source
+
+
+def test_a_split_of_its_own_is_left_after_the_limit(spark, tmp_path):
+    path = dump(tmp_path / "long.jsonl", *[rec(str(i), "x" * 100) for i in range(5000)])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        lines = first_lines(spark, path, 700)
+        got = [json.loads(r.value)["hash"] for r in lines.orderBy("ord").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [str(i) for i in range(700)]
+
+
 def test_other_number_types_are_rejected(spark, tmp_path):
     lines = [rec(f"h{i}", "xyz", ("ORG", 0, v)) for i, v in enumerate((1.0, "1", None, 10**30))]
     parsed = parse_records(read_lines(spark, dump(tmp_path / "r.jsonl", *lines)))
