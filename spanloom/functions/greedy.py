@@ -1,12 +1,24 @@
-"""Greedy choice of non-overlapping spans inside one array."""
+"""Greedy choice of non-overlapping spans inside one array.
 
+Kept spans are disjoint, so in start order their ends rise too, and a new span meets one of them
+exactly when it meets the last that starts before its end.  Small islands compare with every kept
+span in the JVM; an island beyond ``LARGE`` looks its neighbour up in an ordered set, in Arrow
+batches that hold nulls for all other rows.
+"""
+
+from bisect import bisect_left
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.functions.arrays import let, positions
 
+LARGE = 32  # spans of an island
+LARGE_RECORD = 512  # spans of a record, whose islands are not known before they are cut
+
 
 def spans_overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Half-open intervals share at least one character."""
@@ -14,9 +26,43 @@ def spans_overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column
     return (a_start < b_end) & (b_start < a_end)
 
 
-def greedy_island(spans: Column) -> Column:
-    """Best first (array order of the structs), skipping spans that meet a kept one."""
+def disjoint_flags(starts: list[int], ends: list[int]) -> list[bool]:
+    """Which spans are kept when each is taken in turn unless it meets a kept one."""
+
+    kept_starts: list[int] = []
+    kept_ends: list[int] = []
+    flags = []
+    for start, end in zip(starts, ends, strict=True):
+        at = bisect_left(kept_starts, end)  # those before start ahead of the end
+        free = at == 0 or kept_ends[at - 1] <= start
+        if free:
+            kept_starts.insert(at, start)
+            kept_ends.insert(at, end)
+        flags.append(free)
+    return flags
+
+
+def _flags_batch(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series(
+        [None if a is None else disjoint_flags(a.tolist(), b.tolist()) for a, b in zip(starts, ends, strict=True)],
+        dtype=object,
+    )
+
+
+# declared non-deterministic so that the optimizer never evaluates it twice
+_flags = F.pandas_udf(_flags_batch, T.ArrayType(T.BooleanType())).asNondeterministic()
 
+
+def _keep_large(ordered: Column, large: Column) -> Column:
+    """The kept ones of ``ordered`` spans, best first, where ``large``; elsewhere NULL."""
+
+    starts = F.transform(ordered, lambda s: s["start"].cast("bigint"))
+    ends = F.transform(ordered, lambda s: s["end"].cast("bigint"))
+    both = F.arrays_zip(ordered, _flags(F.when(large, starts), F.when(large, ends)))
+    return F.transform(F.filter(both, lambda z: z["1"]), lambda z: z["0"])
+
+
+def _keep_small(spans: Column) -> Column:
     none = F.filter(spans, lambda s: F.lit(False))
     folded = F.aggregate(
         F.sort_array(spans),
@@ -28,6 +74,13 @@ def greedy_island(spans: Column) -> Column:
     return F.when(F.size(spans) < 2, spans).otherwise(folded)
 
 
+def greedy_island(spans: Column) -> Column:
+    """Best first (array order of the structs), skipping spans that meet a kept one."""
+
+    large = F.size(spans) > LARGE
+    return F.when(large, _keep_large(F.sort_array(spans), large)).otherwise(_keep_small(spans))
+
+
 def keep_disjoint(spans: Column, rank: Callable[[Column], list[Column]]) -> Column:
     """Greedy choice over a record's array of ``struct<label,start,end>``.
 
@@ -60,7 +113,7 @@ def keep_disjoint(spans: Column, rank: Callable[[Column], list[Column]]) -> Colu
         return F.flatten(
             F.transform(
                 cuts,
-                lambda first, k: greedy_island(
+                lambda first, k: _keep_small(
                     F.transform(
                         F.slice(
                             sorted_spans,
@@ -81,10 +134,13 @@ def keep_disjoint(spans: Column, rank: Callable[[Column], list[Column]]) -> Colu
             lambda flag: flag,
         )
 
-    kept = let(
+    # a record of no more spans has no larger island
+    large = F.coalesce(F.size(spans) > LARGE_RECORD, F.lit(False))
+    small = let(
         by_start,
         lambda s: let(ends, lambda z: let(opens(s, z), lambda cuts: islands(s, z, cuts))),
     )
+    kept = F.when(large, _keep_large(F.sort_array(F.transform(by_start, ranked)), large)).otherwise(small)
     return F.sort_array(
         F.transform(
             kept,
