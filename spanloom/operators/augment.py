@@ -1,11 +1,10 @@
 """Augmentation: similar same-label surfaces and rewritten records."""
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -15,7 +14,7 @@ from pyspark.sql import Window as W
 
 from spanloom.operators.rows import each
 from spanloom.functions.arrays import index_by_end, last_end, let, running_sum
-from spanloom.functions.text import augmented_hash, characters, cut, seeded_number
+from spanloom.functions.text import augmented_hash, characters, cut, seeded_key, seeded_number
 from spanloom.operators.joins import lookup_join
 from spanloom.operators.materialize import materialize
 from spanloom.operators.ordered import number_rows
@@ -23,6 +22,8 @@ from spanloom.operators.typography import surfaces
 from spanloom.schema import LABELS
 
 NEIGHBOUR_BLOCK = 2048
+CELLS = 4096  # per unit of distance
+SLACK = 1e-6  # rounding of similarities
 
 
 def entity_surfaces(records: DataFrame) -> DataFrame:
@@ -65,36 +66,100 @@ def surface_vectors(surface_tokens: DataFrame, token_vectors: DataFrame) -> Data
     return mean.select("label", "surface", unit(vector_to_array("mean")).alias("vector"))
 
 
-def cluster_surfaces(vectors: DataFrame, num_clusters: int, seed: int) -> DataFrame:
-    """``(label, surface, vector, cluster)`` by cosine k-means, one fit per label.
+def _matrix(column: pa.Array) -> np.ndarray:
+    """An Arrow column of equally long lists as the rows of a matrix."""
+
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _start_centroids(vectors: DataFrame, num_clusters: int, seed: int) -> dict[str, np.ndarray]:
+    """For each label the vectors of its first surfaces by seeded digest, ``min(num_clusters, n // 2)`` of them."""
+
+    sizes = {r["label"]: r["n"] for r in vectors.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    drawn = W.partitionBy("label").orderBy(seeded_key(seed, F.concat_ws("|", "label", "surface")), "surface")
+    # each task passes on its own first ones, so labels may have any size
+    first = vectors.withColumn("draw", F.row_number().over(drawn)).filter(F.col("draw") <= num_clusters)
+    rows = first.select("label", "draw", "vector").orderBy("label", "draw").collect()
+    found: dict[str, list] = {}
+    for r in rows:
+        if r["draw"] <= max(1, sizes[r["label"]] // 2):
+            found.setdefault(r["label"], []).append(r["vector"])
+    return {label: np.array(own) for label, own in found.items()}
+
+
+def _cluster_sums(vectors: DataFrame, now: dict[str, np.ndarray], before: dict[str, np.ndarray]) -> list:
+    """``label, cluster, n, sum`` of the members of each cluster, and as cluster -1 how many changed theirs."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {label: np.zeros(own.shape) for label, own in now.items()}
+        members = {label: np.zeros(len(own), np.int64) for label, own in now.items()}
+        moved = dict.fromkeys(now, 0)
+        for batch in batches:
+            labels = batch.column("label").to_numpy(zero_copy_only=False)
+            rows = _matrix(batch.column("vector"))
+            for label, own in now.items():
+                part = rows[labels == label]
+                if not len(part):
+                    continue
+                nearest = (part @ own.T).argmax(axis=1)
+                moved[label] += int((nearest != (part @ before[label].T).argmax(axis=1)).sum()) if before else len(part)
+                members[label] += np.bincount(nearest, minlength=len(own))
+                np.add.at(sums[label], nearest, part)
+        out = [(label, c, int(members[label][c]), sums[label][c].tolist()) for label in now for c in np.flatnonzero(members[label])]
+        out += [(label, -1, n, [0.0] * now[label].shape[1]) for label, n in moved.items()]
+        names, clusters, n, total = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array(clusters, pa.int32()), pa.array(n, pa.int64()), pa.array(total, pa.list_(pa.float64()))],
+            ["label", "cluster", "n", "total"],
+        )
+
+    parts = vectors.select("label", "vector").mapInArrow(add, "label string, cluster int, n long, total array<double>")
+    total = Summarizer.sum(array_to_vector(F.col("total")))
+    return parts.groupBy("label", "cluster").agg(F.sum("n").alias("n"), vector_to_array(total).alias("total")).collect()
+
+
+def cluster_surfaces(vectors: DataFrame, num_clusters: int, seed: int, rounds: int = 25) -> DataFrame:
+    """``(label, surface, vector, cluster)`` by cosine k-means within each label.
 
-    The vectors are read by every fit, so they are materialized first.
+    All labels share one pass over the vectors per round: tasks add up the members of each cluster, Spark the
+    tasks' sums, and at most ``labels x num_clusters`` rows reach the driver.  The start is drawn by
+    seeded digest, an empty cluster keeps its centroid, of equal similarities the lowest
+    cluster wins, and a label is done when no surface changes its cluster.
     """
 
-    vectors = materialize(vectors)
-    counts = {r["label"]: r["n"] for r in vectors.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    featured = vectors.withColumn("features", array_to_vector("vector"))
-    parts = []
-    for index, label in enumerate(LABELS):
-        n = counts.get(label, 0)
-        if not n:
-            continue
-        part = featured.filter(F.col("label") == label)
-        k = min(num_clusters, max(1, n // 2))
-        if k == 1:
-            parts.append(part.withColumn("cluster", F.lit(0)))
-            continue
-        # read in each of up to 25 rounds; a fixed layout makes the drawn start repeatable
-        part = part.repartition("surface").sortWithinPartitions("surface").persist(StorageLevel.DISK_ONLY)
-        model = KMeans(
-            k=k, distanceMeasure="cosine", initMode="random", maxIter=25, seed=seed + index,
-            predictionCol="cluster",
-        ).fit(part)
-        part.unpersist()
-        parts.append(model.transform(part))
-    if not parts:
-        return featured.withColumn("cluster", F.lit(0)).drop("features")
-    return reduce(DataFrame.unionByName, parts).drop("features")
+    vectors = materialize(vectors.filter(F.col("label").isin(list(LABELS))))
+    centroids = _start_centroids(vectors, num_clusters, seed)
+    before: dict[str, np.ndarray] = {}
+    going = set(centroids)
+    for _ in range(rounds + 1):
+        if not going:
+            break
+        sums = _cluster_sums(vectors.filter(F.col("label").isin(sorted(going))), {k: centroids[k] for k in sorted(going)}, before)
+        before = dict(centroids)
+        centroids = {k: own.copy() for k, own in centroids.items()}
+        for r in sums:
+            if r["cluster"] >= 0:
+                mean = np.array(r["total"]) / r["n"]
+                centroids[r["label"]][r["cluster"]] = mean / max(np.sqrt(mean @ mean), 1e-12)
+        done = {r["label"] for r in sums if r["cluster"] == -1 and r["n"] == 0}
+        for label in done:  # the centroids that changed nothing are final
+            centroids[label] = before[label]
+        going -= done
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = batch.column("label").to_numpy(zero_copy_only=False)
+            rows = _matrix(batch.column("vector"))
+            cluster = np.zeros(len(labels), np.int32)
+            for label, own in centroids.items():
+                chosen = labels == label
+                if chosen.any():
+                    cluster[chosen] = (rows[chosen] @ own.T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cluster)], [*batch.schema.names, "cluster"])
+
+    return vectors.mapInArrow(assign, f"{kind}, cluster int")
 
 
 def assign_centroid(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -122,11 +187,21 @@ def assign_centroid(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     )
 
 
-def _top_pairs(max_candidates: int):
-    """Best candidates of one block of sources within one block of targets."""
+def _top_pairs(max_candidates: int, own: bool):
+    """Best candidates of one block of sources within one block of targets.
+
+    Sources that already have candidates leave a cell out if none of its targets can be as similar
+    as their last candidate.
+    """
+
+    columns = ["label", "surface", "candidate", "similarity"]
 
     def run(sources: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
-        columns = ["label", "surface", "candidate", "similarity"]
+        if not sources.empty and not targets.empty and not own:
+            low, high = targets["radius"].min(), targets["radius"].max()
+            gap = np.maximum(np.maximum(low - sources["radius"].to_numpy(), sources["radius"].to_numpy() - high), 0.0)
+            most = (sources["norm2"].to_numpy() + targets["norm2"].max() - gap * gap) / 2
+            sources = sources[most >= sources["last"].to_numpy() - SLACK]
         if sources.empty or targets.empty:
             return pd.DataFrame(columns=columns)
         names = targets["surface"].to_numpy()
@@ -151,41 +226,88 @@ def _top_pairs(max_candidates: int):
     return run
 
 
+def _by_radius(clustered: DataFrame, block: int) -> DataFrame:
+    """Vectors with ``norm2``, their distance ``radius`` to the mean of the cluster, and the block ``own`` they fall in.
+
+    Blocks of about ``block`` vectors follow each other by radius.  Radii are counted in cells, and a
+    vector takes a place among those of its cell by digest, so nothing is sorted.
+    """
+
+    keys = ["label", "cluster"]
+    mean = Summarizer.mean(array_to_vector(F.col("vector")))
+    # one row per cluster (labels x num_clusters), so broadcasting it is safe
+    means = clustered.groupBy(*keys).agg(vector_to_array(mean).alias("mean"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    far = F.sqrt(F.aggregate(F.zip_with("vector", "mean", lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda s, x: s + x))
+    rows = clustered.select(*keys, "surface", "vector").join(F.broadcast(means), keys)
+    rows = materialize(rows.select(*keys, "surface", "vector", "blocks", far.alias("radius")).withColumn("cell", F.floor(F.col("radius") * CELLS)))
+    counts = rows.groupBy(*keys, "cell").agg(F.count("*").alias("n"))
+    # at most 2 x CELLS rows per cluster
+    start = F.sum("n").over(W.partitionBy(*keys).orderBy("cell")) - F.col("n")
+    counts = counts.select(*keys, "cell", "n", start.alias("start"))
+    place = F.col("start") + F.pmod(F.xxhash64("surface"), F.col("n"))
+    return rows.join(counts, [*keys, "cell"]).select(
+        *keys, "surface", "vector", "radius", dot(F.col("vector"), F.col("vector")).alias("norm2"), F.least(F.floor(place / block).cast("int"), F.col("blocks") - 1).alias("own")
+    )
+
+
+def neighbour_cells(placed: DataFrame, reached: DataFrame) -> DataFrame:
+    """``label, cluster, a, b``: which other blocks ``b`` may hold a more similar neighbour for the block ``a``.
+
+    ``reached`` has ``label, surface, last``, the similarity of the last candidate so far.  By the triangle
+    inequality two vectors are at least as far apart as their distances to a third one differ, and
+    ``2 x y = x x + y y - (x - y)(x - y)`` turns that into a bound on their similarity.
+    """
+
+    keys = ["label", "cluster"]
+    known = placed.select(*keys, "surface", "own", "radius", "norm2").join(reached, ["label", "surface"], "left")
+    blocks = known.groupBy(*keys, "own").agg(
+        F.min("radius").alias("low"),
+        F.max("radius").alias("high"),
+        F.max("norm2").alias("norm2"),
+        F.min(F.coalesce("last", F.lit(float("-inf")))).alias("last"),
+    )
+    other = blocks.select(*keys, *[F.col(c).alias(n) for c, n in (("own", "b"), ("low", "b_low"), ("high", "b_high"), ("norm2", "b_norm2"))])
+    gap = F.greatest(F.col("b_low") - F.col("high"), F.col("low") - F.col("b_high"), F.lit(0.0))
+    # rows are blocks, not vectors
+    pairs = blocks.withColumnRenamed("own", "a").join(other, keys).filter(F.col("a") != F.col("b"))
+    most = (F.col("norm2") + F.col("b_norm2") - gap * gap) / 2
+    return pairs.filter(most >= F.col("last") - SLACK).select(*keys, "a", "b")
+
+
 def cluster_neighbours(
     clustered: DataFrame, max_candidates: int, block: int = NEIGHBOUR_BLOCK
 ) -> DataFrame:
     """``(label, surface, rank, candidate, similarity)``: nearest others of the cluster.
 
-    Exact top-k without emitting pairs.  A cluster of n surfaces is dealt into
-    ceil(n / block) blocks by hash; every (source block, target block) cell is one
-    matrix product in one task and yields at most k rows per source, so a cluster with a
-    third of all surfaces becomes many cells of bounded size.
+    Exact top-k by dot product without emitting pairs.  A cluster is dealt into blocks by distance to
+    its mean, and a (source block, target block) cell is one matrix product in one task that
+    yields at most k rows per source.  Each block first searches itself; the similarity of the last candidate
+    then rules out, by the triangle inequality, blocks and sources that cannot improve on it.
+    A cluster with a third of all surfaces becomes many cells of bounded size.
     """
 
     keys = ["label", "cluster"]
-    sizes = clustered.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    # one row per cluster (labels x num_clusters), so broadcasting it is safe
-    dealt = clustered.select(*keys, "surface", "vector").join(F.broadcast(sizes), keys).withColumn(
-        "own", F.pmod(F.xxhash64("surface"), F.col("blocks")).cast("int")
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    fresh = lambda *names: [F.col(n).alias(n) for n in names]
-    sources = dealt.withColumn("b", other).select(
-        *fresh(*keys), F.col("own").alias("a"), *fresh("b", "surface", "vector")
+    placed = materialize(_by_radius(clustered, block))
+    schema = "label string, surface string, candidate string, similarity double"
+    best = W.partitionBy("label", "surface").orderBy(F.desc("similarity"), "candidate")
+    top = lambda rows: rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max_candidates)
+    side = placed.groupBy(*keys, "own")
+    again = placed.select(*[F.col(c).alias(c) for c in placed.columns]).groupBy(*keys, "own")
+    inside = materialize(side.cogroup(again).applyInPandas(_top_pairs(max_candidates, True), schema))
+    reached = inside.groupBy("label", "surface").agg(
+        F.when(F.count("*") >= max_candidates, F.min("similarity")).otherwise(F.lit(float("-inf"))).alias("last")
     )
-    targets = dealt.withColumn("a", other).select(
-        *fresh(*keys, "a"), F.col("own").alias("b"), *fresh("surface", "vector")
+    reached = materialize(reached)
+    cells = materialize(neighbour_cells(placed, reached))
+    sources = placed.join(reached, ["label", "surface"], "left").withColumn("last", F.coalesce("last", F.lit(float("-inf"))))
+    sources = sources.withColumnRenamed("own", "a").join(cells, [*keys, "a"]).select(*keys, "a", "b", "surface", "vector", "radius", "norm2", "last")
+    targets = placed.withColumnRenamed("own", "b").join(cells, [*keys, "b"]).select(
+        *[F.col(c).alias(c) for c in (*keys, "a", "b", "surface", "vector", "radius", "norm2")]
     )
     cell = [*keys, "a", "b"]
-    found = sources.groupBy(*cell).cogroup(targets.groupBy(*cell)).applyInPandas(
-        _top_pairs(max_candidates),
-        "label string, surface string, candidate string, similarity double",
-    )
-    best = W.partitionBy("label", "surface").orderBy(F.desc("similarity"), "candidate")
-    return (
-        found.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= max_candidates)
-        .select("label", "surface", F.col("rank").cast("bigint").alias("rank"), "candidate", "similarity")
+    across = sources.groupBy(*cell).cogroup(targets.groupBy(*cell)).applyInPandas(_top_pairs(max_candidates, False), schema)
+    return top(inside.unionByName(across)).select(
+        "label", "surface", F.col("rank").cast("bigint").alias("rank"), "candidate", "similarity"
     )
 
 

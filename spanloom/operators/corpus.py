@@ -121,7 +121,7 @@ def mark_empty_added(
     eligible = F.col("is_empty") & F.col("source").isNotNull()
     key = F.when(eligible, seeded_key(seed, F.col("hash")))
     # written once, as the cut-off takes several passes; the records are read once more, to be marked
-    narrow = materialize(flagged.select("ord", key.alias("key"))).filter("key is not null")
+    narrow = materialize(flagged.filter(eligible).select("ord", key.alias("key")))
     cutoff = _smallest(narrow, "key", lambda n: F.floor(n * F.lit(drop_fraction)))
     at_most = F.struct(key.alias("key"), F.col("ord")) <= cutoff
     return flagged.withColumn("removed", F.coalesce(eligible & at_most, F.lit(False)))

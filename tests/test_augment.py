@@ -60,6 +60,33 @@ def test_neighbours_match_brute_force_across_blocks(spark):
         assert got == {k: v for k, v in want.items() if v}
 
 
+def test_neighbours_leave_out_cells_that_cannot_improve(spark):
+    # three rings around the centre: a neighbour on another ring is farther than those on the own one
+    rows = []
+    for ring, tilt in enumerate((0.05, 0.7, 1.4)):
+        for i in range(120):
+            turn = 2 * np.pi * i / 120
+            rows.append(("ORG", 0, f"r{ring}-{i:03d}", [float(np.sin(tilt) * np.cos(turn)), float(np.sin(tilt) * np.sin(turn)), float(np.cos(tilt))]))
+    df = spark.createDataFrame(rows, "label string, cluster int, surface string, vector array<double>")
+    placed = A._by_radius(df, 40)
+    blocks = placed.groupBy("own").count().collect()
+    assert len(blocks) == 9 and max(r["count"] for r in blocks) < 120
+    inside = {}
+    points = {s: np.array(v) for *_, s, v in rows}
+    own = {r.surface: r.own for r in placed.collect()}
+    for s, v in points.items():
+        near = sorted((float(v @ w) for t, w in points.items() if t != s and own[t] == own[s]), reverse=True)
+        inside[s] = near[1]
+    reached = spark.createDataFrame([("ORG", s, x) for s, x in inside.items()], "label string, surface string, last double")
+    visited = A.neighbour_cells(placed, reached).count()
+    assert 0 < visited < 9 * 8
+    want = {s: sorted((round(float(v @ w), 9) for t, w in points.items() if t != s), reverse=True)[:2] for s, v in points.items()}
+    got = {}
+    for r in A.cluster_neighbours(df, 2, 40).orderBy("surface", "rank").collect():
+        got.setdefault(r.surface, []).append(round(r.similarity, 9))
+    assert got == want
+
+
 def test_vectors_clusters_and_the_whole_run(make, spark):
     records = make(
         ("a", "Ali Toshkentda", [("NAME", 0, 3), ("GEO", 4, 14)]),
@@ -120,6 +147,52 @@ def test_clusters_per_label(spark):
     assert got == {(r["label"], r["surface"]): r["cluster"] for r in A.cluster_surfaces(vectors, 2, 7).collect()}
 
 
+def plain_kmeans(vectors, centroids, rounds=25):
+    """Cosine k-means on one label, with a fixed start."""
+
+    for _ in range(rounds):
+        nearest = (vectors @ centroids.T).argmax(axis=1)
+        new = []
+        for c, old in enumerate(centroids):
+            own = vectors[nearest == c]
+            mean = own.mean(axis=0) if len(own) else old
+            new.append(mean / max(np.linalg.norm(mean), 1e-12))
+        stable = ((vectors @ np.array(new).T).argmax(axis=1) == nearest).all()
+        centroids = np.array(new)
+        if stable:
+            break
+    return (vectors @ centroids.T).argmax(axis=1)
+
+
+def test_clusters_equal_plain_kmeans_of_each_label(spark):
+    import hashlib
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for label, n in (("ORG", 150), ("NAME", 61), ("GEO", 1)):
+        for i in range(n):
+            v = rng.normal(size=5) + 3 * np.eye(5)[i % 4]
+            rows.append((label, f"{label}{i:03d}", [float(x) for x in v / np.linalg.norm(v)]))
+    rows.append(("OTHER", "x", [1.0, 0.0, 0.0, 0.0, 0.0]))
+    df = spark.createDataFrame(rows, "label string, surface string, vector array<double>").repartition(5)
+    got = {(r.label, r.surface): r.cluster for r in A.cluster_surfaces(df, 6, 9).collect()}
+    assert len(got) == len(rows) - 1
+    for label in ("ORG", "NAME", "GEO"):
+        own = [(s, v) for k, s, v in rows if k == label]
+        drawn = sorted(own, key=lambda r: (hashlib.md5(f"9|{label}|{r[0]}".encode()).hexdigest(), r[0]))
+        start = np.array([v for _, v in drawn[: min(6, max(1, len(own) // 2))]])
+        want = plain_kmeans(np.array([v for _, v in own]), start)
+        assert [got[label, s] for s, _ in own] == want.tolist()
+
+
+def test_an_empty_cluster_keeps_its_centroid(spark):
+    # two equal starts: the second one gets no members and stays where it is
+    rows = [("ORG", f"s{i}", [1.0, 0.0]) for i in range(4)]
+    df = spark.createDataFrame(rows, "label string, surface string, vector array<double>")
+    assert {r.cluster for r in A.cluster_surfaces(df, 2, 1).collect()} == {0}
+    assert A.cluster_surfaces(df.limit(0), 2, 1).count() == 0
+
+
 def test_nearest_centroid_prefers_the_lowest_on_ties(spark):
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0])], "surface string, vector array<double>")
     centroids = spark.createDataFrame([(1, [0.0, 1.0]), (0, [1.0, 0.0])], "cluster int, centroid array<double>")

@@ -1,8 +1,11 @@
 """Augmentation: surfaces, vectors, clusters, neighbours, rewriting."""
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from spanloom.operators import augment as A
+from spanloom.operators.materialize import materialize
 from spanloom.operators.scoring import explode_spans
 from workload import views as V
 from workload.registry import query
@@ -67,9 +70,29 @@ def clustered(spark, sf):
     return A.cluster_surfaces(vectors, num_clusters=16, seed=42)
 
 
-@query("cluster_surfaces")
+@query(
+    "cluster_surfaces",
+    V.SQL_SURFACES
+    + """,
+ names AS (SELECT DISTINCT label, surface FROM surfaces WHERE trim(surface, ' ' || chr(10)) <> '')
+SELECT label, surface, least(16, greatest(1, count(*) OVER (PARTITION BY label) // 2))::BIGINT AS clusters, true AS at_home FROM names""",
+)
 def _(spark, sf):
-    return clustered(spark, sf).select("label", "surface", F.col("cluster").cast("bigint").alias("cluster"))
+    """Every surface lies in one of its label's clusters and, at the fixed point, nowhere nearer than to its own mean."""
+
+    found = materialize(clustered(spark, sf))
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("vector"))))
+    centroids = found.groupBy("label", "cluster").agg(A.unit(mean).alias("centroid"))
+    # at most labels x 16 rows
+    listed = centroids.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("cluster", "centroid"))).alias("all"))
+    nearness = F.transform("all", lambda c: F.struct(c["cluster"].alias("cluster"), A.dot(F.col("vector"), c["centroid"]).alias("dot")))
+    judged = found.join(F.broadcast(listed), "label").withColumn("near", nearness)
+    own = F.array_max(F.transform("near", lambda c: F.when(c["cluster"] == F.col("cluster"), c["dot"])))
+    best = F.array_max(F.transform("near", lambda c: c["dot"]))
+    sizes = found.groupBy("label").agg(F.least(F.lit(16), F.greatest(F.lit(1), F.floor(F.count("*") / 2))).cast("bigint").alias("clusters"))
+    return judged.join(F.broadcast(sizes), "label").select(
+        "label", "surface", "clusters", ((own >= best - 1e-9) & (F.col("cluster") < F.col("clusters"))).alias("at_home")
+    )
 
 
 UNIT = """WITH
