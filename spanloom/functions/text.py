@@ -1,5 +1,6 @@
 """Text functions: characters, tokens, surfaces, typography, identifiers."""
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -146,16 +147,6 @@ def expand_suffixes(text: Column, entities: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def _casefold(values: pd.Series) -> pd.Series:
-    return values.map(str.casefold, na_action="ignore")
-
-
 @F.pandas_udf(T.StringType())
 def _literal(values: pd.Series) -> pd.Series:
     return values.map(repr, na_action="ignore")
@@ -165,28 +156,51 @@ def _beyond_ascii(value: Column) -> Column:
     return value.rlike(r"[^\x00-\x7F]")
 
 
-def clean_value(value: Column) -> Column:
-    """Harmless typography removed, spelling and case kept.
+def _clean(value: str) -> str:
+    plain = unicodedata.normalize("NFKC", value).translate(str.maketrans(dict.fromkeys(S.VALUE_APOSTROPHES, "'")))
+    return re.sub(r"\s+", " ", plain).strip(S.EDGE_PUNCTUATION)
+
+
+def _clean_batch(values: pd.Series) -> pd.DataFrame:
+    """Each distinct value of a batch once: surfaces repeat."""
 
-    Only values with a non-ASCII character travel to Python for NFKC.
+    codes, distinct = pd.factorize(values)
+    cleaned = [_clean(v) for v in distinct]
+    keys = [v.casefold() for v in cleaned]
+    take = lambda found: [found[i] if i >= 0 else None for i in codes]
+    return pd.DataFrame({"cleaned": take(cleaned), "key": take(keys)}, dtype=object)
+
+
+_cleaned = F.pandas_udf(
+    _clean_batch, T.StructType([T.StructField("cleaned", T.StringType()), T.StructField("key", T.StringType())])
+)
+
+
+def cleaned_surface(value: Column) -> Column:
+    """``struct<cleaned,key>``: harmless typography removed, spelling and case kept, and the case folded key.
+
+    Values with a non-ASCII character travel to Python, once for both, each distinct one of a batch being
+    worked on once; all others stay in the JVM.
     """
 
-    composed = F.coalesce(_nfkc(F.when(_beyond_ascii(value), value)), value)
-    straight = F.translate(composed, S.VALUE_APOSTROPHES, "'" * len(S.VALUE_APOSTROPHES))
-    single = F.regexp_replace(straight, r"(?U)[\s\x1c-\x1f]+", " ")
-    return F.btrim(single, F.lit(S.EDGE_PUNCTUATION))
+    foreign = _cleaned(F.when(_beyond_ascii(value), value))
+    straight = F.translate(value, S.VALUE_APOSTROPHES, "'" * len(S.VALUE_APOSTROPHES))
+    plain = F.btrim(F.regexp_replace(straight, r"[\s\x1c-\x1f]+", " "), F.lit(S.EDGE_PUNCTUATION))
+    return F.struct(
+        F.coalesce(foreign["cleaned"], plain).alias("cleaned"), F.coalesce(foreign["key"], F.lower(plain)).alias("key")
+    )
 
 
-def casefold(value: Column) -> Column:
-    """Full Unicode case folding; ASCII values stay in the JVM."""
+def clean_value(value: Column) -> Column:
+    """Harmless typography removed, spelling and case kept."""
 
-    return F.coalesce(_casefold(F.when(_beyond_ascii(value), value)), F.lower(value))
+    return cleaned_surface(value)["cleaned"]
 
 
 def casefold_key(value: Column) -> Column:
     """Case-insensitive lookup key of a surface."""
 
-    return casefold(clean_value(value))
+    return cleaned_surface(value)["key"]
 
 
 def quoted(value: Column) -> Column:

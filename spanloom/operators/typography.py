@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from spanloom.operators.rows import each
 from spanloom.functions.text import (
     apostrophe_matches,
-    casefold,
+    casefold_key,
     clean_value,
+    cleaned_surface,
     normalize_apostrophes,
     with_surfaces,
 )
@@ -57,7 +58,7 @@ def alias_index(aliases: DataFrame) -> DataFrame:
     """
 
     cleaned = aliases.select(
-        "label", casefold(clean_value(F.col("alias"))).alias("alias_key"),
+        "label", casefold_key(F.col("alias")).alias("alias_key"),
         clean_value(F.col("canonical")).alias("canonical"),
     )
     index = cleaned.groupBy("label", "alias_key").agg(
@@ -88,8 +89,8 @@ def surfaces(records: DataFrame, *keep: str) -> DataFrame:
 def alias_join(spans: DataFrame, index: DataFrame) -> DataFrame:
     """Span rows with ``surface`` get ``normalized``: the canonical name or the cleaned surface."""
 
-    cleaned = spans.withColumn("cleaned", clean_value(F.col("surface")))
-    keyed = cleaned.withColumn("alias_key", casefold(F.col("cleaned")))
+    named = spans.withColumn("named", cleaned_surface(F.col("surface")))
+    keyed = named.withColumns({"cleaned": F.col("named.cleaned"), "alias_key": F.col("named.key")})
     usable = index.filter("error is null").select("label", "alias_key", "canonical")
     joined = lookup_join(keyed, usable, ["label", "alias_key"])
     return joined.select(

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from spanloom import schema as S
 from spanloom.functions import text as X
 from spanloom.functions.arrays import running_sum
 
@@ -82,3 +83,20 @@ def test_quoted_is_a_python_literal(spark):
 def test_running_sum_handles_zeros(ev):
     assert ev({"n": ([0, 3, 0, 2], "array<int>")}, running_sum(F.col("n"))) == [0, 3, 3, 5]
     assert ev({"n": ([], "array<int>")}, running_sum(F.col("n"))) == []
+
+
+def test_cleaned_surfaces_take_one_python_pass(spark):
+    import re
+    import unicodedata
+
+    values = ["  Plain,  VALUE. ", "Oʻzbek iston", "‘ﬁne’ Straße", "ǅ\x1c x", "", " ", None, "İstanbul", "a\u0085b", "«Кино»"] * 3
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v string").repartition(2)
+    rows = df.select("v", X.cleaned_surface(F.col("v")).alias("c"))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for r in rows.collect():
+        if r.v is None:
+            assert (r.c.cleaned, r.c.key) == (None, None)
+            continue
+        plain = "".join("'" if c in S.VALUE_APOSTROPHES else c for c in unicodedata.normalize("NFKC", r.v))
+        want = re.sub(r"\s+", " ", plain).strip(S.EDGE_PUNCTUATION)
+        assert (r.c.cleaned, r.c.key) == (want, want.casefold())
