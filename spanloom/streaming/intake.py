@@ -5,10 +5,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from spanloom.operators.rows import each
-from spanloom.functions.text import casefold, clean_value, with_surfaces
+from spanloom.functions.text import cleaned_surface, with_surfaces
 from spanloom.sources.records import parse_records
 
 
@@ -33,48 +33,97 @@ def parse_stream(lines: DataFrame, require_entities: bool = False) -> DataFrame:
     return parsed.withColumnRenamed("ord", "arrived")
 
 
-def stream_intake(parsed: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Valid records, each hash once within the watermark.
+class FirstLines(StatefulProcessor):
+    """Per hash a mark that a line of it was accepted, which a timer removes after ``delay``."""
 
-    The state holds the hashes of the last ``delay`` only; a hash returning later counts
-    as new, which is as far as an unbounded stream can promise uniqueness.
-    """
+    def __init__(self, delay_ms: int):
+        self.delay_ms = delay_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.mark = handle.getValueState("accepted", "accepted boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        seen = self.mark.exists()
+        for chunk in rows:
+            errors = [None if not seen and i == 0 else "duplicate_hash" for i in range(len(chunk))]
+            if not seen and len(chunk):
+                seen = True
+                at = chunk["arrived"].iloc[0]
+                at = at if at.tzinfo else at.tz_localize("UTC")
+                self.mark.update((True,))
+                self.handle.registerTimer(max(at.value // 1_000_000, timers.getCurrentWatermarkInMs()) + self.delay_ms)
+            yield chunk.assign(error=pd.Series(errors, index=chunk.index, dtype=object))
 
-    good = parsed.filter("error is null").drop("error", "value")
-    return good.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["hash"])
+    def handleExpiredTimer(self, key: tuple, timers: object, expired: object) -> Iterator[pd.DataFrame]:
+        self.mark.clear()
+        yield from ()
 
+    def close(self) -> None:
+        pass
 
-def stream_quarantine(parsed: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """``(arrived, hash, value, error)`` of rejected lines and, as ``duplicate_hash``, of repeats.
 
-    Each hash has a line that is no repeat within the watermark, whichever comes first in its batch; all
-    further ones, also those with another text, are listed.  The state is a mark per hash, as in
-    ``stream_intake``.  Of two lines of one batch either may be the first there and here: compare by
-    ``hash`` to see what a repeat clashes with.
+def stream_checked(parsed: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Every arriving line once, with ``error``: ``arrived, hash, value, text, entities, error``.
+
+    ``entities`` is JSON text.  A line without an error is accepted, and each hash has one accepted line
+    within ``delay``; its other lines, also those with another text, are ``duplicate_hash``.  One operator
+    decides both, so that what is accepted and what is rejected add up to what arrived.  The state is one mark
+    per hash that a timer on the arrival removes; it needs the RocksDB state store (``use_state_store``).
     """
 
-    rejected = parsed.filter("error is not null").select("arrived", "hash", "value", "error")
-    good = parsed.filter("error is null").select("arrived", "hash", "value").withWatermark("arrived", delay)
-    keep = pd.Timedelta(delay) // pd.Timedelta(milliseconds=1)
-
-    def repeats(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen, last = state.exists, None
-        for chunk in chunks:
-            last = chunk["arrived"].max() if last is None else max(last, chunk["arrived"].max())
-            again = chunk if seen else chunk.iloc[1:]
-            seen = True
-            yield again.assign(error="duplicate_hash")[["arrived", "hash", "value", "error"]]
-        state.update((True,))
-        arrived = last.value // 1_000_000 if last.tzinfo else last.tz_localize("UTC").value // 1_000_000
-        state.setTimeoutTimestamp(max(arrived, state.getCurrentWatermarkMs()) + keep + 1)
-
-    found = good.groupBy("hash").applyInPandasWithState(
-        repeats, "arrived timestamp, hash string, value string, error string", "seen boolean", "append", "EventTimeTimeout"
+    columns = ["arrived", "hash", "value", "text", "entities"]
+    listed = F.to_json("entities") if "entities" in parsed.columns else F.lit(None).cast("string")
+    lines = parsed.withColumn("entities", listed)
+    rejected = lines.filter("error is not null").select(*columns, "error")
+    decided = (
+        lines.filter("error is null")
+        .select(*columns)
+        .withWatermark("arrived", "0 seconds")
+        .groupBy("hash")
+        .transformWithStateInPandas(
+            FirstLines(pd.Timedelta(delay) // pd.Timedelta(milliseconds=1)),
+            "arrived timestamp, hash string, value string, text string, entities string, error string",
+            "Append",
+            "EventTime",
+        )
+    )
+    return rejected.unionByName(decided)
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Keep the state of streams in RocksDB on the executors' disks, with its changes in the checkpoint."""
+
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
+def write_checked(checked: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Start the stream into one table partitioned by ``kept``, so that both parts are committed together."""
+
+    return (
+        checked.withColumn("kept", F.col("error").isNull())
+        .writeStream.format("parquet")
+        .partitionBy("kept")
+        .option("checkpointLocation", checkpoint)
+        .option("path", folder)
+        .trigger(availableNow=True)
+        .start()
     )
-    return rejected.unionByName(found)
+
+
+def stream_intake(checked: DataFrame) -> DataFrame:
+    """The accepted lines of ``stream_checked`` or of the table it was written to."""
+
+    return checked.filter("error is null").select("arrived", "hash", "text", "entities")
+
+
+def stream_quarantine(checked: DataFrame) -> DataFrame:
+    """``(arrived, hash, value, error)`` of the rejected lines and of repeats, as ``duplicate_hash``."""
+
+    return checked.filter("error is not null").select("arrived", "hash", "value", "error")
 
 
 def stream_normalize(predictions: DataFrame, index: DataFrame) -> DataFrame:
@@ -86,8 +135,8 @@ def stream_normalize(predictions: DataFrame, index: DataFrame) -> DataFrame:
 
     listed = with_surfaces(F.col("text"), F.col("entities"))
     rows = each(predictions, ["hash"], listed)
-    cleaned = rows.withColumn("cleaned", clean_value(F.col("surface")))
-    keyed = cleaned.withColumn("alias_key", casefold(F.col("cleaned")))
+    named = rows.withColumn("named", cleaned_surface(F.col("surface")))
+    keyed = named.withColumns({"cleaned": F.col("named.cleaned"), "alias_key": F.col("named.key")})
     usable = index.filter("error is null").select("label", "alias_key", "canonical")
     return keyed.join(usable, ["label", "alias_key"], "left").select(
         "hash", "label", "start", "end", "surface", F.coalesce("canonical", "cleaned").alias("normalized")

@@ -159,17 +159,24 @@ def _drain(stream, spark, path):
     return spark.read.schema(schema).parquet(path)
 
 
+def _checked(spark, sf):
+    """The table of all arrived lines, each accepted or rejected."""
+
+    folder, table = scratch(spark), scratch(spark)
+    _arrivals(spark, sf, folder)
+    intake.use_state_store(spark)
+    checked = intake.stream_checked(intake.parse_stream(intake.read_stream(spark, folder)))
+    intake.write_checked(checked, table, f"{table}-state").awaitTermination()
+    return spark.read.schema(checked.schema).parquet(table)
+
+
 @query(
     "stream_intake",
     """SELECT DISTINCT sha256(text) AS hash, md5(text) AS text_md5 FROM conversations
 WHERE substr(md5(text || '|' || turn), 1, 1) NOT IN ('0', '1')""",
 )
 def _(spark, sf):
-    folder = scratch(spark)
-    _arrivals(spark, sf, folder)
-    parsed = intake.parse_stream(intake.read_stream(spark, folder))
-    good = intake.stream_intake(parsed).select("hash", F.md5("text").alias("text_md5"))
-    return _drain(good, spark, scratch(spark))
+    return intake.stream_intake(_checked(spark, sf)).select("hash", F.md5("text").alias("text_md5"))
 
 
 @query(
@@ -180,10 +187,7 @@ UNION ALL SELECT 'duplicate_hash', (sum(CASE WHEN d IN ('2', '3', '4', '5') THEN
 FROM turns WHERE d NOT IN ('0', '1')""",
 )
 def _(spark, sf):
-    folder = scratch(spark)
-    _arrivals(spark, sf, folder)
-    parsed = intake.parse_stream(intake.read_stream(spark, folder))
-    bad = _drain(intake.stream_quarantine(parsed), spark, scratch(spark))
+    bad = intake.stream_quarantine(_checked(spark, sf))
     return bad.groupBy("error").agg(F.count("*").alias("n"))
 
 
