@@ -2,9 +2,9 @@
 
 Row order inside a sheet (or a whole dataset) is sequential, but one task per sheet
 would not scale: a sheet can hold most of the corpus.  Order is therefore cut into
-fixed blocks.  Each block is scanned on its own, one summary row per block is scanned
-to find what each block inherits from its predecessors, and the summary is joined
-back on the block.  The sequential part sees rows / BLOCK rows.
+fixed blocks.  Each block is scanned on its own and written with what its rows know, one
+summary row per block is scanned to find what each block inherits from its predecessors, and
+the summary is joined back on the block.  The sequential part sees rows / BLOCK rows.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from spanloom.operators.materialize import materialize
+
 BLOCK = 1_000_000
 
 
@@ -26,52 +28,42 @@ def contiguous_groups(
 
     scan = W.partitionBy(key, "block").orderBy(order)
     upto = scan.rowsBetween(W.unboundedPreceding, W.currentRow)
-
-    def blocked(*columns: str) -> DataFrame:
-        df = rows.select(*columns, F.floor(F.col(order) / block).alias("block"))
-        before = F.lag(value).over(scan)
-        return df.withColumn("changed", (before != F.col(value))).withColumn("leads", before.isNull())
-
-    narrow = blocked(key, order, value)
-    summary = narrow.groupBy(key, "block").agg(
+    # the only pass over the source: all that a row knows within its block is written beside it
+    before = F.lag(value).over(scan)
+    marked = rows.withColumn("block", F.floor(F.col(order) / block)).withColumn("changed", F.coalesce(before != F.col(value), F.lit(False)))
+    marked = materialize(
+        marked.withColumns(
+            {
+                "changes_here": F.count_if("changed").over(upto),
+                "start_here": F.max(F.when(F.col("changed"), F.col(order))).over(upto),
+            }
+        ).drop("changed")
+    )
+    summary = marked.groupBy(key, "block").agg(
         F.min_by(value, order).alias("first"),
         F.max_by(value, order).alias("last"),
         F.min(order).alias("first_row"),
-        F.max(F.when(F.col("changed"), F.col(order))).alias("last_change"),
-        F.count_if("changed").alias("changes"),
+        F.max("start_here").alias("last_change"),
+        F.max("changes_here").alias("changes"),
     )
     chain = W.partitionBy(key).orderBy("block")
     earlier = chain.rowsBetween(W.unboundedPreceding, -1)
-    inherited = (
-        summary.withColumn(
-            "opens", ~F.lag("last").over(chain).eqNullSafe(F.col("first"))
-        )
-        .withColumn(
-            "latest", F.coalesce("last_change", F.when(F.col("opens"), F.col("first_row")))
-        )
-        .select(
-            key,
-            "block",
-            "opens",
-            F.last("latest", ignorenulls=True).over(earlier).alias("open_start"),
-            F.coalesce(
-                F.sum(F.col("changes") + F.col("opens").cast("int")).over(earlier), F.lit(0)
-            ).alias("open_no"),
-        )
+    opened = summary.withColumn("opens", ~F.lag("last").over(chain).eqNullSafe(F.col("first")))
+    inherited = opened.withColumn(
+        "latest", F.coalesce("last_change", F.when(F.col("opens"), F.col("first_row")))
+    ).select(
+        key,
+        "block",
+        # the run that the first rows of the block belong to
+        F.when(F.col("opens"), F.col("first_row")).otherwise(F.last("latest", ignorenulls=True).over(earlier)).alias("open_start"),
+        (
+            F.coalesce(F.sum(F.col("changes") + F.col("opens").cast("int")).over(earlier), F.lit(0)) + F.col("opens").cast("int")
+        ).alias("open_no"),
     )
-    marked = blocked(*rows.columns).join(inherited, [key, "block"])
-    starts = F.col("changed") | (F.col("leads") & F.col("opens"))
-    starts = F.coalesce(starts, F.lit(False))
-    return (
-        marked.withColumn("starts", starts)
-        .withColumn(
-            "run_start",
-            F.coalesce(
-                F.max(F.when(F.col("starts"), F.col(order))).over(upto), F.col("open_start")
-            ),
-        )
-        .withColumn("run_no", F.col("open_no") + F.sum(F.col("starts").cast("bigint")).over(upto))
-        .select(*rows.columns, "run_start", "run_no")
+    return marked.join(inherited, [key, "block"]).select(
+        *rows.columns,
+        F.coalesce("start_here", "open_start").alias("run_start"),
+        (F.col("open_no") + F.col("changes_here")).alias("run_no"),
     )
 
 
