@@ -240,6 +240,23 @@ def test_corpus_builds(spark, tmp_path):
     assert read_records(spark, f"{three}/train").count() == 5
 
 
+def test_long_files_are_digested_in_chunks(spark, tmp_path):
+    import hashlib
+    import random
+
+    folder = tmp_path / "some files"
+    folder.mkdir()
+    want = {}
+    for i, size in enumerate((0, 10, 11, 70, 100_003)):
+        data = random.Random(i).randbytes(size)
+        (folder / f"f%20#{i} x").write_bytes(data)
+        want[f"f%20#{i} x"] = (size, hashlib.sha256(data).hexdigest())
+    for whole in (0, 10, 1 << 20):
+        rows = file_digests(spark, [str(folder), str(tmp_path / "absent")], whole=whole, chunk=7).collect()
+        assert {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in rows} == want
+    assert file_digests(spark, [str(tmp_path / "absent")]).count() == 0
+
+
 def test_fingerprints(spark, tmp_path):
     path = dump(tmp_path / "a.txt", "abc")
     rows = file_digests(spark, [path, str(tmp_path / "none")]).collect()
