@@ -1,9 +1,10 @@
 """URL filters: listed rules first, else a tree of path templates judged by labelled purity.
 
 Pages that a rule decides are the labelled ones.  Per host, variable parts of path segments
-become wildcards; at crowded levels all children but those whose labels differ become one; sibling branches with the same rest whose
-block shares do not differ significantly are merged.  A template is rejected when its share
-of blocked labels, smoothed by that of the same path on all hosts, is high.
+become wildcards; sibling branches with the same rest whose block shares do not differ significantly are
+merged into one, however many they are, so that unlabelled siblings become a wildcard and a section whose labels differ
+stays a branch of its own.  A template is rejected when its share of blocked labels, smoothed by
+that of the same path on all hosts, is high.
 """
 
 from collections.abc import Sequence
@@ -57,7 +58,6 @@ def path_shape(path: str = "path") -> Column:
 def judge_urls(
     pages: DataFrame,
     rules: Sequence[Rule],
-    max_children: int = 30,
     strength: float = 4.0,
     max_z: float = 1.645,
     reject_from: float = 0.7,
@@ -69,7 +69,7 @@ def judge_urls(
     ``strength`` pseudo-labels come from the same shape on all hosts, and a template whose block
     share reaches ``reject_from`` is blocked.  Null urls, and those without ``://``, have an empty host
     and path and the empty template.  Repeated rows are judged alike.  Without any labelled page
-    every template has the share one half, and is allowed.
+    every template has the share one half, and is allowed.  Paths may have any depth.
 
     The tree is built on the distinct shapes per host, counted before anything is shuffled.
     """
@@ -85,12 +85,8 @@ def judge_urls(
         F.count(F.when(F.col("listed") == "allow", 1)).alias("allowed"),
         F.count(F.when(F.col("listed") == "block", 1)).alias("blocked"),
     )
-    branches = staged(counted, "url-branches")
-    levels = open_levels(branches)
-    branches = crowded_levels(branches, levels, max_children, strength, max_z)
-    branches = staged(with_prior(branches, strength), "url-prior")
-    for level in levels:
-        branches = staged(merge_level(branches, level, max_z), "url-merged")
+    branches = staged(with_prior(staged(counted, "url-branches").withColumn("template", F.col("shape")), strength), "url-prior")
+    branches = merged_branches(branches, max_z)
     judged = branches.groupBy("host", "template").agg(
         F.round(F.sum("pseudo_blocked") / F.sum(F.col("pseudo_blocked") + F.col("pseudo_allowed")), 6).alias("block_share")
     )
@@ -103,71 +99,21 @@ def judge_urls(
     )
 
 
-def open_levels(branches: DataFrame) -> list[int]:
-    """The levels, however deep, at which a host has different segments in two shapes.
+def open_levels(branches: DataFrame) -> DataFrame:
+    """``host, levels``: the places, from 0, at which two shapes of a host differ.
 
-    Elsewhere there is nothing to generalise, so one overlong path adds no rounds.
+    Elsewhere there is nothing to generalise.
     """
 
     each = branches.select("host", F.posexplode("shape").alias("at", "segment"))
     ends = each.groupBy("host", "at").agg(F.min("segment").alias("low"), F.max("segment").alias("high"))
-    return sorted(r["at"] + 1 for r in ends.where("low <> high").select("at").distinct().collect())
+    return ends.where("low <> high").groupBy("host").agg(F.sort_array(F.collect_list("at")).alias("levels"))
 
 
-def crowded_levels(branches: DataFrame, levels: Sequence[int], max_children: int, strength: float, max_z: float) -> DataFrame:
-    """Add ``template``: the shape with ``*`` at levels where a node has too many children.
+def starred(places: Column) -> Column:
+    """The template with ``*`` at ``places``."""
 
-    A child with labels that differ from its siblings' stays a branch of its own, however many there
-    are.  It is compared as a whole and in each of its branches with what all siblings have there, by the
-    test of ``merge_level``.
-    """
-
-    out = branches.withColumn("template", F.col("shape"))
-    for level in levels:
-        node = out.where(F.size("template") >= level).select(
-            "host",
-            F.slice("template", 1, level - 1).alias("above"),
-            F.col("template")[level - 1].alias("child"),
-            F.expr(f"slice(template, {level + 1}, size(template))").alias("below"),
-            "allowed",
-            "blocked",
-        )
-        crowded = (
-            node.select("host", "above", "child").distinct().groupBy("host", "above").count().where(F.col("count") > max_children)
-            .select(F.col("host").alias("h"), "above")
-        )
-        labelled = node.where("allowed + blocked > 0").withColumn("below", F.explode(F.array("below", F.lit(None))))
-        each = labelled.groupBy("host", "above", "child", "below").agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
-        pooled = each.groupBy("host", "above", "below").agg((F.sum("b") / F.sum(F.col("a") + F.col("b"))).alias("p"))
-        pooled = pooled.where("p > 0 and p < 1").withColumnsRenamed({"host": "h", "above": "v", "below": "w"})
-        n = F.col("a") + F.col("b") + F.lit(strength)
-        share = (F.col("b") + F.lit(strength) * F.col("p")) / n
-        z = F.abs(share - F.col("p")) / F.sqrt(F.col("p") * (1 - F.col("p")) / n)
-        of = (F.col("host") == F.col("h")) & (F.col("above") == F.col("v")) & F.col("below").eqNullSafe(F.col("w"))
-        differ = (
-            each.join(pooled, of)
-            .where(F.round(z, 6) > max_z)
-            .select(F.col("host").alias("dh"), F.col("above").alias("dv"), F.col("child").alias("own"))
-            .distinct()
-        )
-        here = (F.col("host") == F.col("h")) & (F.slice("template", 1, level - 1) == F.col("above")) & (F.size("template") >= level)
-        kept = (
-            (F.col("host") == F.col("dh"))
-            & (F.slice("template", 1, level - 1) == F.col("dv"))
-            & (F.col("template")[level - 1] == F.col("own"))
-        )
-        star = F.col("h").isNotNull() & F.col("dh").isNull()
-        out = (
-            out.join(crowded, here, "left")
-            .join(differ, kept, "left")
-            .select(*branches.columns, F.when(star, _starred(level)).otherwise(F.col("template")).alias("template"))
-        )
-        out = staged(out, "url-levels")  # each level reads the one before several times
-    return out
-
-
-def _starred(level: int) -> Column:
-    return F.transform("template", lambda s, i: F.when(i == level - 1, F.lit("*")).otherwise(s))
+    return F.transform("template", lambda s, i: F.when(F.array_contains(places, i), F.lit("*")).otherwise(s))
 
 
 def with_prior(branches: DataFrame, strength: float) -> DataFrame:
@@ -184,22 +130,39 @@ def with_prior(branches: DataFrame, strength: float) -> DataFrame:
     )
 
 
-def merge_level(branches: DataFrame, level: int, max_z: float) -> DataFrame:
-    """Star the segment ``level`` of siblings whose block shares do not differ from the pooled one."""
+def merged_branches(branches: DataFrame, max_z: float) -> DataFrame:
+    """Branches with the templates that are left when no more siblings are alike.
 
-    key = {"host_": F.col("host"), "rest_": F.when(F.size("template") >= level, _starred(level))}
-    keyed = branches.withColumns(key)
-    each = keyed.where("rest_ is not null").groupBy("host_", "rest_", "template").agg(
-        F.sum("pseudo_allowed").alias("a"), F.sum("pseudo_blocked").alias("b")
-    )
-    pooled = each.groupBy("host_", "rest_").agg(
-        F.count("*").alias("siblings"), (F.sum("b") / F.sum(F.col("a") + F.col("b"))).alias("p")
-    )
+    Every round tests all levels of all hosts at once, so the rounds follow the
+    merges that depend on each other and not the depth of the paths.
+    """
+
+    levels = staged(open_levels(branches), "url-levels")
+    while True:
+        marks = staged(alike_siblings(branches.join(levels, "host"), max_z), "url-marks")
+        if not marks.limit(1).count():
+            return branches
+        named = marks.withColumnsRenamed({"host": "h", "template": "t"})
+        joined = branches.join(named, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")), "left")
+        template = F.when(F.col("places").isNull(), F.col("template")).otherwise(starred(F.col("places")))
+        branches = staged(joined.select(*[c for c in branches.columns if c != "template"], template.alias("template")), "url-merged")
+
+
+def alike_siblings(branches: DataFrame, max_z: float) -> DataFrame:
+    """``host, template, places``: where the block share of a template does not differ from that of its siblings.
+
+    Siblings differ in one segment only and are compared with what they have together; a segment is
+    starred if at least two of them are alike.
+    """
+
+    one = branches.groupBy("host", "template", "levels").agg(F.sum("pseudo_allowed").alias("a"), F.sum("pseudo_blocked").alias("b"))
+    each = one.select("host", "template", "a", "b", F.explode("levels").alias("at")).where(F.col("at") < F.size("template"))
+    each = each.withColumn("rest", starred(F.array("at")))
+    sibling = ["host", "at", "rest"]
+    pooled = each.groupBy(*sibling).agg(F.count("*").alias("siblings"), (F.sum("b") / F.sum(F.col("a") + F.col("b"))).alias("p"))
     n = F.col("a") + F.col("b")
     z = F.abs(F.col("b") / n - F.col("p")) / F.sqrt(F.col("p") * (1 - F.col("p")) / n)
-    alike = each.join(pooled, ["host_", "rest_"]).where((F.col("siblings") > 1) & (F.round(z, 6) <= max_z))
-    alike = alike.groupBy("host_", "rest_").agg(F.count("*").alias("merging")).where("merging > 1").join(alike, ["host_", "rest_"])
-    marks = alike.select(F.col("host_").alias("h"), F.col("template").alias("t"), F.col("rest_").alias("merged"))
-    return branches.join(marks, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")), "left").select(
-        *[c for c in branches.columns if c != "template"], F.coalesce("merged", "template").alias("template")
-    )
+    alike = each.join(pooled.where("siblings > 1"), sibling).where(F.round(z, 6) <= max_z)
+    several = alike.groupBy(*sibling).count().where("count > 1").drop("count")
+    own = F.get("template", F.col("at")) != "*"
+    return alike.join(several, sibling).where(own).groupBy("host", "template").agg(F.sort_array(F.collect_list("at")).alias("places"))

@@ -341,6 +341,103 @@ def test_a_blocked_section_stays_apart_among_many(spark):
     assert {r.template for r in got} == {"/ab/{n}", "/*/{n}"}
 
 
+def plain_templates(rows, max_z=1.645, strength=4.0):
+    """Templates and block shares of ``(host, shape, allowed, blocked)`` by the definition of the tree."""
+
+    ga, gb = {}, {}
+    for _, shape, a, b in rows:
+        ga[shape], gb[shape] = ga.get(shape, 0) + a, gb.get(shape, 0) + b
+    base = (sum(gb.values()) + 1) / (sum(ga.values()) + sum(gb.values()) + 2)
+    state = {}
+    for host, shape, a, b in rows:
+        prior = (gb[shape] + strength * base) / (ga[shape] + gb[shape] + strength)
+        state[host, shape] = [shape, a + strength * (1 - prior), b + strength * prior]
+    while True:
+        sums = {}
+        for (host, _), (t, a, b) in state.items():
+            x = sums.setdefault((host, t), [0.0, 0.0])
+            x[0], x[1] = x[0] + a, x[1] + b
+        groups = {}
+        for (host, t), (a, b) in sums.items():
+            for at in range(len(t)):
+                groups.setdefault((host, at, (*t[:at], "*", *t[at + 1 :])), []).append((t, a, b))
+        marks = {}
+        for (host, at, _), own in groups.items():
+            p = sum(b for _, _, b in own) / sum(a + b for _, a, b in own)
+            alike = [t for t, a, b in own if round(abs(b / (a + b) - p) / (p * (1 - p) / (a + b)) ** 0.5, 6) <= max_z]
+            for t in alike if len(own) > 1 and len(alike) > 1 else ():
+                if t[at] != "*":
+                    marks.setdefault((host, t), set()).add(at)
+        if not marks:
+            break
+        for key, x in state.items():
+            x[0] = tuple("*" if i in marks.get((key[0], x[0]), ()) else seg for i, seg in enumerate(x[0]))
+    shares = {}
+    for (host, _), (t, a, b) in state.items():
+        x = shares.setdefault((host, t), [0.0, 0.0])
+        x[0], x[1] = x[0] + a, x[1] + b
+    return {k: ("/" + "/".join(t), shares[k[0], t][1] / sum(shares[k[0], t])) for k, (t, _, _) in state.items()}
+
+
+def test_templates_equal_the_plain_tree(spark):
+    rng = random.Random(21)
+    pages, rules, rows = [], [], {}
+    for host in ("h1.org", "h2.org", "h3.org"):
+        for _ in range(60):
+            shape = tuple(rng.choice("abcde") for _ in range(rng.randint(0, 4)))
+            path = "/" + "/".join(shape)
+            for kind in ("allow", "block", None):
+                for _ in range(rng.choice([0, 0, 1, 3]) if shape[:1] != ("a",) or kind != "allow" else 0):
+                    # a listed page has a query of its own kind: rules go by the end of the path
+                    pages.append((host, shape, kind))
+    urls = []
+    for i, (host, shape, kind) in enumerate(pages):
+        tail = {"allow": "/{n}1", "block": "/{n}2", None: "/{n}3"}[kind].replace("{n}", "")
+        urls.append((i, f"http://{host}/" + "/".join(shape) + tail))
+        own = rows.setdefault((host, (*shape, "{n}")), [0, 0])
+        own[0] += kind == "allow"
+        own[1] += kind == "block"
+        if kind:
+            rules.append((f"{host}/" + "/".join(shape) + tail, kind))
+    got = judge_urls(spark.createDataFrame(urls, "page_id long, url string"), sorted(set(rules))[:1000]).collect()
+    labels = {}
+    for r in got:
+        key = (r.host, tuple(x for x in "".join("{n}" if c.isdigit() else c for c in r.path).split("/") if x))
+        own = labels.setdefault(key, [0, 0])
+        if r.rule:
+            own[r.verdict == "block"] += 1
+    want = plain_templates([(h, s, a, b) for (h, s), (a, b) in labels.items()])
+    for r in got:
+        key = (r.host, tuple(x for x in "".join("{n}" if c.isdigit() else c for c in r.path).split("/") if x))
+        template, share = want[key]
+        assert r.template == template and abs(r.block_share - share) < 1e-6
+        assert r.rule or r.verdict == ("block" if r.block_share >= 0.7 else "allow")
+    assert any("*" in r.template for r in got) and any("*" not in r.template for r in got)
+
+
+@pytest.mark.parametrize("sections", [29, 31, 60])
+def test_verdicts_do_not_depend_on_the_number_of_siblings(spark, sections):
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(sections)]
+    rules = [(f"many.org/{s}/1{k}", "block" if i % 2 else "allow") for i, s in enumerate(names) for k in range(3)]
+    urls = [f"http://many.org/{s}/{n}" for s in names for n in (10, 11, 12, 20, 21)]
+    got = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    verdicts = {(names.index(r.path.split("/")[1]) % 2, r.verdict) for r in got if r.rule is None}
+    assert verdicts == {(0, "allow"), (1, "block")}
+
+
+def test_deep_paths_of_one_host_add_no_rounds(spark, monkeypatch):
+    from spanloom.llm import url_templates
+
+    rounds = []
+    original = url_templates.alike_siblings
+    monkeypatch.setattr(url_templates, "alike_siblings", lambda *a: (rounds.append(1), original(*a))[1])
+    urls = [f"http://trap.org/" + "/".join(random.Random(i * 2 + j).choice("xy") for j in range(300)) for i in range(6)]
+    urls += [f"http://plain.org/{c}/page" for c in "abc"]
+    got = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), RULES).collect()
+    assert {r.template for r in got if r.host == "plain.org"} == {"/*/page"}
+    assert len(rounds) <= 3
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     rng = random.Random(10)
     rows = edge_rows() + [(100 + i, prose(rng, 150), "en", "a", 0) for i in range(40)]
