@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ PROBES = 5
 SLICE_BYTES = 1_000_000
 CHUNK = 1 << 17
 LOWEST = -(1 << 63)
+MAX_BLOCKS = 1 << 16
 
 _count = np.arange(1, WINDOW + 1)
 # entropy share of a byte value seen 0..64 times in a window, as integers so that sums are exact
@@ -181,30 +183,31 @@ def fingerprint_documents(docs: DataFrame, ranks: np.ndarray | None = None, bloc
     the first of the next document by falling ``doc_id``, the first following the last.  Null texts count as empty,
     null identifiers come last; rows of one identifier follow each other by digest of the text.
 
-    The identifiers are cut into blocks of about ``block_rows``; the row that begins a block
-    is also sent to the block before, so each text is shuffled once and blocks are
-    independent.
+    The identifiers, whole numbers or of a type with a text form, are cut into blocks of about ``block_rows``, at
+    most ``MAX_BLOCKS`` of them; the row that begins a block is also sent to the block before, so each text is
+    shuffled once and blocks are independent.  A block is a stream: its size does not matter.
     """
 
     ranks = entropy_ranks(docs) if ranks is None else ranks
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key")
-    )
-    n = rows.count()
-    blocks = max(1, -(-n // block_rows))
-    shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)]) if blocks > 1 else F.array(F.lit(0.5))
-    top, cuts = rows.agg(F.max("key"), F.percentile_approx("key", shares, max(10_000, 20 * blocks))).first()
-    starts = np.array(sorted({top, *(cuts or [])}) if n else [0], np.int64)  # rising; block 0 is the last here
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)) if whole else F.coalesce(F.concat(F.lit("1"), F.col("doc_id").cast("string")), F.lit("0"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), own.alias("key"))
+    blocks = min(max(1, -(-rows.count() // block_rows)), MAX_BLOCKS)
+    # one row per block: its largest identifier, which begins it
+    dealt = rows.select("key").repartitionByRange(blocks, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.max("key").alias("key"))
+    borders = sorted(r["key"] for r in dealt.collect()) or [LOWEST if whole else "0"]
+    starts = np.array(borders, np.int64 if whole else object)  # rising; block 0 is the last here
+    shared = docs.sparkSession.sparkContext.broadcast(starts)
 
     @F.pandas_udf("int")
     def block_of(key: pd.Series) -> pd.Series:
-        return pd.Series(len(starts) - 1 - np.searchsorted(starts, key.to_numpy(), "left"), dtype="int32")
+        return pd.Series(len(shared.value) - 1 - np.searchsorted(shared.value, key.to_numpy(), "left"), dtype="int32")
 
     count = len(starts)
     placed = (
         rows.withColumn("block", block_of("key"))
-        .withColumn("begins", _is_start(starts)("key"))
+        .withColumn("begins", _is_start(shared)("key"))
         .withColumn(
             "to",
             F.explode(
@@ -276,10 +279,10 @@ def fingerprint_documents(docs: DataFrame, ranks: np.ndarray | None = None, bloc
     return placed.mapInArrow(compute, f"doc_id {kind}, {RESULT}")
 
 
-def _is_start(starts: np.ndarray):
+def _is_start(shared: Broadcast):
     @F.pandas_udf("boolean")
     def begins(key: pd.Series) -> pd.Series:
-        at = np.minimum(np.searchsorted(starts, key.to_numpy()), len(starts) - 1)
-        return pd.Series(starts[at] == key.to_numpy())
+        at = np.minimum(np.searchsorted(shared.value, key.to_numpy()), len(shared.value) - 1)
+        return pd.Series(shared.value[at] == key.to_numpy())
 
     return begins

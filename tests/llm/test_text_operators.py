@@ -232,6 +232,36 @@ def test_fingerprints_of_edited_texts(spark, block_rows):
     assert got[9].fingerprint == got[4].fingerprint == "" and got[9].near_next != got[9].near_edited
 
 
+def test_neighbours_by_string_identifiers(spark):
+    rng = random.Random(12)
+    texts = {f"doc-{rng.randint(0, 10**6)}-é{i}": prose(rng, 20) for i in range(40)} | {"": "first", "😀": "last one", None: "no name"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r.doc_id: r for r in fingerprint_documents(docs, block_rows=7).collect()}
+    order = sorted(texts, key=lambda k: (k is not None, k or ""), reverse=True)
+    for doc, after in zip(order, [*order[1:], order[0]], strict=True):
+        half = len(texts[doc]) // 2
+        edited = texts[doc][: len(texts[doc]) - half] + texts[after][:half]
+        assert got[doc].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+
+
+def test_words_that_sums_of_powers_confuse_have_different_hashes(spark):
+    from spanloom.llm.overlap_join import overlap_join
+
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    w = words_of(pa.array([f"{one} {two} {one}", one[:300], two[:300]]))
+    first, second, third, short, other = w.hashes().tolist()
+    assert first == third != second and short != other
+    texts = [f"x {one} y x {two} y", f"{one} two three", f"{two} two three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    judged = quality_rules(docs, language_references(docs.selectExpr("text", "'en' as lang")))
+    assert {r.doc_id: r.n_repeat_words for r in judged.collect()} == {0: 0, 1: 0, 2: 0}
+    joined = overlap_join(docs, k=4, percent=85)
+    assert {r.doc_id: r.component_id for r in joined.collect()} == {0: 0, 1: 1, 2: 2}
+
+
 def test_fingerprints_of_odd_rows(spark):
     got = fingerprint_documents(edge(spark, clash=True)).collect()
     assert len(got) == len(edge_rows())
