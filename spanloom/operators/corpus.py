@@ -2,16 +2,16 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from spanloom.operators.materialize import materialize
 from spanloom.operators.rows import each
-from spanloom.functions.text import seeded_key
+from spanloom.functions.text import mapped_label, seeded_key
 from spanloom.operators.validate import is_empty_record, prefix_source
-from spanloom.schema import ADDED_PREFIXES
+from spanloom.schema import ADDED_PREFIXES, ARRAY_LABELS, LABELS
 
 
 def dedup_against(new: DataFrame, *existing: DataFrame) -> DataFrame:
@@ -197,26 +197,102 @@ def merge_manifest(
         dropped = converted.agg(F.coalesce(F.sum("dropped_overlaps"), F.lit(0)).alias("value"))
         manifest = manifest.unionByName(_long(dropped, "dropped_overlapping_entity", "", "value"))
     if "source_labels" in converted.columns:
-        from spanloom.functions.text import mapped_label
-        from spanloom.schema import ARRAY_LABELS
-
-        names = (
-            each(converted, [], "source_labels", "key")
-            .groupBy("key")
-            .agg(F.count("*").alias("value"))
-        )
-        manifest = manifest.unionByName(_long(names, "source_label", F.col("key"), "value"))
-        manifest = manifest.unionByName(
-            _long(
-                names.filter(mapped_label(F.col("key"), ARRAY_LABELS).isNull()),
-                "dropped_label",
-                F.col("key"),
-                "value",
-            )
-        )
+        manifest = manifest.unionByName(_source_labels(converted))
     return manifest
 
 
+def observe_converted(converted: DataFrame) -> tuple[DataFrame, Observation]:
+    """Converted rows that count themselves when they are written: good ``records`` and ``dropped``."""
+
+    seen = Observation()
+    good = F.col("error").isNull() if "error" in converted.columns else F.lit(True)
+    dropped = F.col("dropped_overlaps") if "dropped_overlaps" in converted.columns else F.lit(0)
+    return converted.observe(
+        seen, F.count_if(good).alias("records"), F.coalesce(F.sum(F.when(good, dropped)), F.lit(0)).alias("dropped")
+    ), seen
+
+
+def observe_added(added: DataFrame) -> tuple[DataFrame, Observation]:
+    """Added rows that count themselves when they are written: ``records`` and the entities of each label."""
+
+    seen = Observation()
+    n_label = lambda label: F.size(F.filter("entities", lambda e: e["label"] == label))
+    sums = [F.coalesce(F.sum(n_label(label)), F.lit(0)).alias(label) for label in LABELS]
+    return added.observe(seen, F.count("*").alias("records"), *sums), seen
+
+
+def merge_report(train: DataFrame, dev: DataFrame, converted: DataFrame, seen_converted: Observation, seen_added: Observation) -> DataFrame:
+    """The rows of ``merge_manifest`` from counters taken while the tables were written.
+
+    Only the source labels, which may be any, are read again, and the numbers of train and dev
+    come from a count without columns.
+    """
+
+    n_train, n_dev, all_ = train.count(), dev.count(), seen_converted.get
+    added = dict(seen_added.get)
+    n = added.pop("records")
+    rows = [
+        ("original_train_records", "", n_train),
+        ("original_dev_records", "", n_dev),
+        ("added_records", "", n),
+        ("merged_train_records", "", n_train + n),
+        ("merged_dev_records", "", n_dev),
+        ("skipped_duplicate_text", "", all_["records"] - n),
+        *(("added_entities_by_target_label", label, k) for label, k in added.items() if k),
+    ]
+    if "dropped_overlaps" in converted.columns:
+        rows.append(("dropped_overlapping_entity", "", all_["dropped"]))
+    report = train.sparkSession.createDataFrame(rows, "metric string, key string, value bigint")
+    return report.unionByName(_source_labels(converted)) if "source_labels" in converted.columns else report
+
+
+def _source_labels(converted: DataFrame) -> DataFrame:
+    """Entities by source label, and again as ``dropped_label`` where it has no target."""
+
+    names = each(converted, [], "source_labels", "key").groupBy("key").agg(F.count("*").alias("value"))
+    unknown = mapped_label(F.col("key"), ARRAY_LABELS).isNull()
+    kinds = F.when(unknown, F.array(F.lit("source_label"), F.lit("dropped_label"))).otherwise(F.array(F.lit("source_label")))
+    return names.select(F.explode(kinds).alias("metric"), "key", "value")
+
+
+_FILTER_COUNTS = ("input", "output", "removed", "input_empty", "output_empty", "eligible", "kept_eligible")
+
+
+def observe_marked(marked: DataFrame, prefixes: tuple[str, ...] = ADDED_PREFIXES) -> tuple[DataFrame, Observation]:
+    """Rows of ``mark_empty_added`` that count themselves when they are written, per prefix."""
+
+    kept = ~F.col("removed")
+    eligible = F.col("is_empty") & F.col("source").isNotNull()
+    n_label = lambda label: F.size(F.filter("entities", lambda e: e["label"] == label))
+    sums = []
+    for i, prefix in enumerate((None, "original", *prefixes)):
+        mine = F.lit(True) if prefix is None else F.coalesce("source", F.lit("original")) == prefix
+        conditions = (F.lit(True), kept, F.col("removed"), F.col("is_empty"), F.col("is_empty") & kept, eligible, eligible & kept)
+        sums += [F.count_if(mine & c).alias(f"{i}_{name}") for name, c in zip(_FILTER_COUNTS, conditions, strict=True)]
+        for label in LABELS:
+            sums.append(F.coalesce(F.sum(F.when(mine, n_label(label))), F.lit(0)).alias(f"{i}_{label}_before"))
+            sums.append(F.coalesce(F.sum(F.when(mine & kept, n_label(label))), F.lit(0)).alias(f"{i}_{label}_after"))
+    seen = Observation()
+    return marked.observe(seen, *sums), seen
+
+
+def filter_report(spark: SparkSession, seen: Observation, prefixes: tuple[str, ...] = ADDED_PREFIXES) -> DataFrame:
+    """The rows of ``filter_manifest`` from counters taken while the kept records were written."""
+
+    counts = seen.get
+    rows = []
+    for i, prefix in enumerate((None, "original", *prefixes)):
+        n = {name: counts[f"{i}_{name}"] for name in _FILTER_COUNTS}
+        if prefix is not None and not n["input"]:
+            continue
+        entities = [counts[f"{i}_{label}_{when}"] for label in ("ORG", "NAME", "GEO") for when in ("before", "after")]
+        shares = [n["input_empty"] / n["input"] if n["input"] else 0.0, n["output_empty"] / n["output"] if n["output"] else 0.0]
+        rows.append((prefix, *n.values(), *entities, *shares))
+    names = [f"{c}_records bigint" for c in _FILTER_COUNTS]
+    names += [f"{label.lower()}_{when} bigint" for label in ("ORG", "NAME", "GEO") for when in ("before", "after")]
+    return spark.createDataFrame(rows, ", ".join(["prefix string", *names, "input_empty_share double", "output_empty_share double"]))
+
+
 def filter_manifest(marked: DataFrame) -> DataFrame:
     """``(prefix, counts..., shares)`` of one thinning, from ``mark_empty_added`` rows.
 

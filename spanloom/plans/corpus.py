@@ -1,6 +1,6 @@
 """Corpus builds: merge an outside corpus into train, thin the result."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import converters as C
@@ -25,20 +25,21 @@ def _require_good(converted: DataFrame, strict: bool) -> DataFrame:
 
 def _merge(
     spark: SparkSession, converted: DataFrame, train_path: str, dev_path: str, output: str, overwrite: bool,
-    unique_hash: bool,
+    unique_hash: bool, counted: Observation,
 ) -> DataFrame:
     if converted.limit(1).count() == 0:
         raise ValueError("no source records")
     train = read_records(spark, train_path, extra=True)
     dev = read_records(spark, dev_path, extra=True)
-    fresh = materialize(corpus.dedup_against(converted, train, dev))
+    fresh, added = corpus.observe_added(corpus.dedup_against(converted, train, dev))
+    fresh = materialize(fresh)
     if unique_hash and duplicate_hash(fresh).first() is not None:
         raise ValueError("duplicate generated hash")
     merged = corpus.append_train(train, fresh.select("ord", "hash", "text", "entities"))
     # the export keeps train before the added records
     write_jsonl(merged, f"{output}/train", overwrite=overwrite, ordered=True)
     write_jsonl(dev, f"{output}/dev", overwrite=overwrite)
-    return corpus.merge_manifest(train, dev, converted, fresh)
+    return corpus.merge_report(train, dev, converted, counted, added)
 
 
 def merge_array_corpus(
@@ -57,9 +58,10 @@ def merge_array_corpus(
     the audit.
     """
 
-    converted = materialize(C.convert_arrays(read_source_arrays(spark, source_path)))
+    converted, counted = corpus.observe_converted(C.convert_arrays(read_source_arrays(spark, source_path)))
+    converted = materialize(converted)
     good = _require_good(converted, strict)
-    manifest = materialize(_merge(spark, good, train_path, dev_path, output, overwrite, unique_hash=True))
+    manifest = materialize(_merge(spark, good, train_path, dev_path, output, overwrite, unique_hash=True, counted=counted))
     write_report(manifest, f"{output}/merge_manifest", overwrite=overwrite)
     return manifest
 
@@ -91,8 +93,9 @@ def merge_token_corpus(
     converted = C.convert_sentences(decoded).withColumn(
         "ord", F.struct(place.cast("string").alias("file"), F.lit(0).cast("bigint").alias("block"), F.col("run_no").alias("seq"))
     )
-    good = _require_good(converted, strict).drop("sheet", "run_no")
-    manifest = _merge(spark, good, train_path, dev_path, output, overwrite, unique_hash=False)
+    converted, counted = corpus.observe_converted(converted)
+    good = _require_good(materialize(converted), strict).drop("sheet", "run_no")
+    manifest = _merge(spark, good, train_path, dev_path, output, overwrite, unique_hash=False, counted=counted)
     manifest = materialize(manifest.unionByName(C.tag_quality_counts(decoded)))
     write_report(manifest, f"{output}/merge_manifest", overwrite=overwrite)
     return manifest
@@ -112,11 +115,12 @@ def thin_corpus(
     """Remove the fraction of empty added records from train, copy dev, return the audit."""
 
     train = read_records(spark, train_path, extra=True)
-    marked = corpus.mark_empty_added(train, drop_fraction, seed, prefixes)
-    kept = marked.filter(~F.col("removed")).drop("source", "is_empty", "removed")
+    marked, seen = corpus.observe_marked(corpus.mark_empty_added(train, drop_fraction, seed, prefixes), prefixes)
+    # written before the sort, whose sampling would evaluate and count the marks again
+    kept = materialize(marked.filter(~F.col("removed")).drop("source", "is_empty", "removed"))
     write_jsonl(kept, f"{output}/train", overwrite=overwrite, ordered=True)
     write_jsonl(read_records(spark, dev_path, extra=True), f"{output}/dev", overwrite=overwrite)
-    manifest = materialize(corpus.filter_manifest(marked))
+    manifest = corpus.filter_report(spark, seen, prefixes)
     changed = manifest.filter("org_before <> org_after or name_before <> name_after or geo_before <> geo_after")
     if changed.first() is not None:
         raise AssertionError("entity counts changed while removing empty records")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import corpus, scoring, typography
 from spanloom.operators.joins import lookup_join
+from spanloom.operators.materialize import materialize
 
 
 def thin_input(make):
@@ -103,3 +104,29 @@ def test_apostrophe_stats(make):
     }
     normal = typography.normalize_records(make(("a", "G'ulom", [("NAME", 0, 6)]))).select(F.length("text")).first()[0]
     assert normal == 6
+
+
+def test_counters_taken_while_writing_equal_the_manifests(spark, make):
+    marked, seen = corpus.observe_marked(corpus.mark_empty_added(thin_input(make), 0.75, 42))
+    materialize(marked.filter(~F.col("removed")))
+    report = corpus.filter_report(spark, seen)
+    want = corpus.filter_manifest(corpus.mark_empty_added(thin_input(make), 0.75, 42))
+    assert report.columns == want.columns
+    assert sorted(report.collect(), key=str) == sorted(want.collect(), key=str)
+    # nothing is read for it
+    assert "Relation [" not in report._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merge_counters_read_source_labels_only(spark, make):
+    train, dev = make(("t", "old", []), ("u", "Ali", [("NAME", 0, 3)])), make(("d", "dev", []))
+    rows = make(("n", "Ali GEO", [("NAME", 0, 3), ("GEO", 4, 7)]), ("m", "old", []), ("k", "bad", []))
+    labels = F.when(F.col("hash") == "n", F.array(F.lit("PER"), F.lit("DATE"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumns({"source_labels": labels, "dropped_overlaps": F.lit(2), "error": F.when(F.col("hash") == "k", "contract")})
+    counted, seen = corpus.observe_converted(rows)
+    counted = materialize(counted).filter("error is null")
+    added, seen_added = corpus.observe_added(corpus.dedup_against(counted, train, dev))
+    added = materialize(added)
+    report = corpus.merge_report(train, dev, counted, seen, seen_added)
+    want = corpus.merge_manifest(train, dev, counted, added)
+    assert sorted(map(tuple, report.collect())) == sorted(map(tuple, want.collect()))
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
