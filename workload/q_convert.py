@@ -12,7 +12,8 @@ from spanloom.operators import converters as C
 from spanloom.operators import corpus, scoring, typography
 from spanloom.operators.materialize import checkpoint_dir, materialize
 from spanloom.operators.overlap import drop_overlaps_longest
-from spanloom.sources.records import read_records
+from spanloom.sources.records import read_records, read_source_arrays
+from spanloom.sources.token_rows import read_token_rows
 from workload import views as V
 from workload.registry import query
 
@@ -27,23 +28,30 @@ SQL_ARRAYS = V.SQL_SURFACES + """,
 @query(
     "read_source_arrays",
     SQL_ARRAYS
-    + """
-SELECT ord, CASE WHEN substr(md5(ord || '|bad'), 1, 1) = '1' AND n > 0 THEN 'lengths'
-                 WHEN substr(md5(ord || '|bad'), 1, 1) = '0' THEN 'arrays'
-                 WHEN substr(md5(ord || '|bad'), 1, 1) = '2' AND n > 0 THEN 'surface' ELSE 'none' END AS error, n
-FROM (SELECT d.ord, count(s.hash) AS n FROM docs d LEFT JOIN source_rows s USING (hash) GROUP BY d.ord)""",
+    + """,
+ counted AS (
+  SELECT d.ord, substr(md5(d.ord || '|bad'), 1, 1) AS x, count(s.hash) AS n FROM docs d LEFT JOIN source_rows s USING (hash) GROUP BY d.ord)
+SELECT CASE WHEN x IN ('3', '4') THEN -1 ELSE ord END AS ord,
+ CASE WHEN x = '1' AND n > 0 THEN 'lengths' WHEN x = '0' THEN 'arrays' WHEN x = '2' AND n > 0 THEN 'surface'
+      WHEN x = '3' THEN 'object' WHEN x = '4' THEN 'blank' ELSE 'none' END AS error,
+ CASE WHEN x IN ('3', '4') THEN -1 ELSE n END AS n FROM counted""",
 )
 def _(spark, sf):
+    """Array rows, some of them spoilt, written as lines and read back."""
+
     d = V.hex_digit(F.col("ord"), F.lit("bad"))
-    rows = V.array_rows(spark, sf)
     labels = F.when(d == "1", F.slice("labels", 2, F.size("labels"))).when(d != "0", F.col("labels"))
     surfaces = F.when(
         d == "2", F.transform("surfaces", lambda s, i: F.when(i == 0, "").otherwise(s))
     ).otherwise(F.col("surfaces"))
-    error = C.source_array_error(F.col("text"), surfaces, F.when(F.size("labels") == 0, F.when(d != "0", F.col("labels"))).otherwise(labels))
-    return rows.select(
-        "ord", F.coalesce(error, F.lit("none")).alias("error"), F.size("surfaces").cast("bigint").alias("n")
-    )
+    fields = F.struct(F.col("ord").alias("id"), "text", surfaces.alias("entities"), labels.alias("entity_type"))
+    line = F.when(d == "3", "[1]").when(d == "4", " ").otherwise(F.to_json(fields))
+    path = f"{checkpoint_dir(spark)}/workload-{uuid.uuid4().hex}"
+    V.array_rows(spark, sf).select(line.alias("value")).write.text(path)
+    rows = read_source_arrays(spark, path)
+    error = F.coalesce("error", C.source_array_error(F.col("text"), F.col("surfaces"), F.col("labels")), F.lit("none"))
+    number = lambda c: F.coalesce(c.cast("bigint"), F.lit(-1).cast("bigint"))
+    return rows.select(number(F.col("id")).alias("ord"), error.alias("error"), number(F.size("surfaces")).alias("n"))
 
 
 @query(
@@ -136,9 +144,9 @@ def _(spark, sf):
 
 @query("read_token_rows", V.SQL_ROWS + " SELECT * FROM rows_ WHERE sheet = 'Dataset_1'")
 def _(spark, sf):
-    from spanloom.sources.token_rows import select_sheets
-
-    return select_sheets(V.token_rows(spark, sf), ("Dataset_1",)).drop("error")
+    path = f"{checkpoint_dir(spark)}/workload-{uuid.uuid4().hex}"
+    V.token_rows(spark, sf).write.parquet(path)
+    return read_token_rows(spark, path, ("Dataset_1",)).drop("error")
 
 
 @query(
