@@ -8,6 +8,7 @@ carry an ``error`` and are quarantined by the caller instead of stopping the loa
 from collections import defaultdict
 
 import pandas as pd
+from ahocorasick import Automaton
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,8 @@ from spanloom.functions.text import (
 from spanloom.operators.ordered import BLOCK, contiguous_groups
 from spanloom.operators.validate import entity_errors
 
+SEVERAL = 8  # distinct words that are worth an automaton
+
 # ---------------------------------------------------------------- parallel arrays
 
 
@@ -48,6 +51,29 @@ def source_array_error(text: Column, surfaces: Column, labels: Column) -> Column
     )
 
 
+def _occurrences(text: str, words: set[str]) -> dict[str, list[int]]:
+    """Starts of every occurrence of each word, self-overlapping ones too, rising.
+
+    Several words are found in one pass over the text by an automaton (goto and failure links).
+    """
+
+    found: dict[str, list[int]] = {word: [] for word in words}
+    if len(words) < SEVERAL:
+        for word, starts in found.items():
+            at = text.find(word)
+            while at >= 0:
+                starts.append(at)
+                at = text.find(word, at + 1)
+        return found
+    automaton = Automaton()
+    for word in words:
+        automaton.add_word(word, word)
+    automaton.make_automaton()
+    for end, word in automaton.iter(text):
+        found[word].append(end - len(word) + 1)
+    return found
+
+
 def _place(text: str, surfaces: list[str]) -> list[int | None]:
     """Start for each surface, long ones first, on free characters while there are any.
 
@@ -55,6 +81,7 @@ def _place(text: str, surfaces: list[str]) -> list[int | None]:
     cursor for free places and one for occupied ones, and neither ever moves back.
     """
 
+    occurrences = _occurrences(text, {word for word in surfaces if word})
     covered = bytearray(len(text))
     used: dict[str, set[int]] = defaultdict(set)
     free_from: dict[str, int] = defaultdict(int)
@@ -62,17 +89,18 @@ def _place(text: str, surfaces: list[str]) -> list[int | None]:
     starts: list[int | None] = [None] * len(surfaces)
     for i in sorted(range(len(surfaces)), key=lambda k: -len(surfaces[k])):
         word = surfaces[i]
-        size = len(word)
-        at = text.find(word, free_from[word])
-        while at >= 0 and covered.find(1, at, at + size) >= 0:
-            at = text.find(word, at + 1)
-        free_from[word] = at if at >= 0 else len(text)
-        if at < 0:
-            at = text.find(word, any_from[word])
-            while at in used[word]:
-                at = text.find(word, at + 1)
-            any_from[word] = at if at >= 0 else len(text)
-        if at >= 0:
+        size, places = len(word), occurrences.get(word, [])
+        n = free_from[word]
+        while n < len(places) and covered.find(1, places[n], places[n] + size) >= 0:
+            n += 1
+        free_from[word] = n
+        if n == len(places):
+            n = any_from[word]
+            while n < len(places) and places[n] in used[word]:
+                n += 1
+            any_from[word] = n
+        if n < len(places):
+            at = places[n]
             used[word].add(at)
             covered[at : at + size] = b"\x01" * size
             starts[i] = at

@@ -236,3 +236,16 @@ def test_conversion_matches_brute_force(spark):
         want = sorted(greedy(spans, lambda s: (s[1] - s[2], s[1], s[2], s[3])), key=lambda e: e[1])
         assert [tuple(e) for e in done[i]["entities"]] == want
         assert done[i]["dropped_overlaps"] == len(spans) - len(want)
+
+
+def test_one_pass_finds_the_occurrences_of_many_words(monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "".join(rng.choice("abé😀 ") for _ in range(rng.randint(0, 80)))
+        words = {"".join(rng.choice("abé😀 ") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 20))}
+        want = {w: [i for i in range(len(text)) if text.startswith(w, i)] for w in words}
+        for several in (1, 1000):
+            monkeypatch.setattr(C, "SEVERAL", several)
+            assert C._occurrences(text, words) == want
