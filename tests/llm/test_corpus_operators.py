@@ -442,7 +442,10 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     rng = random.Random(10)
     rows = edge_rows() + [(100 + i, prose(rng, 150), "en", "a", 0) for i in range(40)]
     rows += [(200, rows[-1][1] + " more", "en", "b", 0), (201, prose(rng, 150) + " idiot moron you idiot scum trash", "en", "b", 0)]
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    # names that stages use for columns of their own, and odd ones
+    own = ["score", "features", "n_words", "kept", "mix_slot", "mix_block", "group", "other__0", "k_source", "part", "a.b", "predicted"]
+    df = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit(f"own {c}").alias(c) for c in own])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
     labels = [(100 + i, 1, 0) for i in range(40)] + [(201, 0, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -451,5 +454,6 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         assert out.columns == docs.columns, name
         out.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.select(*[F.col(f"`{c}`") for c in own]).distinct().collect() == [tuple(f"own {c}" for c in own)], name
     got = {x.id for r in corpus_pipeline.run(spark, str(tmp_path)).collect() for x in r["items"]}
     assert set(range(101, 140)) <= got and 200 not in got and 1 not in got

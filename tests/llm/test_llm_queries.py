@@ -18,5 +18,5 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_registered():
-    assert {f"op{i}_" for i in range(1, 11)} == {q.split("_")[0] + "_" for q in QUERIES}
+    assert {f"op{i}_" for i in range(1, 14)} == {q.split("_")[0] + "_" for q in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
