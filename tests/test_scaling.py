@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from spanloom.operators import decode as D
 from workload import views as V
 
 
@@ -15,3 +16,19 @@ def test_spread_follows_the_size_of_the_files(spark, tmp_path, monkeypatch):
     assert dealt.rdd.getNumPartitions() == -(-size // 50_000) > spark.sparkContext.defaultParallelism
     assert dealt.count() == dealt.distinct().count() == 20_000
     assert V.spread(spark.range(3), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_mean_token_scores_groups_tokens_and_not_classes(spark, capsys):
+    rows = [
+        ("a", 0, 1, c, p)
+        for c, p in [(0, 0.5), (0, 0.25), (6, 0.1), (7, 0.3), (13, 0.4), (None, 0.9), (None, 0.7), (2, None), (-1, 0.2)]
+    ]
+    rows += [("a", None, 1, 3, 0.4), (None, 0, 1, 3, 0.4), ("b", 0, 1, 0, 0.5)]
+    df = spark.createDataFrame(rows, "hash string, start bigint, end bigint, class_id bigint, p double")
+    plain = df.groupBy("hash", "start", "end", "class_id").agg(F.avg("p").alias("p"))
+    means = D.mean_token_scores(df)
+    assert means.schema == plain.schema
+    assert not means.exceptAll(plain).count() and not plain.exceptAll(means).count()
+    means.explain()
+    keys = [line.split("keys=[")[1].split("]")[0] for line in capsys.readouterr().out.splitlines() if "HashAggregate" in line]
+    assert keys and not any("class_id" in k for k in keys)
