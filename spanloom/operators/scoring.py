@@ -5,10 +5,13 @@ Counting unions both span tables under side flags and groups by the full key
 that many rows can share.  Everything after that is arithmetic on a single row.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spanloom.operators.materialize import materialize
 from spanloom.operators.rows import each
 from spanloom.functions.arrays import index_by_end, last_end, let, run_starts
 from spanloom.functions.text import characters, cut
@@ -160,11 +163,19 @@ def metrics_by_split(gold: DataFrame, predictions: DataFrame, records: DataFrame
     """
 
     key = ["split", *KEY]
-    hits = (
-        predictions.join(gold.select(*key, F.lit(1).alias("hit")), key, "left")
-        .groupBy("split", "epoch", "label")
-        .agg(F.count("hit").alias("tp"), F.count("*").alias("predicted"))
+    # both sides are derived once; what is counted of them is small and read several times
+    sides = gold.select(*key, F.lit(None).cast(predictions.schema["epoch"].dataType).alias("epoch"), F.lit(1).alias("in_gold")).unionByName(
+        predictions.select(*key, "epoch", F.lit(0).alias("in_gold"))
+    )
+    # no key with a NULL is that of a gold span
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+    golds = F.when(whole, F.sum("in_gold").over(W.partitionBy(*key))).otherwise(F.lit(0))
+    tallies = materialize(
+        sides.withColumn("golds", golds)
+        .groupBy("in_gold", "split", "epoch", "label")
+        .agg(F.sum("golds").alias("tp"), F.sum(F.greatest("golds", F.lit(1))).alias("predicted"), F.count("*").alias("n"))
     )
+    hits, found = tallies.filter("in_gold = 0"), tallies.filter("in_gold = 1")
     per_epoch = hits.groupBy("split", "epoch").agg(
         *[
             F.coalesce(F.max(F.when(F.col("label") == label, F.col(c))), F.lit(0)).alias(f"{c}_{label}")
@@ -172,8 +183,8 @@ def metrics_by_split(gold: DataFrame, predictions: DataFrame, records: DataFrame
             for c in ("tp", "predicted")
         ]
     )
-    totals = gold.groupBy("split").agg(
-        *[F.count_if(F.col("label") == label).alias(f"gold_{label}") for label in LABELS]
+    totals = found.groupBy("split").agg(
+        *[F.coalesce(F.max(F.when(F.col("label") == label, F.col("n"))), F.lit(0)).alias(f"gold_{label}") for label in LABELS]
     )
     counts = F.array(
         *[
@@ -187,7 +198,7 @@ def metrics_by_split(gold: DataFrame, predictions: DataFrame, records: DataFrame
     )
     # one row per split; the epochs, a few numbers, come as one array
     sizes = records.groupBy("split").agg(F.count("*").alias("records"))
-    epochs = predictions.agg(F.sort_array(F.collect_set("epoch")).alias("epochs")).scalar()
+    epochs = hits.agg(F.sort_array(F.collect_set("epoch")).alias("epochs")).scalar()
     rows = sizes.withColumn("epoch", F.explode(epochs))
     filled = rows.join(per_epoch, ["split", "epoch"], "left").join(totals, "split", "left").na.fill(0)
     return each(filled, ["split", "epoch", "records"], _report_rows(counts))

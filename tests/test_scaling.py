@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from spanloom.operators import decode as D
+from spanloom.operators import scoring
 from workload import views as V
 
 
@@ -32,3 +33,22 @@ def test_mean_token_scores_groups_tokens_and_not_classes(spark, capsys):
     means.explain()
     keys = [line.split("keys=[")[1].split("]")[0] for line in capsys.readouterr().out.splitlines() if "HashAggregate" in line]
     assert keys and not any("class_id" in k for k in keys)
+
+
+def test_metrics_by_split_derives_each_side_once(spark):
+    key = "hash string, split string, label string, start bigint, end bigint"
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    gold = spark.createDataFrame([("a", "x", "ORG", 0, 1), ("a", "x", None, 2, 3), ("b", "y", "GEO", 0, 1)], key)
+    found = [("a", "x", "ORG", 0, 1, 1), ("a", "x", None, 2, 3, 1), ("a", "x", "ORG", 5, 6, 1), ("a", "x", "ORG", 0, 1, 2)]
+    preds = spark.createDataFrame(found, f"{key}, epoch int")
+    records = spark.createDataFrame([("a", "x"), ("b", "y")], "hash string, split string")
+    report = scoring.metrics_by_split(gold.mapInArrow(counted, gold.schema), preds.mapInArrow(counted, preds.schema), records)
+    rows = {(r["split"], r["epoch"]): (r["tp"], r["fp"], r["fn"], r["records"]) for r in report.filter("scope = 'micro'").collect()}
+    assert rows == {("x", 1): (1, 1, 0, 1), ("x", 2): (1, 0, 0, 1), ("y", 1): (0, 0, 1, 1), ("y", 2): (0, 0, 1, 1)}
+    assert seen.value == 7

@@ -175,7 +175,8 @@ def _split_report(spark, sf):
         ).alias("split"),
     )
     columns = ["ord", "hash", "text", "split"]
-    base = V.tokenized(by_quality.select(columns).union(docs.join(more, "ord").select(columns)))
+    # the spans of both sides are met by hash, so the texts are dealt by it and not the many spans
+    base = V.tokenized(V.spread(by_quality.select(columns).union(docs.join(more, "ord").select(columns)), "hash"))
     gold = base.select("hash", "split", V.gold_entities(F.col("tokens")).alias("entities"))
     epochs = base.filter("split <> 'silent'").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(3))))
     preds = epochs.select(
