@@ -12,15 +12,23 @@ from spanloom.functions.text import cleaned_surface, with_surfaces
 from spanloom.sources.records import parse_records
 
 
-def read_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
+def read_stream(
+    spark: SparkSession, folder: str, files_per_trigger: int = 100, bytes_per_trigger: int | None = None
+) -> DataFrame:
     """``(arrived, value)`` lines of the files appearing in ``folder``.
 
+    A batch takes ``files_per_trigger`` files or, if given, files of about ``bytes_per_trigger`` bytes.
+
     ``arrived`` is the time of the batch that read the line, whatever the age of its file, so no
     line can be late for the watermark.
     """
 
     # the source would otherwise pass over files much older than the newest
-    options = {"maxFilesPerTrigger": files_per_trigger, "maxFileAge": "36500d"}
+    options = {"maxFileAge": "36500d"}
+    if bytes_per_trigger is None:
+        options["maxFilesPerTrigger"] = files_per_trigger
+    else:
+        options["maxBytesPerTrigger"] = bytes_per_trigger
     lines = spark.readStream.options(**options).text(folder)
     return lines.select(F.current_timestamp().alias("arrived"), "value")
 

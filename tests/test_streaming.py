@@ -100,3 +100,30 @@ def test_normalization_of_arriving_predictions(spark, tmp_path):
     named = intake.stream_normalize(parsed.filter("error is null"), alias_index(aliases))
     rows = run(named, spark, tmp_path, "named").orderBy("start").collect()
     assert [(r["surface"], r["normalized"]) for r in rows] == [("Sardor", "Sardor"), ("NUKUSGA", "Nukus")]
+
+
+def test_batches_follow_bytes_and_not_the_number_of_files(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(120):
+        (folder / f"{i}.jsonl").write_text(json.dumps({"hash": f"h{i}", "text": "t"}) + "\n")
+
+    def batches(name, **limits):
+        query = (
+            intake.read_stream(spark, str(folder), **limits).writeStream.format("parquet")
+            .option("checkpointLocation", str(tmp_path / f"{name}-state"))
+            .option("path", str(tmp_path / name)).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        assert spark.read.parquet(str(tmp_path / name)).count() == 120
+        return len(list((tmp_path / f"{name}-state" / "commits").glob("[0-9]*")))
+
+    assert batches("files") == 2
+    assert batches("bytes", bytes_per_trigger=1024**2) == 1
+
+
+def test_a_batch_outweighs_the_index_it_joins():
+    from workload.q_sources import batch_bytes
+
+    assert batch_bytes(0) == 4 * 1024**3
+    assert all(n * 64 <= batch_bytes(n) for n in (10**6, 10**9, 10**12))

@@ -169,6 +169,12 @@ def _drain(stream, spark, path):
     return spark.read.schema(schema).parquet(path)
 
 
+def batch_bytes(index_bytes: int) -> int:
+    """Bytes of a batch that joins an index of ``index_bytes``: passes over the index stay a small part of the work."""
+
+    return max(4 * 1024**3, 64 * index_bytes)
+
+
 def _checked(spark, sf):
     """The table of all arrived lines, each accepted or rejected."""
 
@@ -212,8 +218,9 @@ FROM surfaces s LEFT JOIN alias_index a
 def _(spark, sf):
     folder = scratch(spark)
     write_jsonl(V.gold(spark, sf), folder)
-    parsed = intake.parse_stream(intake.read_stream(spark, folder), require_entities=True)
-    # the index is read in every batch, so it is computed once
+    # the index is read in every batch, so it is computed once, and a batch is many times its size
     index = materialize(alias_index(V.aliases(spark, sf)))
+    lines = intake.read_stream(spark, folder, bytes_per_trigger=batch_bytes(V.file_bytes(index)))
+    parsed = intake.parse_stream(lines, require_entities=True)
     named = intake.stream_normalize(parsed.filter("error is null"), index)
     return _drain(named, spark, scratch(spark))
