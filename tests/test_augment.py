@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,39 @@ def test_neighbours_leave_out_cells_that_cannot_improve(spark):
     assert got == want
 
 
+def test_a_cluster_that_fits_a_task_is_one_block_and_never_meets_itself_again(spark):
+    rows = [("ORG", 0, f"s{i:04d}", [float(np.cos(i)), float(np.sin(i))]) for i in range(2500)]
+    df = spark.createDataFrame(rows, "label string, cluster int, surface string, vector array<double>")
+    placed = A._by_radius(df, None)
+    assert placed.select("own").distinct().count() == 1  # blocks follow bytes, not a fixed number of vectors
+    reached = df.select("label", "surface", F.lit(-1.0).alias("last"))
+    assert A.neighbour_cells(placed, reached).count() == 0
+
+
+def test_tiles_of_two_blocks_search_both_directions():
+    rng = np.random.default_rng(1)
+
+    def block(names):
+        vectors = np.round(rng.normal(size=(len(names), 3)), 1)
+        vectors[3] = vectors[2]  # equal similarities go by name
+        norms = np.sqrt((vectors**2).sum(axis=1))
+        return pd.DataFrame({"label": "ORG", "surface": names, "vector": list(vectors), "radius": norms, "norm2": norms**2, "last": -np.inf})
+
+    def want(own, other):
+        found = {}
+        for s, v in zip(own["surface"], own["vector"]):
+            near = [(-round(float(v @ w), 9), t) for t, w in zip(other["surface"], other["vector"]) if t != s]
+            found[s] = sorted(near)[:3]
+        return found
+
+    a, b = block([f"a{i:02d}" for i in range(23)]), block([f"b{i:02d}" for i in range(17)])
+    for left, right, expected in ((a, b, want(a, b) | want(b, a)), (a, None, want(a, a))):
+        got = {}
+        for r in A._top_pairs(3, tile=5)(left, right).itertuples():
+            got.setdefault(r.surface, []).append((-round(r.similarity, 9), r.candidate))
+        assert {s: sorted(x) for s, x in got.items()} == expected
+
+
 def test_vectors_clusters_and_the_whole_run(make, spark):
     records = make(
         ("a", "Ali Toshkentda", [("NAME", 0, 3), ("GEO", 4, 14)]),
