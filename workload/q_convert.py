@@ -392,7 +392,7 @@ def _(spark, sf):
 
 @query("alias_index", V.SQL_ALIASES + " SELECT label, alias_key, canonical, error FROM alias_index")
 def _(spark, sf):
-    return typography.alias_index(V.aliases(spark, sf))
+    return typography.alias_index(V.aliases(V.gold_surfaces(spark, sf)))
 
 
 @query(
@@ -404,5 +404,6 @@ FROM surfaces s LEFT JOIN alias_index a
   ON a.error IS NULL AND a.label = s.label AND a.alias_key = {V.sql_key('s.surface')}""",
 )
 def _(spark, sf):
-    index = materialize(typography.alias_index(V.aliases(spark, sf)))
-    return typography.alias_join(V.gold_surfaces(spark, sf).drop("ord"), index)
+    spans = materialize(V.gold_surfaces(spark, sf).drop("ord"))  # derived once for the aliases and the join
+    index = materialize(typography.alias_index(V.aliases(spans)))
+    return typography.alias_join(spans, index)

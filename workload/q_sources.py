@@ -219,7 +219,7 @@ def _(spark, sf):
     folder = scratch(spark)
     write_jsonl(V.gold(spark, sf), folder)
     # the index is read in every batch, so it is computed once, and a batch is many times its size
-    index = materialize(alias_index(V.aliases(spark, sf)))
+    index = materialize(alias_index(V.aliases(V.gold_surfaces(spark, sf))))
     lines = intake.read_stream(spark, folder, bytes_per_trigger=batch_bytes(V.file_bytes(index)))
     parsed = intake.parse_stream(lines, require_entities=True)
     named = intake.stream_normalize(parsed.filter("error is null"), index)

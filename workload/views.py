@@ -247,11 +247,11 @@ def gold_surfaces(spark: SparkSession, sf: str) -> DataFrame:
     return each(gold(spark, sf), ["ord", "hash"], listed)
 
 
-def aliases(spark: SparkSession, sf: str) -> DataFrame:
-    """``label, alias, canonical`` for some of the gold surfaces; a few conflict."""
+def aliases(found: DataFrame) -> DataFrame:
+    """``label, alias, canonical`` for some of the ``gold_surfaces``; a few conflict."""
 
     d = hex_number(F.col("surface"), F.lit("alias"))
-    named = gold_surfaces(spark, sf).select("label", "surface").distinct().withColumn("d", d).filter("d < 64")
+    named = found.select("label", "surface").distinct().withColumn("d", d).filter("d < 64")
     return named.select(
         F.when(F.col("d") == 0, "PER").otherwise(F.col("label")).alias("label"),
         F.col("surface").alias("alias"),
