@@ -5,12 +5,13 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom import schema as S
-from spanloom.functions.arrays import index_by_end, let, positions
+from spanloom.functions.arrays import let, positions
 
 
 def characters(text: Column) -> Column:
@@ -121,30 +122,48 @@ def expand_suffix(text: Column, end: Column) -> Column:
 _SUFFIX_CLASS = S.SUFFIX_CHARS.replace("-", "") + "-"
 
 
+class _Joining(dict):
+    """Whether a character continues a suffix, looked up once for each distinct one."""
+
+    def __missing__(self, char: str) -> bool:
+        self[char] = found = char in S.SUFFIX_CHARS or unicodedata.category(char)[0] in "LN"
+        return found
+
+
+def _suffix_ends(text: str | None, ends: list[int | None], joining: _Joining) -> list[int | None]:
+    """The next stop at or after each end; the ends are taken in order, so no character is looked at twice."""
+
+    if text is None:
+        return [None] * len(ends)
+    size = len(text)
+    moved, stop = {}, 0
+    for end in sorted({e for e in ends if e is not None and 0 <= e < size}):
+        stop = max(stop, end)
+        while stop < size and joining[text[stop]]:
+            stop += 1
+        moved[end] = stop
+    return [moved.get(e, size) for e in ends]
+
+
+def _suffix_batch(texts: pa.Array, ends: pa.Array) -> pa.Array:
+    joining = _Joining()
+    found = [None if e is None else _suffix_ends(t, e, joining) for t, e in zip(texts.to_pylist(), ends.to_pylist(), strict=True)]
+    return pa.array(found, pa.list_(pa.int64()))
+
+
+# declared non-deterministic so that the optimizer never evaluates it twice
+_suffixes = F.arrow_udf(_suffix_batch, T.ArrayType(T.LongType())).asNondeterministic()
+
+
 def expand_suffixes(text: Column, entities: Column) -> Column:
-    """``expand_suffix`` for all entities of a record in one pass over the text."""
+    """``expand_suffix`` for all entities of a record in one pass over the text, in Arrow batches.
 
-    stops = positions(
-        characters(text), lambda c: ~c.rlike(f"^[\\p{{L}}\\p{{N}}{_SUFFIX_CLASS}]$")
-    )
-    # index_by_end over [0, stop + 1) pieces maps a character to the next stop at or after it.
-    stop_spans = F.transform(stops, lambda p: F.struct((p + 1).cast("bigint").alias("end")))
-    return let(
-        stop_spans,
-        lambda spans: let(
-            index_by_end(spans),
-            lambda next_stop: F.transform(
-                entities,
-                lambda e: e.withField(
-                    "end",
-                    F.coalesce(
-                        F.get(spans, F.get(next_stop, e["end"].cast("int")))["end"] - 1,
-                        F.length(text).cast("bigint"),
-                    ),
-                ),
-            ),
-        ),
-    )
+    ``entities`` is read twice, so callers give a column and not the expression that computes it.
+    """
+
+    moved = _suffixes(text, F.transform(entities, lambda e: e["end"].cast("bigint")))
+    both = F.arrays_zip(entities.alias("e"), moved.alias("x"))
+    return F.transform(both, lambda z: z["e"].withField("end", z["x"]))
 
 
 @F.pandas_udf(T.StringType())

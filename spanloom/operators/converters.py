@@ -161,8 +161,8 @@ def convert_arrays(rows: DataFrame) -> DataFrame:
             ),
         ),
     )
-    widened = placed.withColumn(
-        "spans", F.when(F.col("error").isNull(), expand_suffixes(text, labelled))
+    widened = placed.withColumn("labelled", labelled).withColumn(
+        "spans", F.when(F.col("error").isNull(), expand_suffixes(text, F.col("labelled")))
     )
     mapped = F.filter(
         F.transform(

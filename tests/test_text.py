@@ -52,6 +52,16 @@ def test_expand_suffix(spark):
         assert r["one"] == r["many"] == want(r["t"], r["e"]), r
 
 
+def test_expand_suffixes_of_odd_ends_without_an_object_per_character(spark):
+    rows = [("ab-c d😀e", [3, 0, None, 99, -1, 5, 7, 8]), ("", [0]), (None, [1]), ("ab", None), ("ab", [])]
+    df = spark.createDataFrame(rows, "t string, e array<bigint>")
+    df = df.withColumn("spans", F.transform("e", lambda e: F.struct(F.lit("ORG").alias("label"), e.alias("end"))))
+    moved = df.select(X.expand_suffixes(F.col("t"), F.col("spans")).alias("x"))
+    got = [None if r.x is None else [s["end"] for s in r.x] for r in moved.collect()]
+    assert got == [[4, 4, 8, 8, 8, 6, 8, 8], [0], [None], None, []]
+    assert "split(" not in moved._jdf.queryExecution().toString()
+
+
 def test_clean_value_and_key(spark):
     rows = {
         " «Toshkent  shahri». ": "Toshkent shahri",

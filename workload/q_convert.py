@@ -95,11 +95,10 @@ def _(spark, sf):
     halved = F.transform(
         "entities", lambda e: e.withField("end", e["end"] - F.floor((e["end"] - e["start"]) / 2))
     )
-    both = let(
-        halved,
-        lambda es: F.arrays_zip(es.alias("e"), X.expand_suffixes(F.col("text"), es).alias("x")),
-    )
-    return each(V.gold(spark, sf), ["hash"], both).select(
+    records = V.gold(spark, sf).withColumn("halved", halved)
+    records = records.withColumn("expanded", X.expand_suffixes(F.col("text"), F.col("halved")))
+    both = F.arrays_zip(F.col("halved").alias("e"), F.col("expanded").alias("x"))
+    return each(records, ["hash"], both).select(
         "hash",
         F.col("e.start").alias("start"),
         F.col("e.end").alias("end"),
