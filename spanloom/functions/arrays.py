@@ -84,18 +84,6 @@ def index_by_start(spans: Column, length: Column) -> Column:
     )
 
 
-def run_starts(keys: Column) -> Column:
-    """Indexes at which a run of equal neighbours begins."""
-
-    return let(
-        keys,
-        lambda ks: positions(
-            F.transform(ks, lambda k, i: (i == 0) | ~k.eqNullSafe(F.get(ks, i - 1))),
-            lambda flag: flag,
-        ),
-    )
-
-
 def neighbours(items: Column, build: Callable[[Column, Column], Column]) -> Column:
     """``build(left, right)`` for each pair of adjacent items, NULL results dropped."""
 

@@ -5,15 +5,18 @@ Counting unions both span tables under side flags and groups by the full key
 that many rows can share.  Everything after that is arithmetic on a single row.
 """
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql import Window as W
 
 from spanloom.operators.materialize import materialize
 from spanloom.operators.rows import each
-from spanloom.functions.arrays import index_by_end, last_end, let, run_starts
+from spanloom.functions.agreement import PIECES, agreement_pieces, piece_rows
+from spanloom.functions.arrays import last_end, let
 from spanloom.functions.text import characters, cut
 from spanloom.schema import LABELS
 
@@ -291,81 +294,11 @@ def compare_join(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     )
 
 
-def segment_array(text: Column, gold_entities: Column, pred_entities: Column) -> Column:
-    """Agreement pieces of one text: ``array<struct<start,end,status>>``.
-
-    Both arrays are sorted and free of overlaps, so the span covering a character is
-    found through a per-character index and the whole is linear in the text.
-    """
-
-    whole = F.length(text).cast("bigint")
-    ends = lambda spans: F.flatten(
-        F.transform(spans, lambda s: F.array(s["start"], s["end"]))
-    )
-
-    def covering(spans: Column, index: Column, at: Column) -> Column:
-        span = F.get(spans, F.get(index, at.cast("int")))
-        return F.when(span["start"] <= at, span)
-
-    def status(g: Column, p: Column) -> Column:
-        same = (g["label"] == p["label"]) & (g["start"] == p["start"]) & (g["end"] == p["end"])
-        return (
-            F.when(g.isNotNull() & p.isNotNull(), F.when(same, "correct").otherwise("boundary_error"))
-            .when(g.isNotNull(), "missed")
-            .when(p.isNotNull(), "false_positive")
-        )
-
-    def statuses(gold: Column, pred: Column, bounds: Column, length: Column) -> Column:
-        return let(
-            index_by_end(gold),
-            lambda by_gold: let(
-                index_by_end(pred),
-                lambda by_pred: F.transform(
-                    F.filter(bounds, lambda at: at < length),
-                    lambda at: status(covering(gold, by_gold, at), covering(pred, by_pred, at)),
-                ),
-            ),
-        )
-
-    def merged(bounds: Column, states: Column, length: Column) -> Column:
-        return let(
-            run_starts(states),
-            lambda runs: F.transform(
-                runs,
-                lambda first, k: F.struct(
-                    F.get(bounds, first).alias("start"),
-                    F.coalesce(F.get(bounds, F.get(runs, k + 1)), length).alias("end"),
-                    F.get(states, first).alias("status"),
-                ),
-            ),
-        )
-
-    def build(gold: Column, pred: Column, length: Column) -> Column:
-        edges = F.concat(F.array(F.lit(0).cast("bigint"), length), ends(gold), ends(pred))
-        return let(
-            F.sort_array(F.array_distinct(edges)),
-            lambda bounds: let(
-                statuses(gold, pred, bounds, length), lambda states: merged(bounds, states, length)
-            ),
-        )
-
-    return let(
-        F.struct(gold_entities.alias("gold"), pred_entities.alias("pred"), whole.alias("length")),
-        lambda r: build(r["gold"], r["pred"], r["length"]),
-    )
-
-
 def comparison_segments(pairs: DataFrame) -> DataFrame:
     """``(hash, start, end, status, piece)`` from ``compare_join`` rows."""
 
-    segments = segment_array(F.col("text"), F.col("gold_entities"), F.col("pred_entities"))
-    pieces = let(
-        characters(F.col("text")),
-        lambda chars: F.transform(
-            segments, lambda s: s.withField("piece", cut(chars, s["start"], s["end"]))
-        ),
-    )
-    return each(pairs, ["hash"], pieces)
+    kind = StructType([pairs.schema["hash"], *PIECES.elementType.fields])
+    return pairs.select("hash", "text", "gold_entities", "pred_entities").mapInArrow(piece_rows, kind)
 
 
 def label_segment_array(text: Column, entities: Column) -> Column:
@@ -407,11 +340,11 @@ def label_segments(records: DataFrame) -> DataFrame:
     return each(records, ["hash"], pieces)
 
 
-def _marked(chars: Column, segments: Column, name: str) -> Column:
+def _marked(segments: Column, name: str, piece: Callable[[Column], Column]) -> Column:
     pieces = F.transform(
         segments,
-        lambda s: F.when(s[name].isNull(), cut(chars, s["start"], s["end"])).otherwise(
-            F.concat(F.lit("["), s[name], F.lit(":"), cut(chars, s["start"], s["end"]), F.lit("]"))
+        lambda s: F.when(s[name].isNull(), piece(s)).otherwise(
+            F.concat(F.lit("["), s[name], F.lit(":"), piece(s), F.lit("]"))
         ),
     )
     return F.array_join(pieces, "")
@@ -421,16 +354,15 @@ def mark_text(text: Column, entities: Column) -> Column:
     """The text with every span written inline as ``[LABEL:surface]``."""
 
     return let(
-        characters(text), lambda chars: _marked(chars, label_segment_array(text, entities), "label")
+        characters(text),
+        lambda chars: _marked(label_segment_array(text, entities), "label", lambda s: cut(chars, s["start"], s["end"])),
     )
 
 
 def mark_comparison(text: Column, gold: Column, pred: Column) -> Column:
     """The text with agreement pieces written inline as ``[status:piece]``."""
 
-    return let(
-        characters(text), lambda chars: _marked(chars, segment_array(text, gold, pred), "status")
-    )
+    return _marked(agreement_pieces(text, gold, pred), "status", lambda s: s["piece"])
 
 
 def entity_counts(records: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -104,3 +105,32 @@ def test_marks_and_lines(make):
     assert lines == ["  - NAME: [0:3] 'Ali'", '  - ORG: [7:11] "It\'s"']
     parts = [tuple(r)[1:] for r in scoring.label_segments(records).orderBy("start").collect()]
     assert parts == [(0, 3, "NAME", "Ali"), (3, 7, None, " va "), (7, 11, "ORG", "It's")]
+
+
+def test_comparison_holds_no_array_of_characters(make, monkeypatch, capsys):
+    monkeypatch.setattr("spanloom.functions.runs.SLICE", 64)
+    monkeypatch.setattr("spanloom.functions.agreement.ROWS", 100)
+    text = "Али 😀 Toshkent, " * 300
+    every = lambda label, first, last: [(label, i + first, i + last) for i in range(0, len(text), 16)]
+    golds = [("a", text, every("NAME", 0, 3)), ("b", "", []), ("c", "Ali", [("NAME", 0, 3)]), ("a", "é", []), ("d", None, None), (None, "x", [])]
+    preds = [("a", every("NAME", 0, 5)), ("a", every("NAME", 0, 3) + [("GEO", len(text) - 2, len(text) + 9)]), ("b", []), ("c", []), ("d", None)]
+
+    def pieces(text, gold, pred):
+        state = []
+        for c in range(len(text)):
+            g, p = (next((e for e in side if e[1] <= c < e[2]), None) for side in (gold, pred))
+            state.append(("correct" if g == p else "boundary_error") if g and p else "missed" if g else "false_positive" if p else None)
+        opens = [c for c in range(len(text)) if c == 0 or state[c] != state[c - 1]]
+        return [(a, b, state[a], text[a:b]) for a, b in zip(opens, [*opens[1:], len(text)])]
+
+    want = [(h, *x) for h, t, g in golds for k, p in preds if h == k and t is not None for x in pieces(t, g, p)]
+    pairs = scoring.compare_join(make(*golds), make(*[(h, "-", p) for h, p in preds]))
+    found = scoring.comparison_segments(pairs)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "split(" not in plan and "array_join" not in plan
+    assert Counter(tuple(r) for r in found.collect()) == Counter(want)
+    marked = pairs.select("hash", scoring.mark_comparison(F.col("text"), F.col("gold_entities"), F.col("pred_entities")).alias("m"))
+    show = lambda t, g, p: "".join(x if s is None else f"[{s}:{x}]" for _, _, s, x in pieces(t, g, p))
+    shown = [(h, None if t is None else show(t, g, p)) for h, t, g in golds for k, p in preds if h == k]
+    assert Counter(tuple(r) for r in marked.collect()) == Counter(shown)
