@@ -1,15 +1,18 @@
 """Greedy choice of non-overlapping spans inside one array.
 
 Kept spans are disjoint, so in start order their ends rise too, and a new span meets one of them
-exactly when it meets the last that starts before its end.  Small islands compare with every kept
-span in the JVM; an island beyond ``LARGE`` looks its neighbour up in an ordered set, in Arrow
-batches that hold nulls for all other rows.
+exactly when it meets the last that starts before its end.  The islands of a table arrive in order and are
+chosen from in Arrow batches: those of one size at once, each span against every better one, and an island
+beyond ``LARGE`` looks its neighbour up in an ordered set.  A record's small islands are folded in the JVM.
 """
 
 from bisect import bisect_left
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,11 +77,82 @@ def _keep_small(spans: Column) -> Column:
     return F.when(F.size(spans) < 2, spans).otherwise(folded)
 
 
-def greedy_island(spans: Column) -> Column:
-    """Best first (array order of the structs), skipping spans that meet a kept one."""
+NONE = np.iinfo(np.int64).min
 
-    large = F.size(spans) > LARGE
-    return F.when(large, _keep_large(F.sort_array(spans), large)).otherwise(_keep_small(spans))
+
+def _bounds(rows: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    """A bound of all spans, NULL as ``NONE``."""
+
+    return pc.fill_null(rows[name].cast(pa.int64()), NONE).to_numpy(zero_copy_only=False)
+
+
+def _opens(starts: np.ndarray, ends: np.ndarray, nth: np.ndarray, reach: int) -> tuple[np.ndarray, int]:
+    """Which spans begin where all earlier ones of their group have ended, and how far the last group reaches.
+
+    The groups follow each other in start order; the first of them has reached ``reach`` before.
+    """
+
+    group = np.concatenate([[0], np.cumsum(nth == 1)])
+    values, ranks = np.unique(np.concatenate([[reach], ends]), return_inverse=True)
+    upto = values[np.maximum.accumulate(ranks + group * len(values)) - group * len(values)]
+    before = upto[:-1]
+    return (nth == 1) | (starts == NONE) | (before == NONE) | (starts >= before), int(upto[-1])
+
+
+def _choose(islands: np.ndarray, starts: np.ndarray, ends: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Which spans of whole islands are kept; one with a NULL bound meets none."""
+
+    keep = np.ones(len(islands), bool)
+    known = np.flatnonzero((starts != NONE) & (ends != NONE))
+    known = known[np.lexsort((best[known], islands[known]))]
+    opens = np.ones(len(known), bool)
+    opens[1:] = islands[known][1:] != islands[known][:-1]
+    first = np.flatnonzero(opens)
+    sizes = np.diff(np.append(first, len(known)))
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        at = known[first[sizes == size][:, None] + np.arange(size)]  # an island a row, best first
+        a, b = starts[at], ends[at]
+        if size > LARGE:
+            keep[at] = [disjoint_flags(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            continue
+        kept = np.ones(at.shape, bool)
+        for k in range(1, size):
+            kept[:, k] = ~(kept[:, :k] & (a[:, :k] < b[:, k : k + 1]) & (a[:, k : k + 1] < b[:, :k])).any(axis=1)
+        keep[at] = kept
+    return keep
+
+
+def kept_rows(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of Arrow batches that gives ``columns`` of the spans that are kept.
+
+    The batches hold whole groups in start order with ``start``, ``end``, the place ``nth`` in the group (from 1) and
+    the place ``best`` in the order of choice.  An island may go on in the next batch, which is then waited for.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        reach = NONE
+
+        def close(parts: list[pa.RecordBatch], islands: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(parts)
+            keep = _choose(np.concatenate(islands), _bounds(rows, "start"), _bounds(rows, "end"), rows["best"].to_numpy())
+            yield from rows.select(columns).filter(pa.array(keep)).combine_chunks().to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            opens, reach = _opens(_bounds(batch, "start"), _bounds(batch, "end"), batch["nth"].to_numpy(), reach)
+            first = np.flatnonzero(opens)
+            if len(first):
+                islands = [np.zeros(sum(w.num_rows for w in waiting), np.int64), np.cumsum(opens)[: first[-1]]]
+                if len(islands[0]) + len(islands[1]):
+                    yield from close([*waiting, batch.slice(0, first[-1])], islands)
+                waiting = []
+            waiting.append(batch.slice(first[-1] if len(first) else 0))
+        if waiting:
+            yield from close(waiting, [np.zeros(sum(w.num_rows for w in waiting), np.int64)])
+
+    return run
 
 
 def keep_disjoint(spans: Column, rank: Callable[[Column], list[Column]]) -> Column:

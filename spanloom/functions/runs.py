@@ -61,8 +61,8 @@ def _spans(texts: pa.Array, more: Sequence[pa.Array], labels: Sequence[str], tag
     return pa.ListArray.from_arrays(pa.array(ends), spans, mask=pc.is_null(texts))
 
 
-def tagged_runs(labels: Sequence[str], tagger: Tagger) -> Callable[..., Column]:
-    """A function of ``(text, *more)`` that gives neighbouring space tokens of one tag as one entity.
+def runs(labels: Sequence[str], tagger: Tagger) -> Callable[..., pa.Array]:
+    """A function of ``(texts, *more)`` that gives neighbouring space tokens of one tag as one entity.
 
     ``tagger`` gets the non-empty words of some texts, for each its row and its place among all pieces of the
     row, and the columns ``more``; it returns for each word 0 or the number of a label, from 1.
@@ -72,5 +72,11 @@ def tagged_runs(labels: Sequence[str], tagger: Tagger) -> Callable[..., Column]:
         parts = [_spans(texts.slice(a, b - a), [m.slice(a, b - a) for m in more], labels, tagger) for a, b in _slices(texts)]
         return pa.concat_arrays(parts or [_spans(texts, more, labels, tagger)])
 
+    return entities
+
+
+def tagged_runs(labels: Sequence[str], tagger: Tagger) -> Callable[..., Column]:
+    """``runs`` as a function of Columns."""
+
     # declared non-deterministic so that the optimizer never evaluates it twice
-    return F.arrow_udf(entities, ENTITIES).asNondeterministic()
+    return F.arrow_udf(runs(labels, tagger), ENTITIES).asNondeterministic()

@@ -4,15 +4,15 @@
 characters, so it compares a span with its neighbourhood and not with everything in
 the document.  ``keep_greedily`` cuts each document into islands of transitively
 overlapping spans: spans of different islands never compete, so the sequential
-choice is folded per island, and single-span islands are passed through untouched.
+choice is made per island.  Spark ranks and sorts the spans of a document, and tasks stream
+them in that order, an island at a time.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spanloom.operators.rows import each
-from spanloom.functions.greedy import greedy_island, spans_overlap
+from spanloom.functions.greedy import kept_rows, spans_overlap
 
 CELL = 512
 
@@ -46,16 +46,14 @@ def keep_greedily(spans: DataFrame, priority: list[Column], keys: list[str]) ->
     (ascending, best first) reads.  Returns the kept ``keys + label, start, end``.
     """
 
-    by_start = W.partitionBy(*keys).orderBy("start", "end", "label", *priority)
-    before = F.max("end").over(by_start.rowsBetween(W.unboundedPreceding, -1))
-    islands = spans.withColumn(
-        "opens", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int")
-    ).withColumn("island", F.sum("opens").over(by_start.rowsBetween(W.unboundedPreceding, 0)))
-    rank = [p.alias(f"p{i}") for i, p in enumerate(priority)]
-    span = F.struct(*rank, F.col("label"), F.col("start"), F.col("end"))
-    grouped = islands.groupBy(*keys, "island").agg(F.collect_list(span).alias("spans"))
-    chosen = each(grouped, keys, greedy_island(F.col("spans")))
-    return chosen.select(*keys, "label", "start", "end")
+    columns = [*keys, "label", "start", "end"]
+    group = W.partitionBy(*keys)
+    best = F.row_number().over(group.orderBy(*priority, "label", "start", "end"))
+    ranked = spans.withColumn("best", best).select(*columns, "best")
+    placed = ranked.withColumn("nth", F.row_number().over(group.orderBy("start")))
+    # the order of the window, which Spark does not sort for again
+    ordered = placed.sortWithinPartitions(*keys, "start")
+    return ordered.mapInArrow(kept_rows(columns), ranked.select(*columns).schema)
 
 
 def drop_overlaps_longest(spans: DataFrame, keys: list[str] | None = None) -> DataFrame:

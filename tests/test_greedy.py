@@ -1,5 +1,6 @@
 import random
 import time
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import greedy
 from spanloom.functions.greedy import disjoint_flags, keep_disjoint, longest_first
 from spanloom.operators.overlap import drop_overlaps_longest, select_non_overlapping
+from workload import views as V
 
 SPAN = "label string, start bigint, end bigint"
 
@@ -90,3 +92,41 @@ def test_an_island_of_fifty_thousand_spans_takes_seconds(spark):
     record = chain.groupBy("hash").agg(F.collect_list(F.struct("label", "start", "end")).alias("spans"))
     assert record.select(F.size(keep_disjoint(F.col("spans"), longest_first))).first()[0] == n // 2
     assert time.monotonic() - start < 15
+
+
+def test_islands_that_go_on_over_batches(spark, capsys):
+    rng = random.Random(6)
+    rows = [(None if h == 3 else f"t{h}", *s, i) for h in range(7) for i, s in enumerate(islands(rng, 40, rng.choice([2, 5, 60])))]
+    rows += [("n", "A", None, 4, 0), ("n", "A", 0, 9, 1), ("n", None, 2, 9, 2), ("n", "B", 3, None, 3), ("n", "C", 9, 12, 4), ("n", "C", 9, 12, 5)]
+    df = spark.createDataFrame(rows, f"hash string, {SPAN}, idx int")
+    want = {h: chosen([r[1:4] for r in rows if r[0] == h], lambda at, s: (s[1] - s[2], s[1], s[2], at)) for h in {r[0] for r in rows} - {"n"}}
+    for size in (1, 3, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {}
+            for r in drop_overlaps_longest(df).collect():
+                got.setdefault(r.hash, []).append((r.label, r.start, r.end))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        # a span without a bound meets none
+        assert sorted(got.pop("n"), key=str) == sorted([("A", None, 4), ("A", 0, 9), ("B", 3, None), ("C", 9, 12)], key=str)
+        assert {h: sorted(s) for h, s in got.items()} == {h: sorted(s) for h, s in want.items()}
+    drop_overlaps_longest(df).explain()
+    plan = capsys.readouterr().out
+    # spans are neither collected to arrays nor sorted more than twice
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 2 and "collect_list" not in plan
+
+
+def test_nested_spans_equal_the_expressions_of_the_view(spark, tmp_path):
+    rows = [(i, None if i == 4 else "alpha beta  😀 gamma delta epsilon zeta " * (i % 5) + "end", None if i == 2 else "s") for i in range(12)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for r in V.gold(spark, str(tmp_path)).collect():
+        spans = []
+        for i, e in enumerate(r.entities or []):
+            n = int(md5(f"{r.hash}|{i}|w".encode()).hexdigest()[:2], 16)
+            spans.append((e.label, e.start, e.end))
+            if n < 200:
+                spans.append(("GEO" if n < 128 else e.label, max(e.start - n % 7, 0), min(e.end + n % 11, len(r.text))))
+        want += [(r.hash, *s, idx) for idx, s in enumerate(spans)]
+    assert len(want) > 20 and sorted(tuple(r) for r in V.nested(spark, str(tmp_path)).collect()) == sorted(want)

@@ -15,14 +15,16 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from spanloom.operators.rows import each
 from spanloom.functions.arrays import let
-from spanloom.functions.runs import tagged_runs
+from spanloom.functions.runs import runs, tagged_runs
 from spanloom.functions.text import space_tokens, with_surfaces
 from spanloom.operators.augment import unit
 from spanloom.operators.windows import token_windows
+from spanloom.schema import ENTITIES
 
 # the taggers travel to the Python workers by value, as the library's functions do
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -93,8 +95,14 @@ def hex_number(*parts: Column) -> Column:
 def digest_digits(values: pa.Array) -> np.ndarray:
     """``hex_digit`` of joined texts, as numbers, in a Python worker."""
 
+    return digest_bytes(values) >> 4
+
+
+def digest_bytes(values: pa.Array) -> np.ndarray:
+    """``hex_number`` of joined texts, in a Python worker."""
+
     raw = values.cast(pa.binary()).to_pylist()
-    return np.fromiter((md5(v, usedforsecurity=False).digest()[0] >> 4 for v in raw), np.uint8, len(raw))
+    return np.fromiter((md5(v, usedforsecurity=False).digest()[0] for v in raw), np.uint8, len(raw))
 
 
 GOLD_TAGS = np.array([1, 1, 2, 2, 3] + [0] * 11, np.uint8)  # of the digit of a word
@@ -127,6 +135,7 @@ def pred_tags(words: pa.Array, row: np.ndarray, pos: np.ndarray, more: Sequence[
     return tags
 
 
+_gold_runs = runs(("ORG", "NAME", "GEO"), gold_tags)
 gold_entities = tagged_runs(("ORG", "NAME", "GEO"), gold_tags)
 _pred_entities = tagged_runs(("ORG", "NAME", "GEO"), pred_tags)
 
@@ -183,28 +192,46 @@ def noisy(spark: SparkSession, sf: str) -> DataFrame:
     return gold(spark, sf).withColumn("entities", F.flatten(F.transform("entities", damage)))
 
 
-def nested(spark: SparkSession, sf: str) -> DataFrame:
-    """Span table of overlapping spans: gold spans next to widened copies with other labels."""
+def widened(texts: pa.Array, hashes: pa.Array) -> pa.Array:
+    """Gold spans, most followed by a widened copy, many with another label; ``idx`` is the place of a span."""
+
+    entities = _gold_runs(texts)
+    counts = pc.fill_null(pc.list_value_length(entities), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    label, start, end = entities.flatten().flatten()
+    row = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    keys = pc.binary_join_element_wise(hashes.take(pa.array(row)), pa.array(place).cast(pa.string()), "w", "|", null_handling="skip")
+    n = digest_bytes(keys).astype(np.int64)
+    length = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, end = start.to_numpy(), end.to_numpy()
+    copied = n < 200
+    wide = np.repeat(np.arange(len(row)), 1 + copied)  # the span each row is of
+    copy = np.zeros(len(wide), bool)
+    copy[1:] = wide[1:] == wide[:-1]
+    per_text = counts + np.bincount(row[copied], minlength=len(counts))
+    ends = np.concatenate([[0], np.cumsum(per_text)])
+    by = n[wide]
+    spans = pa.StructArray.from_arrays(
+        [
+            pc.if_else(pa.array(copy & (by < 128)), "GEO", label.take(pa.array(wide))),
+            pa.array(np.where(copy, np.maximum(start[wide] - by % 7, 0), start[wide])),
+            pa.array(np.where(copy, np.minimum(end[wide] + by % 11, length[row[wide]]), end[wide])),
+            pa.array(np.arange(len(wide)) - np.repeat(ends[:-1], per_text)),
+        ],
+        ["label", "start", "end", "idx"],
+    )
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), spans, mask=pc.is_null(texts))
 
-    def widen(e: Column, i: Column, length: Column) -> Column:
-        return let(hex_number(F.col("hash"), i, F.lit("w")), lambda n: widened(e, n, length))
 
-    def widened(e: Column, n: Column, length: Column) -> Column:
-        copy = F.struct(
-            F.when(n < 128, "GEO").otherwise(e["label"]).alias("label"),
-            F.greatest(e["start"] - n % 7, F.lit(0)).alias("start"),
-            F.least(e["end"] + n % 11, length).cast("bigint").alias("end"),
-        )
-        return F.when(n < 200, F.array(e, copy)).otherwise(F.array(e))
+WIDENED = T.ArrayType(T.StructType([*ENTITIES.elementType.fields, T.StructField("idx", T.LongType())]))
+_widened = F.arrow_udf(widened, WIDENED).asNondeterministic()
 
-    wide = F.transform(
-        let(
-            F.length("text"),
-            lambda length: F.flatten(F.transform("entities", lambda e, i: widen(e, i, length))),
-        ),
-        lambda e, i: e.withField("idx", i.cast("bigint")),
-    )
-    return each(by_hash(gold(spark, sf)), ["hash"], wide)
+
+def nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Span table of overlapping spans: gold spans next to widened copies with other labels."""
+
+    wide = docs(spark, sf).select("hash", _widened(F.col("text"), F.col("hash")).alias("wide"))
+    return each(by_hash(wide), ["hash"], "wide")
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
