@@ -1,9 +1,13 @@
+from collections import Counter
+from hashlib import md5
+
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import corpus, scoring, typography
 from spanloom.operators.joins import lookup_join
 from spanloom.operators.materialize import materialize
+from workload import views as V
 
 
 def thin_input(make):
@@ -130,3 +134,22 @@ def test_merge_counters_read_source_labels_only(spark, make):
     want = corpus.merge_manifest(train, dev, counted, added)
     assert sorted(map(tuple, report.collect())) == sorted(map(tuple, want.collect()))
     assert report._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_thinning_queries_derive_the_records_once(spark, tmp_path, capsys):
+    rows = [(i, None if i == 5 else f"{chr(97 + i % 26)}{i} b c d e f g", None if i == 7 else f"src{i % 4}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    import __spark_entry__ as contract
+
+    found = contract.queries()["entities_unchanged"](spark, str(tmp_path))
+    found.explain()
+    assert "EvalPython" not in capsys.readouterr().out
+    kept = {r["ord"] for r in contract.queries()["drop_empty_added"](spark, str(tmp_path)).collect()}
+    assert 0 < len(kept) < len(rows)
+    before, after = Counter(), Counter()
+    for r in V.gold(spark, str(tmp_path)).collect():
+        labels = [e["label"] for e in r["entities"] or [] if md5(f"{r['hash']}|hollow".encode()).hexdigest()[0] >= "8"]
+        before.update(labels)
+        after.update(labels if r["ord"] in kept else [])
+    assert before == after and sum(before.values()) > 5
+    assert {(r["label"], r["before"], r["after"], r["unchanged"]) for r in found.collect()} == {(k, n, n, True) for k, n in before.items()}
