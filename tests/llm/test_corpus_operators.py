@@ -1,19 +1,23 @@
 """Overlap join, mixing, sharding, packing, url templates, components and the pipeline."""
 
 import random
+import re
 import zlib
 from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from llm_support import LOWER, SCHEMA, edge, edge_rows, empty, prose, words
 
 import corpus_pipeline
+from spanloom.llm import overlap_join as join
 from spanloom.llm.components import components
 from spanloom.llm.mixing import block_size, mix_sources
 from spanloom.llm.overlap_join import keep_one_of_each, overlap_join
 from spanloom.llm.packing import LENGTHS, best_fit, bin_cost, fill, pack_documents
 from spanloom.llm.sharding import shard_by_bytes
+from spanloom.llm.stage import staged
 from spanloom.llm.url_templates import judge_urls
 
 
@@ -113,6 +117,37 @@ def test_overlap_join_counts_every_link(spark, monkeypatch, short, block):
     assert {r.doc_id: r.component_id for r in got} == roots
 
 
+def test_candidate_sets_of_many_documents_do_not_shuffle_texts(spark, monkeypatch, capsys):
+    monkeypatch.setattr(join, "BROADCAST_IDS", 0)
+    plans = []
+
+    def explained(df, name):
+        df.explain("formatted")
+        plans.append(capsys.readouterr().out)
+        return staged(df, name)
+
+    monkeypatch.setattr(join, "staged", explained)
+    below = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(i, f"a b c d w{i}") for i in range(40)], "doc_id long, text string")
+        ids = docs.where("doc_id % 4 = 0").select(F.col("doc_id").alias("rep"))
+        sets = join.staged(join._candidate_sets(docs, ids, 4, np.zeros(1 << join.SKETCH_BITS, np.uint8)), "sets")
+        assert {*range(0, 40, 4)} <= {r.rep for r in sets.collect()} and sets.count() < 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", below)
+    shuffled = re.findall(r"\) Exchange\s+Input \[\d+\]: \[([^\]]*)\]", "\n".join(plans))
+    assert plans and not any("text#" in columns for columns in shuffled)
+
+
+def test_overlap_join_of_more_candidates_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(join, "BROADCAST_IDS", 0)
+    rows = near_copies(random.Random(13))
+    _, roots = plain_join(rows, 4, 80)
+    got = overlap_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80, links=True).collect()
+    assert {r.doc_id: r.component_id for r in got} == roots
+
+
 def test_keep_one_of_each(spark):
     kept = keep_one_of_each(edge(spark, clash=True), 5, 80)
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
