@@ -52,3 +52,14 @@ def test_metrics_by_split_derives_each_side_once(spark):
     rows = {(r["split"], r["epoch"]): (r["tp"], r["fp"], r["fn"], r["records"]) for r in report.filter("scope = 'micro'").collect()}
     assert rows == {("x", 1): (1, 1, 0, 1), ("x", 2): (1, 0, 0, 1), ("y", 1): (0, 0, 1, 1), ("y", 2): (0, 0, 1, 1)}
     assert seen.value == 7
+
+
+def test_decode_tag_records_keeps_the_dealing_of_its_scores(spark, capsys):
+    rows = [("a", w, 3 * t, 3 * t + 2, c, float((t + c + w) % 7)) for w in range(2) for t in range(4) for c in range(7)]
+    scores = spark.createDataFrame(rows, "hash string, window_id bigint, start bigint, end bigint, class_id bigint, p double")
+    inputs = spark.createDataFrame([("a",), ("b",)], "hash string")
+    plain = {r["hash"]: r["entities"] for r in D.decode_tag_records(scores, inputs).collect()}
+    dealt = D.decode_tag_records(scores.repartition(3, "hash"), inputs.repartition(3, "hash"))
+    dealt.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2
+    assert plain == {r["hash"]: r["entities"] for r in dealt.collect()} and plain["a"] and plain["b"] == []
