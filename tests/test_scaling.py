@@ -63,3 +63,17 @@ def test_decode_tag_records_keeps_the_dealing_of_its_scores(spark, capsys):
     dealt.explain()
     assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2
     assert plain == {r["hash"]: r["entities"] for r in dealt.collect()} and plain["a"] and plain["b"] == []
+
+
+def test_entity_status_keeps_the_dealing_of_its_spans(spark, capsys):
+    key = "hash string, label string, start bigint, end bigint"
+    gold = spark.createDataFrame([("a", "ORG", 0, 3), ("a", "ORG", 0, 3), ("a", "GEO", 5, 8), ("b", "ORG", 0, 1)], key)
+    pred = spark.createDataFrame([("a", "ORG", 0, 3), ("a", "GEO", 6, 9), ("b", "ORG", 2, 4)], key)
+    dealt = scoring.entity_status(gold.repartition(3, "hash"), pred.repartition(3, "hash"))
+    dealt.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2
+    want = {
+        ("gold", "a", "ORG", 0, 3, "correct"), ("pred", "a", "ORG", 0, 3, "correct"), ("gold", "a", "GEO", 5, 8, "boundary_error"),
+        ("pred", "a", "GEO", 6, 9, "boundary_error"), ("gold", "b", "ORG", 0, 1, "missed"), ("pred", "b", "ORG", 2, 4, "false_positive"),
+    }
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, scoring.entity_status(gold, pred).collect())) == sorted(want)
