@@ -77,3 +77,16 @@ def test_entity_status_keeps_the_dealing_of_its_spans(spark, capsys):
         ("pred", "a", "GEO", 6, 9, "boundary_error"), ("gold", "b", "ORG", 0, 1, "missed"), ("pred", "b", "ORG", 2, 4, "false_positive"),
     }
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, scoring.entity_status(gold, pred).collect())) == sorted(want)
+
+
+def test_class_scores_convert_a_digest_once(spark, tmp_path, capsys):
+    from hashlib import md5
+
+    text = "one two three"
+    spark.createDataFrame([(1, "s", text)], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    scores = V.class_scores(spark, str(tmp_path))
+    row = scores.first()
+    names = [w + "|0" if w else "0" for w in ["", *text.split(" "), ""]]
+    assert row["scores"] == [[b / 256 for b in md5(n.encode()).digest()[:7]] for n in names]
+    scores.explain()
+    assert "sequence(0, 6" not in capsys.readouterr().out
